@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 DIGITS = 9
 #: Query vectors up to which all are sent to every task; beyond it the two sides are dealt
@@ -125,26 +126,26 @@ def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
     Blocks of vectors meet pairwise in a grid; only pairs that pass leave a task.
     """
     side = 8
-    block = F.pmod(F.xxhash64("item_id"), F.lit(side)).cast("int")
-    rows = vectors.where("embedding IS NOT NULL").select("item_id", "embedding", block.alias("mine"))
     kind = dict(vectors.dtypes)["item_id"]
-    cell = lambda as_row: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda o: F.struct((F.col("mine") if as_row else o).alias("r"), (o if as_row else F.col("mine")).alias("c")))
-    left = rows.select("item_id", "embedding", F.explode(cell(True)).alias("cell")).where("cell.r <= cell.c")
-    right = rows.select("item_id", "embedding", F.explode(cell(False)).alias("cell")).where("cell.r <= cell.c")
+    id_type = to_arrow_type(vectors.schema["item_id"].dataType)
+    block, others = F.pmod(F.xxhash64("item_id"), F.lit(side)).cast("int"), F.sequence(F.lit(0), F.lit(side - 1))
+    rows = vectors.where("embedding IS NOT NULL").select("item_id", "embedding", block.alias("mine"))
+    left = rows.select(F.col("item_id").alias("i"), F.col("embedding").alias("x"), F.col("mine").alias("r"), F.explode(others).alias("c")).where("r <= c")
+    right = rows.select(F.col("item_id").alias("j"), F.col("embedding").alias("y"), F.explode(others).alias("r"), F.col("mine").alias("c")).where("r <= c")
 
     def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        x, y = _unit(a["embedding"].combine_chunks()), _unit(b["embedding"].combine_chunks())
-        i_ids, j_ids = a["item_id"].to_pylist(), b["item_id"].to_pylist()
-        same = key[0].as_py()["r"] == key[0].as_py()["c"]
-        for at in range(0, len(i_ids), 512):
-            sims = np.round(x[at : at + 512] @ y.T, DIGITS)
-            for i, j in zip(*np.nonzero(sims >= threshold), strict=True):
-                p, q = i_ids[at + i], j_ids[j]
-                if p < q or not same and p > q:
-                    for col, v in zip(out, (min(p, q), max(p, q), float(sims[i, j])), strict=True):
-                        col.append(v)
-        kinds = (a.schema.field("item_id").type,) * 2 + (pa.float64(),)
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["a", "b", "similarity"])
-
-    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+        if len(a) and len(b):
+            x, y = _unit(a["x"].combine_chunks()), _unit(b["y"].combine_chunks())
+            i_ids, j_ids = a["i"].to_pylist(), b["j"].to_pylist()
+            same = key[0].as_py() == key[1].as_py()
+            for at in range(0, len(i_ids), 512):
+                sims = np.round(x[at : at + 512] @ y.T, DIGITS)
+                for i, j in zip(*np.nonzero(sims >= threshold), strict=True):
+                    p, q = i_ids[at + i], j_ids[j]
+                    if p < q or not same and p > q:
+                        for col, v in zip(out, (min(p, q), max(p, q), float(sims[i, j])), strict=True):
+                            col.append(v)
+        return pa.table([pa.array(c, t) for c, t in zip(out, (id_type, id_type, pa.float64()), strict=True)], ["a", "b", "similarity"])
+
+    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")

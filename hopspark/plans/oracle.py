@@ -130,8 +130,8 @@ _BRIDGES = f"""
 _EXPANSIONS = """
     expansions AS (
         SELECT seed, chunk_id, pos FROM (
-            SELECT *, row_number() OVER (PARTITION BY seed ORDER BY kind, at, chunk_id) AS pos
-            FROM (SELECT seed, chunk_id, 0 AS kind, 0 AS at FROM near UNION ALL SELECT seed, chunk_id, 1, rank FROM bridged)
+            SELECT *, row_number() OVER (PARTITION BY seed ORDER BY kind, spot, chunk_id) AS pos
+            FROM (SELECT seed, chunk_id, 0 AS kind, 0 AS spot FROM near UNION ALL SELECT seed, chunk_id, 1, rank FROM bridged)
         ) WHERE pos <= 3
     )"""
 
