@@ -189,18 +189,18 @@ LICENCE_SQL = f"""
     rules(rule, licence, step, n_steps, sentence) AS (VALUES {_values(_rule_rows())}),
     texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
     cut AS (SELECT doc_id, text, regexp_split_to_array(text, '{_ENDS}') AS parts FROM texts),
-    sentences AS (SELECT doc_id, text, generate_subscripts(parts, 1) - 1 AS at, unnest(parts) AS part FROM cut),
+    sentences AS (SELECT doc_id, text, generate_subscripts(parts, 1) - 1 AS nth, unnest(parts) AS part FROM cut),
     lined AS (
-        SELECT doc_id, text, at, CASE WHEN contains(part, chr(10)) THEN list_concat([part], string_split(part, chr(10))) ELSE [part] END AS lines
+        SELECT doc_id, text, nth, CASE WHEN contains(part, chr(10)) THEN list_concat([part], string_split(part, chr(10))) ELSE [part] END AS lines
         FROM sentences
     ),
-    parts AS (SELECT doc_id, text, at, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS part FROM lined),
+    parts AS (SELECT doc_id, text, nth, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS part FROM lined),
     found AS (
-        SELECT DISTINCT doc_id, text, at, line, sentence
+        SELECT DISTINCT doc_id, text, nth, line, sentence
         FROM parts JOIN known ON trim(regexp_replace(lower(part), '{_OTHER}', ' ', 'g')) = known.plain
     ),
-    sequence AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY at, line, sentence) AS place FROM found)
-    SELECT doc_id, rule, licence, CAST(min(at) AS BIGINT) AS first_sentence, CAST(max(at) AS BIGINT) AS last_sentence
+    sequence AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY nth, line, sentence) AS place FROM found)
+    SELECT doc_id, rule, licence, CAST(min(nth) AS BIGINT) AS first_sentence, CAST(max(nth) AS BIGINT) AS last_sentence
     FROM sequence JOIN rules USING (sentence)
     GROUP BY doc_id, text, rule, licence, n_steps, place - step
     HAVING count(*) = n_steps
