@@ -127,7 +127,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
     both = pairs.alias("p").join(windows.alias("w"), F.expr("p.doc_id <=> w.doc_id AND p.text_hash = w.text_hash AND p.start = w.start AND p.m = w.m")).select("p.*", "w.words")
     both = both.alias("p").join(small(prints.alias("i"), n_items <= BROADCAST_ITEMS), F.expr("p.item_id <=> i.item_id AND p.m = i.m")).select("p.*", "i.item_words")
     counted = both.withColumns({"a": F.expr(shingle_texts("words")), "b": F.expr(shingle_texts("item_words"))})
-    shared_weight = "aggregate(array_distinct(b), 0, (acc, s) -> acc + least(size(filter(a, x -> x = s)), size(filter(b, x -> x = s))))"
+    # Where an item repeats no shingle, each shared one weighs 1; counts are compared only for items that do.
+    repeats = "aggregate(array_distinct(b), 0, (acc, s) -> acc + least(size(filter(a, x -> x = s)), size(filter(b, x -> x = s))))"
+    shared_weight = f"if(size(array_distinct(b)) = size(b), size(array_intersect(b, a)), {repeats})"
     scored = counted.withColumn("both", F.expr(shared_weight)).withColumn("similarity", F.expr("both / cast(size(a) + size(b) - both AS double)"))
     best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", F.size("words").alias("n"), "hamming", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
     return best.select("doc_id", "text_hash", "item_id", F.col("w.start").alias("first_word"), F.col("w.n").alias("n_words"), F.col("w.hamming").alias("hamming"), F.round("w.similarity", 6).alias("similarity"))
