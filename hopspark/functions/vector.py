@@ -108,12 +108,19 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_group: bool =
     else:
         n_blocks = -(-queries.count() // MAX_BROADCAST)
         # 64 blocks of the corpus; each pair of blocks is one group.
-        left = queries.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)), "cb": F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long")})
-        right = corpus.withColumns({"cb": F.pmod(F.xxhash64("item_id"), F.lit(64)), "qb": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")})
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        names = queries.columns
+        left = queries.select(*(F.col(c).alias(f"q_{c}") for c in names), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("qb"), every(64).alias("cb"))
+        right = corpus.select("*", F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("cb"), every(n_blocks).alias("qb"))
+
+        types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(corpus.schema["item_id"].dataType), pa.float64()]
+        empty = pa.table([pa.array([], t) for t in types], ["query_id", "item_id", "similarity"])
 
         def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-            found = list(search(q, iter(c.combine_chunks().to_batches())))
-            return pa.Table.from_batches(found) if found else pa.table({"query_id": q["query_id"].slice(0, 0), "item_id": c["item_id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+            if not len(q) or not len(c):
+                return empty
+            found = list(search(q.select([f"q_{x}" for x in names]).rename_columns(names), iter(c.combine_chunks().to_batches())))
+            return pa.Table.from_batches(found).cast(empty.schema) if found else empty
 
         kept = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
