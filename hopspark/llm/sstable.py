@@ -23,6 +23,8 @@ index, and reads one block.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -198,6 +200,56 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Code points on which the library's normaliser and pattern agree with Python's, each
+#: standing for itself after composition: Latin letters without the four separators that
+#: Python takes for blanks and without dotted I.
+_BEYOND = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u02ff]")
+#: Words whose ids a worker keeps, beyond which it starts anew.
+_KEPT = 1_000_000
+
+
+class Encoder:
+    """``encode`` of a text as the library does, each distinct word merged once per worker.
+
+    Holds for tokenizers that compose, fold blanks, lower and cut by a pattern, as checked
+    from their own description; texts with other characters or with an added token's
+    string, and other tokenizers, go through the library whole.
+    """
+
+    def __init__(self, path: str, width: int):
+        import regex
+
+        self.tok, self.kind, self.ids = _tokenizer(path), f"<u{width}", {}
+        own = json.loads(self.tok.to_str())
+        cut = [x for x in (own["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        names = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", [])]
+        self.quick = names == ["NFC", "Replace", "Lowercase"] and len(cut) == 1 and cut[0]["behavior"] == "Removed" and cut[0]["invert"]
+        if self.quick:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall
+            self.spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.added = [x["content"] for x in own["added_tokens"]]
+
+    def _word(self, word: str) -> bytes:
+        ids = np.array([t.id for t in self.tok.model.tokenize(self.spell(word)[0][0])]).astype(self.kind).tobytes()
+        if len(self.ids) >= _KEPT:
+            self.ids.clear()
+        self.ids[word] = ids
+        return ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.quick or _BEYOND.search(text) or any(a in text for a in self.added):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids).astype(self.kind)
+        get, new = self.ids.get, self._word
+        return np.frombuffer(b"".join([get(w) or new(w) for w in self.find(text.lower())]), self.kind)
+
+
+@cache
+def _encoder(path: str, width: int) -> Encoder:
+    return Encoder(path, width)
+
+
 def _width(path: str, end_id: int) -> int:
     return 2 if max(_tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
@@ -211,22 +263,19 @@ def write_shards(docs: DataFrame, place: str, path: str, end_id: int, doc_id: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, made = _tokenizer(path), TaskContext.get().partitionId(), 0
-        width = _width(path, end_id)
+        part, made, width = TaskContext.get().partitionId(), 0, _width(path, end_id)
+        encode = _encoder(path, width)
         writer = Writer(width)
 
         def file() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{made:05d}"]), pa.array([writer.finish()], pa.binary())], ["shard", "content"])
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for a in range(0, len(keys), 64):
-                texts = [x or "" for x in batch.column(1).slice(a, 64).to_pylist()]
-                for key, found in zip(keys[a : a + 64], tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    writer.add(key_of(key), np.array([*found.ids, end_id]))
-                    if writer.size >= SHARD_BYTES:
-                        yield file()
-                        made, writer = made + 1, Writer(width)
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                writer.add(key_of(key.as_py()), np.append(encode(text.as_py() or ""), end_id))
+                if writer.size >= SHARD_BYTES:
+                    yield file()
+                    made, writer = made + 1, Writer(width)
         if writer.keys:
             yield file()
 
