@@ -4,8 +4,9 @@ A block holds some megabytes of texts as positions in a dictionary of the block'
 words.  What has to cross the network is then each block's dictionary, once, and not a
 row for every word of every text:
 
-1. :func:`text_blocks` cuts texts into words and writes the blocks to a scratch table.
-   Each dictionary is dealt by the word's hash into ``buckets`` packs.
+1. :func:`text_blocks` cuts texts into words and writes the blocks to a scratch table,
+   bucketed by ``block_id`` so that they needn't be shuffled again.  Each dictionary is
+   dealt by the word's hash into ``buckets`` packs.
 2. :func:`resolve` brings the packs of a bucket together, so that every occurrence of a
    word in any dictionary meets in one task, encodes each distinct word once there, and
    sends each block the values of its own words.
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopspark.llm.common import scratch_table
+from hopspark.llm.common import bucketed_table
 
 #: Bounds of a block: characters of text, and words in its dictionary.
 BLOCK_CHARS = 32_000_000
@@ -140,7 +141,7 @@ def text_blocks(docs: DataFrame, words: Callable[[], Callable[[str], Iterable[st
             yield pa.RecordBatch.from_pylist([block.row(part << 32 | made, buckets)], schema)
 
     cut = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, _BLOCKS)
-    return scratch_table(cut, "blocks")
+    return bucketed_table(cut, "blocks", "block_id", buckets)
 
 
 def resolve(blocks: DataFrame, encode: Callable[[], Callable[[str], list[int]]]) -> DataFrame:

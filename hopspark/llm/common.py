@@ -39,6 +39,14 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """:func:`scratch_table` with rows in ``buckets`` by ``key``: grouping by it later needs no shuffle of these rows."""
+    path = scratch_path(df.sparkSession, name)
+    at = "hopspark_" + path.rpartition("/")[2].replace("-", "_")
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(at)
+    return df.sparkSession.table(at)
+
+
 def write_files(df: DataFrame, path: str, keys: list[str], content: str, end: bytes) -> None:
     """Write each row's binary ``content`` as a file in a folder named by its ``keys``.
 
