@@ -54,12 +54,9 @@ SENTENCES = {
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "gpl-redistribute-3": [
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ],
-    "gpl-redistribute-3-tail": [
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ],
-    "gpl-redistribute-2-tail": [
+    "gpl-redistribute-2": [
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ],
     "gpl-version-2": ["either version 2 of the License, or (at your option) any later version."],
@@ -83,7 +80,6 @@ SENTENCES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     ],
     "mpl-2-name": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
@@ -112,8 +108,7 @@ RULES = {
     "gpl-3-name": ("GPL-3.0-only", ["gpl-3-name"]),
     "gpl-2-name": ("GPL-2.0-only", ["gpl-2-name"]),
     "gpl-3-header": ("GPL-3.0-or-later", ["gpl-redistribute-3", "gpl-no-warranty", "gpl-merchantability"]),
-    "gpl-3-header-colon": ("GPL-3.0-or-later", ["gpl-redistribute-3-tail", "gpl-no-warranty", "gpl-merchantability"]),
-    "gpl-2-header": ("GPL-2.0-or-later", ["gpl-redistribute-2-tail", "gpl-version-2", "gpl-no-warranty", "gpl-merchantability"]),
+    "gpl-2-header": ("GPL-2.0-or-later", ["gpl-redistribute-2", "gpl-version-2", "gpl-no-warranty", "gpl-merchantability"]),
     "bsd-2-text": ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
     "bsd-3-text": ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"]),
     "bsd-3-name": ("BSD-3-Clause", ["bsd-3-name"]),
