@@ -67,7 +67,8 @@ def blocks(fp: str, radius: int) -> Column:
     """(number, value) of each of radius + 1 blocks of a fingerprint."""
     n = radius + 1
     ends = [round(64 * k / n) for k in range(n + 1)]
-    parts = [f"struct({k} AS no, shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L AS value)" for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+    cut = lambda a, b: f"shiftrightunsigned({fp}, {a})" + (f" & {(1 << (b - a)) - 1}L" if b - a < 64 else "")
+    parts = [f"struct({k} AS no, {cut(a, b)} AS value)" for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
     return F.expr(f"array({', '.join(parts)})")
 
 
