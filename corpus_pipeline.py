@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hopspark.llm.bpe import bpe_round_trip
 from hopspark.llm.common import scratch_table, table
 from hopspark.llm.decontamination import decontaminate
-from hopspark.llm.quality_rules import quality_rules
+from hopspark.llm.quality_rules import keep_good
 from hopspark.llm.queries import MULTI_RANKS
 from hopspark.llm.secret_links import redact
 from hopspark.llm.simhash import near_duplicates
@@ -20,10 +20,9 @@ from hopspark.llm.simhash import near_duplicates
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    return keep_good(docs.select(*COLUMNS))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality rules", keep_good),
+    ("quality rules", drop_bad),
     ("simhash near-dedup", keep_one_of_each_group),
     ("benchmark decontamination", drop_leaks),
     ("secret scans", redact_secrets),
