@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopspark.llm.common import bucketed_table
+from hopspark.llm.common import bucketed_table, give_back
 
 #: Bounds of a block: characters of text, and words in its dictionary.
 BLOCK_CHARS = 32_000_000
@@ -139,6 +139,8 @@ def text_blocks(docs: DataFrame, words: Callable[[], Callable[[str], Iterable[st
                     made, block = made + 1, _Block(frequencies)
         if block.ids:
             yield pa.RecordBatch.from_pylist([block.row(part << 32 | made, buckets)], schema)
+        del block
+        give_back()
 
     cut = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, _BLOCKS)
     return bucketed_table(cut, "blocks", "block_id", buckets)
@@ -170,6 +172,8 @@ def resolve(blocks: DataFrame, encode: Callable[[], Callable[[str], list[int]]])
                     [pa.array([row["block_id"]], pa.int64()), *(pa.array([x], pa.binary()) for x in (row["at"], pack(sizes), pack(np.frombuffer(b"".join(values), "<u4"))))],
                     [x.split()[0] for x in _VALUES.split(", ")],
                 )
+        known.clear()
+        give_back()
 
     return packs.repartition(buckets, "bucket").mapInArrow(run, _VALUES)
 
@@ -215,7 +219,9 @@ def reassemble(blocks: DataFrame, values: DataFrame, rows: Callable[[], Callable
     """Cogroup blocks with the values of their words; ``rows()`` gives the function that makes a block's rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return rows()(Texts(left, right))
+        out = rows()(Texts(left, right))
+        give_back()
+        return out
 
     own = blocks.select("block_id", "n_docs", "docs", "n_words")
     return own.groupBy("block_id").cogroup(values.groupBy("block_id")).applyInArrow(run, schema)

@@ -7,9 +7,12 @@ executor costs a recomputation of its tasks and nothing else.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system; workers outlive their tasks and share the executor with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(text: str) -> Column:
     """The text's UTF-8 bytes, empty for null."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopspark.llm.common import read_files, scratch_path, write_files
+from hopspark.llm.common import give_back, read_files, scratch_path, write_files
 
 MAGIC = b"HSST\x01\n"
 FOOTER = struct.Struct("<QQQQIQQQII")
@@ -204,45 +204,50 @@ def _tokenizer(path: str):
 #: standing for itself after composition: Latin letters without the four separators that
 #: Python takes for blanks and without dotted I.
 _BEYOND = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u02ff]")
-#: Words whose ids a worker keeps, beyond which it starts anew.
-_KEPT = 1_000_000
+#: The pattern of the tokenizers that are cut here (fixed value); no match holds a blank.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Runs whose ids a worker keeps, beyond which it starts anew.
+_KEPT = 600_000
 
 
 class Encoder:
-    """``encode`` of a text as the library does, each distinct word merged once per worker.
+    """``encode`` of a text as the library does, each distinct run between blanks once per worker.
 
-    Holds for tokenizers that compose, fold blanks, lower and cut by a pattern, as checked
-    from their own description; texts with other characters or with an added token's
+    Holds for tokenizers that compose, fold blanks, lower and cut by a pattern that never
+    matches blanks, as checked from their own description; texts with other characters or with an added token's
     string, and other tokenizers, go through the library whole.
     """
 
     def __init__(self, path: str, width: int):
         import regex
 
-        self.tok, self.kind, self.ids = _tokenizer(path), f"<u{width}", {}
+        self.tok, self.kind, self.code, self.ids = _tokenizer(path), f"<u{width}", {2: "H", 4: "I"}[width], {}
         own = json.loads(self.tok.to_str())
         cut = [x for x in (own["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         names = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", [])]
         self.quick = names == ["NFC", "Replace", "Lowercase"] and len(cut) == 1 and cut[0]["behavior"] == "Removed" and cut[0]["invert"]
+        self.quick = self.quick and cut[0]["pattern"].get("Regex") == PATTERN
         if self.quick:
             from tokenizers.pre_tokenizers import ByteLevel
 
-            self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall
+            self.find, self.merge = regex.compile(PATTERN).findall, self.tok.model.tokenize
             self.spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
             self.added = [x["content"] for x in own["added_tokens"]]
 
-    def _word(self, word: str) -> bytes:
-        ids = np.array([t.id for t in self.tok.model.tokenize(self.spell(word)[0][0])]).astype(self.kind).tobytes()
+    def _run(self, run: str) -> bytes:
+        words = (run,) if run.isalpha() else self.find(run)
+        # Printable ASCII is spelt as it stands.
+        ids = [t.id for w in words for t in self.merge(w if w.isascii() and w.isprintable() else self.spell(w)[0][0])]
         if len(self.ids) >= _KEPT:
             self.ids.clear()
-        self.ids[word] = ids
-        return ids
+        self.ids[run] = found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return found
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.quick or _BEYOND.search(text) or any(a in text for a in self.added):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids).astype(self.kind)
-        get, new = self.ids.get, self._word
-        return np.frombuffer(b"".join([get(w) or new(w) for w in self.find(text.lower())]), self.kind)
+        get, new = self.ids.get, self._run
+        return np.frombuffer(b"".join([get(r) or new(r) for r in text.lower().split()]), self.kind)
 
 
 @cache
@@ -278,6 +283,8 @@ def write_shards(docs: DataFrame, place: str, path: str, end_id: int, doc_id: st
                     made, writer = made + 1, Writer(width)
         if writer.keys:
             yield file()
+        del writer
+        give_back()
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).withColumn("salt", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt", "text").select("doc_id", "text")
