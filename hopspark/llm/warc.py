@@ -22,13 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopspark.llm.common import read_files, scratch_path, write_files
+from hopspark.llm.common import read_files, scratch_path, scratch_table, write_files
 
 #: An empty gzip member.
 END = gzip.compress(b"", mtime=0)
 #: A file closes once its records have this many bytes before compression.
 FILE_BYTES = 32_000_000
 MIN_REVISIT_BYTES = 1000
+#: Shared payloads (some 100 bytes each: digest, length, hash, identifier) up to which they are broadcast.
+BROADCAST_SHARED = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 _FILES = "kind string, file string, content binary"
@@ -79,13 +81,16 @@ def decide(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
 
     Of equal payloads of ``min_bytes`` or more, the record of the largest page_id is the
     response.  Digests are aggregated before they are joined back, so a payload that a
-    third of all pages share is one row on the other side.  Equality is that of SHA-1,
-    length and a second hash.
+    third of all pages share is one row on the other side; up to BROADCAST_SHARED such
+    rows are sent to every task, so that payloads stay where they are.  Equality is that
+    of SHA-1, length and a second hash.
     """
     full = pages.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long"), "second": F.xxhash64("payload")})
     keys = ["payload_digest", "payload_bytes", "second"]
     shared = full.where(F.col("payload_bytes") >= min_bytes).groupBy(*keys).agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL").drop("copies")
-    return full.join(shared, keys, "left").drop("second")
+    shared = scratch_table(shared, "shared-payloads")
+    few = shared.count() <= BROADCAST_SHARED
+    return full.join(F.broadcast(shared) if few else shared, keys, "left").drop("second")
 
 
 def write_monolithic(decided: DataFrame, place: str) -> None:
