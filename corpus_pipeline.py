@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hopspark.llm.bpe import bpe_round_trip
 from hopspark.llm.common import scratch_table, table
@@ -26,9 +27,15 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest doc_id."""
+    """Of each component of near-duplicates, the document with the smallest doc_id.
+
+    Of several rows with that doc_id the one with the smallest text hash and text stays.
+    Rows without a doc_id can't represent a group and are left out.
+    """
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    one = F.min_by(F.struct(*COLUMNS[1:]), F.struct(F.xxhash64("text"), "text"))
+    return rows.groupBy("doc_id").agg(one.alias("row")).select("doc_id", "row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
