@@ -40,7 +40,7 @@ def hybrid(questions: DataFrame, chunks: DataFrame, edges: DataFrame, entities:
     One vector search serves seeds and fill.  Expansions are cut to their number before
     chunks that came up earlier are dropped, so repeats use up the budget.
     """
-    hits = vector_topk(questions, chunks, settings.final_k * settings.oversample).persist()
+    hits = vector_topk(questions, chunks, settings.final_k * settings.oversample)
     seeds = hits.where(F.col("rank") <= settings.seed_k).select("question_id", "rank", abstract_of(F.col("chunk_id")).alias("seed"))
     more = expansions(seeds.select(F.col("seed").alias("chunk_id")).distinct(), edges, entities, settings)
     spot = lambda stage, a, b: [F.lit(stage).alias("stage"), F.col(a).alias("at"), (F.col(b) if b else F.lit(0)).alias("pos")]
