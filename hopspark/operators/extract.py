@@ -25,9 +25,10 @@ def parse_triples(replies: DataFrame) -> DataFrame:
 def cooccurrence_triples(chunks: DataFrame, longest: int = 30) -> DataFrame:
     """The offline extractor: capitalised words of a chunk that follow one another are related.
 
-    A row per distinct pair of consecutive names of at most ``longest`` characters.
+    A row per distinct pair of consecutive names of 2 to ``longest`` characters.
     """
-    names = F.filter(F.regexp_extract_all("text", F.lit(r"(?U)\b(\p{Lu}[\w-]+)"), F.lit(1)), lambda n: F.length(n) <= longest)
+    runs = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1))
+    names = F.filter(runs, lambda n: F.length(n).between(2, longest) & F.rlike(n, F.lit(r"^\p{Lu}")))
     rows = chunks.select("chunk_id", names.alias("n")).where("size(n) > 1")
     pairs = F.transform(F.sequence(F.lit(1), F.size("n") - 1), lambda i: F.struct(F.get("n", i - 1).alias("source"), F.get("n", i).alias("target")))
     return rows.select("chunk_id", F.explode(F.array_distinct(pairs)).alias("p")).where("p.source <> p.target").select(F.col("p.source").alias("source"), F.lit("related_to").alias("relation"), F.col("p.target").alias("target"), F.col("chunk_id").alias("source_chunk_id"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from hopspark.config import Settings
 from hopspark.functions import text as T
 from hopspark.functions import vector as V
-from hopspark.operators import evaluate, extract, graph, resolve, retrieve, synthesis
+from hopspark.operators import ann, evaluate, extract, graph, resolve, retrieve, synthesis
 from hopspark.plans import systems
-from hopspark.plans.ingest import body_excerpt
+from hopspark.plans.ingest import body_excerpt, build_graph
 from hopspark.sources import files, sinks, testdata
 
 #: The synthetic vectors are further apart than those of a sentence encoder.
@@ -53,6 +53,14 @@ def vector_topk_batch(spark, sf_dir):
     return _long(found, "rank").withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def vector_topk_ivf(spark, sf_dir):
+    """The batch search through an inverted-file index; recall against the exact search is at least 0.9."""
+    index, centroids = ann.build(testdata.vec_chunks(spark, sf_dir).select(F.col("chunk_id").alias("item_id"), "embedding"))
+    asked = testdata.vec_questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), "embedding")
+    return _long(ann.search(asked, index, centroids, 20), "rank").withColumn("similarity", F.round("similarity", 6))
+
+
 @query
 def vector_normalize(spark, sf_dir):
     vecs = testdata.table(spark, sf_dir, "embeddings")
@@ -142,6 +150,14 @@ def extract_triples_offline(spark, sf_dir):
     return extract.cooccurrence_triples(testdata.chunks(spark, sf_dir).where("chunk_index > 0"))
 
 
+@query
+def incremental_graph(spark, sf_dir):
+    """Edges of the chunks of papers that an earlier run, which did those of even number, has left."""
+    rows = testdata.chunks(spark, sf_dir)
+    done = rows.where("substr(paper_id, 2) % 2 = 0").select("paper_id").distinct()
+    return build_graph(rows, done)[1]
+
+
 @query
 def entity_resolution_exact(spark, sf_dir):
     return resolve.resolve_exact(testdata.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
@@ -273,6 +289,23 @@ def sources_block(spark, sf_dir):
     return sources.select("question_id", T.sources_block(F.col("s")).alias("block"))
 
 
+@query
+def plan_sub_questions(spark, sf_dir):
+    talk = testdata.table(spark, sf_dir, "conversations")
+    asked = talk.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+    return _long(systems.sub_questions(asked, 2), "part")
+
+
+@query
+def answer_form(spark, sf_dir):
+    """Turns as answers, every second one with a citation; every seventh question is blank."""
+    talk = testdata.table(spark, sf_dir, "conversations")
+    key = F.concat_ws("-", "conv_id", "turn").alias("question_id")
+    cited = F.array(F.struct(F.col("role").alias("claim"), F.array(F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_ids")))
+    said = talk.select(key, F.col("text").alias("answer"), F.when(F.col("turn") % 2 == 0, cited).otherwise(F.slice(cited, 1, 0)).alias("citations"))
+    return systems.answer_ui(talk.select(key, F.when(F.col("turn") % 7 == 0, F.lit(" ")).otherwise(F.col("text")).alias("question")), said)
+
+
 # Evaluation
 
 
@@ -300,6 +333,20 @@ def lexical_judge(spark, sf_dir):
     return said.join(gold, "question_id").select("system", "question_id", evaluate.lexical_judge(F.col("gold_answer"), F.col("predicted_answer")).alias("correct"))
 
 
+@query
+def parse_verdicts(spark, sf_dir):
+    """Replies of a judge: right, wrong, without a verdict, and no JSON."""
+    talk = testdata.table(spark, sf_dir, "conversations")
+    replies = ['{"correct": true, "reasoning": "x"}', '{"correct": false}', '{"reasoning": "x"}', "no JSON"]
+    reply = F.element_at(F.array(*map(F.lit, replies)), (F.col("turn") % 4 + 1).cast("int"))
+    return talk.select("conv_id", "turn", evaluate.parse_verdict(reply).alias("correct"))
+
+
+@query
+def comparison_lines(spark, sf_dir):
+    return evaluate.comparison_lines(compare_systems(spark, sf_dir))
+
+
 @query
 def compare_systems(spark, sf_dir):
     gold, said = _labelled(spark, sf_dir)

@@ -32,7 +32,7 @@ def _clean(c: str) -> str:
 
 def _entity(c: str) -> str:
     c = f"regexp_replace(regexp_replace(lower({c}), '^{_BLANKS}+', ''), '{_BLANKS}+$', '')"
-    return f"regexp_replace(regexp_replace({c}, '[^\\w\\s-]', '', 'g'), '{_BLANKS}+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({c}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s-]', '', 'g'), '{_BLANKS}+', ' ', 'g')"
 
 
 def _entity_id(c: str) -> str:
@@ -267,6 +267,13 @@ def _html(c: str) -> str:
     return _clean(c)
 
 
+_TRIPLES = r"""
+    named AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_-]+'), lambda n: length(n) BETWEEN 2 AND 30 AND regexp_matches(n, '^\p{Lu}')) AS n FROM chunks),
+    triples AS (
+        SELECT DISTINCT n[i] AS source, 'related_to' AS relation, n[i + 1] AS target, chunk_id AS source_chunk_id
+        FROM (SELECT *, unnest(range(1, len(n))) AS i FROM named) WHERE n[i] <> n[i + 1]
+    )"""
+
 ORACLE = {
     "vector_topk": _with(_VEC, _ASKED, _hits(20)) + "SELECT chunk_id, round(similarity, 6) AS similarity, rank FROM hits WHERE question_id = 0",
     "vector_topk_batch": _with(_VEC, _ASKED, _hits(20)) + "SELECT question_id, chunk_id, round(similarity, 6) AS similarity, rank FROM hits",
@@ -361,4 +368,24 @@ ORACLE = {
     """,
     "grounded_answers": _with(*_RETRIEVAL, _VPAPERS, _SCORED_HYBRID, _said("capped")) + "SELECT question_id, answer, n_citations FROM said",
     "end_to_end_answers": _with(*_ORCHESTRATED, _said("passed")) + "SELECT question_id, answer, n_citations FROM said",
+    "extract_triples_offline": _with(_PAPERS, _CHUNKS, _TRIPLES) + "SELECT source, relation, target, source_chunk_id FROM triples WHERE NOT ends_with(source_chunk_id, '#abstract')",
+    "incremental_graph": _with(_PAPERS, _CHUNKS, _TRIPLES)
+    + f"""
+        SELECT {_entity_id("source")} AS source_entity_id, relation, {_entity_id("target")} AS target_entity_id, source_chunk_id
+        FROM triples WHERE substr(split_part(source_chunk_id, '#', 1), 2)::BIGINT % 2 <> 0
+    """,
+    "plan_sub_questions": """
+        WITH p AS (SELECT conv_id || '-' || turn AS question_id, list_filter(regexp_split_to_array(text, '[.?!][\\s\\x0b]+'), lambda s: trim(s) <> '') AS parts FROM conversations)
+        SELECT question_id, CAST(i AS BIGINT) AS part, parts[i] AS question FROM (SELECT *, unnest(range(1, 3)) AS i FROM p WHERE len(parts) > 1) WHERE i <= len(parts)
+    """,
+    "answer_form": """
+        SELECT conv_id || '-' || turn AS question_id, CASE WHEN turn % 7 = 0 OR trim(text) = '' THEN '' ELSE text END AS answer,
+               CASE WHEN turn % 7 = 0 OR trim(text) = '' THEN '' WHEN turn % 2 = 0 THEN '1. ' || role || chr(10) || '   `' || conv_id || ', ' || turn || '`' ELSE '_(no citations — see answer above)_' END AS citations
+        FROM conversations
+    """,
+    "parse_verdicts": "SELECT conv_id, turn, turn % 4 = 0 AS correct FROM conversations",
+    "comparison_lines": "SELECT printf('%-20s%5d%11.2f%%%13.2f%%%11.2f%%%14.1f', system, n_questions, round(mean_accuracy * 100, 2), round(mean_precision * 100, 2), round(mean_recall * 100, 2), mean_latency_ms) AS line FROM ("
+    + _with(*_GRADED)
+    + _report(["forward", "backward", "idle"])
+    + ")",
 }

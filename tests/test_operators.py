@@ -242,3 +242,30 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("neighbor_chunks", "hybrid_retrieval", "subtopic_bridge"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_index_recall(spark):
+    from hopspark.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    exact = {(r.question_id, r.chunk_id) for r in QUERIES["vector_topk_batch"](spark, sf).collect()}
+    found = {(r.query_id, r.item_id) for r in QUERIES["vector_topk_ivf"](spark, sf).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_index_holds_every_row(spark):
+    from hopspark.operators import ann
+
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(300)] + [(900, None)]
+    index, centroids = ann.build(spark.createDataFrame(rows, "item_id long, embedding array<float>"), 7)
+    assert index.count() == 300 and len(centroids) == 7
+    asked = spark.createDataFrame([(k, v) for k, v in rows[:20]], "query_id long, embedding array<float>")
+    assert [r.item_id for r in ann.search(asked, index, centroids, 1, 1).orderBy("query_id").collect()] == list(range(20))
+
+
+def test_founders_from_an_earlier_batch(spark):
+    ddl = "item_id long, embedding array<double>"
+    old = spark.createDataFrame([(1, [1.0, 0.0])], ddl)
+    new = spark.createDataFrame([(5, [1.0, 0.05]), (6, [0.0, 1.0])], ddl)
+    assert {r.item_id: r.founder_id for r in resolve.resolve_greedy(new, 0.9, old).collect()} == {1: 1, 5: 1, 6: 6}
