@@ -37,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopspark.llm.common import give_back, read_files, scratch_path, write_files
+from hopspark.llm.common import give_back, read_files, scratch_path, scratch_table, write_files
 
 MAGIC = b"HSST\x01\n"
 FOOTER = struct.Struct("<QQQQIQQQII")
 BLOCK_BYTES = 64_000
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 BITS_PER_KEY, PROBES = 10, 7
 
 _ROWS = "doc_id long, shard string, within long, n_tokens long, ids_crc32 long"
@@ -207,7 +207,7 @@ _BEYOND = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u02ff]")
 #: The pattern of the tokenizers that are cut here (fixed value); no match holds a blank.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Runs whose ids a worker keeps, beyond which it starts anew.
-_KEPT = 600_000
+_KEPT = 500_000
 
 
 class Encoder:
@@ -234,13 +234,19 @@ class Encoder:
             self.spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
             self.added = [x["content"] for x in own["added_tokens"]]
 
-    def _run(self, run: str) -> bytes:
-        words = (run,) if run.isalpha() else self.find(run)
+    def _word(self, word: str) -> bytes:
         # Printable ASCII is spelt as it stands.
-        ids = [t.id for w in words for t in self.merge(w if w.isascii() and w.isprintable() else self.spell(w)[0][0])]
+        ids = [t.id for t in self.merge(word if word.isascii() and word.isprintable() else self.spell(word)[0][0])]
+        self.ids[word] = found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return found
+
+    def _run(self, run: str) -> bytes:
         if len(self.ids) >= _KEPT:
             self.ids.clear()
-        self.ids[run] = found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        if run.isalpha():
+            return self._word(run)
+        # A word by itself is cut as it is within a run, so one table serves both.
+        self.ids[run] = found = b"".join([self.ids.get(w) or self._word(w) for w in self.find(run)])
         return found
 
     def __call__(self, text: str) -> np.ndarray:
@@ -298,11 +304,14 @@ def read_shards(spark: SparkSession, place: str) -> DataFrame:
         for batch in batches:
             for shard, content in zip(batch.column(0), batch.column(1), strict=True):
                 keys, counts, sums = [], [], []
-                for key, ids in Reader(content.as_py()):
+                reader = Reader(content.as_py())
+                for key, ids in reader:
                     keys.append(id_of(key))
                     counts.append(len(ids))
                     sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 within = np.cumsum(counts) - counts
+                if (len(counts), sum(counts)) != (reader.entries, reader.ids):
+                    raise ValueError(f"entries of {shard} differ from its footer")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array([shard.as_py()] * len(keys), pa.string()), pa.array(within), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())],
                     [x.split()[0] for x in _ROWS.split(", ")],
@@ -327,18 +336,8 @@ def token_shards(docs: DataFrame, path: str, end_id: int = 2, doc_id: str = "doc
     write_shards(docs, place, path, end_id, doc_id, text)
     if spark.read.format("binaryFile").load(place).select("path").isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
-    entries = read_shards(spark, place)
+    entries = scratch_table(read_shards(spark, place), "entries")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = read_totals(spark, place).withColumn("ahead", F.coalesce(F.sum("ids").over(before), F.lit(0))).drop("ids")
-    return entries.join(totals, "shard").select("doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard")
-
-
-def read_totals(spark: SparkSession, place: str) -> DataFrame:
-    """The number of ids in each shard, from the footers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            totals = [Reader(x.as_py()).ids for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], ["shard", "ids"])
-
-    return read_files(spark, place).select(F.col("shard").cast("string"), "content").mapInArrow(run, "shard string, ids long")
+    totals = entries.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
+    ahead = totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ahead"))
+    return entries.join(ahead, "shard").select("doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard")
