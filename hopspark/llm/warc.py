@@ -31,6 +31,8 @@ FILE_BYTES = 32_000_000
 MIN_REVISIT_BYTES = 1000
 #: Shared payloads (some 100 bytes each: digest, length, hash, identifier) up to which they are broadcast.
 BROADCAST_SHARED = 100_000
+#: Bytes of sidecar indexes up to which they are broadcast; beyond, archives and indexes meet by a shuffle.
+BROADCAST_INDEX = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 
 _FILES = "kind string, file string, content binary"
@@ -213,10 +215,12 @@ def read_pages(spark: SparkSession, place: str) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [x.split()[0] for x in _PAGES.split(", ")])
 
-    files = read_files(spark, place).select("kind", F.col("file").cast("string").alias("file"), "content")
+    files = read_files(spark, place).select("kind", F.col("file").cast("string").alias("file"), "length", "content")
     archives = files.where("kind = 'warc'").select("file", F.col("content").alias("archive"))
-    sidecars = files.where("kind = 'index'").select("file", F.col("content").alias("sidecar"))
-    return archives.join(sidecars, "file").select("file", "archive", "sidecar").mapInArrow(run, _PAGES)
+    indexes = files.where("kind = 'index'")
+    few = (indexes.agg(F.sum("length")).first()[0] or 0) <= BROADCAST_INDEX  # lengths come from the listing
+    sidecars = indexes.select("file", F.col("content").alias("sidecar"))
+    return archives.join(F.broadcast(sidecars) if few else sidecars, "file").select("file", "archive", "sidecar").mapInArrow(run, _PAGES)
 
 
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", place: str | None = None) -> DataFrame:

@@ -30,6 +30,7 @@ def test_revisits_and_odd_pages(spark):
 
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_SHARED", 0)
+    monkeypatch.setattr(warc, "BROADCAST_INDEX", 0)
     df = spark.createDataFrame([(k, "u", "x" * 1000 * (k % 3 + 1)) for k in range(30)], "page_id long, url string, html string")
     got = archived(df)
     assert {k: v[3] for k, v in got.items()} == {k: None if k > 26 else 27 + k % 3 for k in range(30)}
