@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from hopspark.functions.text import STOPWORDS
 from hopspark.operators.synthesis import NO_EVIDENCE
 
@@ -267,6 +269,33 @@ def _html(c: str) -> str:
     return _clean(c)
 
 
+
+
+def _other(part: str) -> str:
+    """The same with names of its own for what comes after retrieval."""
+    for name in ("scored", "capped", "claims", "kept", "said"):
+        part = re.sub(rf"\b{name}\b", f"o_{name}", part)
+    return part
+
+
+def _top_sentence(ranked: str) -> str:
+    return f"(SELECT {_first('v.text')} FROM {ranked} t JOIN vec v USING (chunk_id) WHERE t.question_id = a.question_id AND t.rank = 1)"
+
+
+def _answered(system: str, ranked: str, said: str) -> str:
+    return f"SELECT '{system}' AS system, a.question_id, coalesce((SELECT list(t.chunk_id ORDER BY t.rank) FROM {ranked} t WHERE t.question_id = a.question_id), []) AS ids, coalesce({said}, '') AS said FROM asked a"
+
+
+_PREDICTED = "flat AS (SELECT * FROM hits WHERE rank <= 20), predicted AS (" + " UNION ALL ".join(
+    (
+        _answered("flat", "flat", _top_sentence("flat")),
+        _answered("hybrid", "hybrid", _top_sentence("hybrid")),
+        _answered("reranked", "capped", _top_sentence("capped")),
+        _answered("grounded", "capped", "(SELECT s.answer FROM said s WHERE s.question_id = a.question_id)"),
+        _answered("orchestrated", "(SELECT * FROM passed WHERE rank <= 5)", "(SELECT s.answer FROM o_said s WHERE s.question_id = a.question_id)"),
+    )
+) + ")"
+
 _TRIPLES = r"""
     named AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_-]+'), lambda n: length(n) BETWEEN 2 AND 30 AND regexp_matches(n, '^\p{Lu}')) AS n FROM chunks),
     triples AS (
@@ -388,4 +417,22 @@ ORACLE = {
     + _with(*_GRADED)
     + _report(["forward", "backward", "idle"])
     + ")",
+    "system_report": _with(
+        _VEC,
+        _ASKED,
+        _VPAPERS,
+        _hits(60),
+        _VEDGES,
+        _DEGREES,
+        _NEIGHBORS,
+        _BRIDGES,
+        _EXPANSIONS,
+        _HYBRID,
+        _SCORED_HYBRID,
+        _said("capped"),
+        *(_other(part) for part in (*_ORCHESTRATED[-3:], _said("passed"))),
+        _PREDICTED,
+        _graded("SELECT p.*, [a.gold] AS gold, a.question AS gold_answer, 0.0 AS ms FROM predicted p JOIN asked a USING (question_id)"),
+    )
+    + _report(["flat", "hybrid", "reranked", "grounded", "orchestrated"]),
 }
