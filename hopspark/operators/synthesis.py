@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopspark.functions.text import alnum_tokens, content_tokens, coverage, first_sentence
 
+# Fixed value: what is said when nothing supports an answer.
 NO_EVIDENCE = "I don't have enough grounded evidence in the retrieved sources to answer this confidently."
 
 

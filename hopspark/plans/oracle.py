@@ -435,4 +435,20 @@ ORACLE = {
         _graded("SELECT p.*, [a.gold] AS gold, a.question AS gold_answer, 0.0 AS ms FROM predicted p JOIN asked a USING (question_id)"),
     )
     + _report(["flat", "hybrid", "reranked", "grounded", "orchestrated"]),
+    "entity_resolution_greedy": _with(
+        f"pairs AS (SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_cos('x.embedding', 'y.embedding')} AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE s >= 0.35)",
+        "arrivals AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS nth FROM embeddings)",
+        """
+        steps AS (
+            SELECT nth, vec_id AS item_id, vec_id AS founder_id, [vec_id] AS founders FROM arrivals WHERE nth = 1
+            UNION ALL
+            SELECT nth, item_id, coalesce(best, item_id), CASE WHEN best IS NULL THEN list_append(founders, item_id) ELSE founders END
+            FROM (
+                SELECT n.nth, n.vec_id AS item_id, g.founders, arg_max(p.a, row(p.s, -p.a)) AS best
+                FROM steps g JOIN arrivals n ON n.nth = g.nth + 1 LEFT JOIN pairs p ON p.b = n.vec_id AND list_contains(g.founders, p.a)
+                GROUP BY n.nth, n.vec_id, g.founders
+            )
+        )""",
+    )
+    + "SELECT item_id, founder_id FROM steps",
 }
