@@ -15,6 +15,18 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    whole = f"GNU {name} General Public License, version {version}"
+    return [f"This work is licensed under the {whole}.", f"Licensed under the {whole}.", f"Released under the {whole}.", whole]
+
+
+def _cc(long: str, short: str) -> list[str]:
+    whole = f"Creative Commons {long} 4.0 International License"
+    return [f"This work is licensed under a {whole}.", f"This work is licensed under the {whole}.", f"Licensed under {short} 4.0.", f"This work is licensed under {short} 4.0."]
+
+
 # Identifiers of licence sentences, and their wordings.
 SENTENCES = {
     "mit-name": [
@@ -23,18 +35,22 @@ SENTENCES = {
         "This project is licensed under the MIT License.",
         "This software is released under the MIT License.",
         "MIT License",
-        "SPDX-License-Identifier: MIT",
     ],
     "mit-grant": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
     ],
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit-as-is": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    ],
+    "mit-liability": [
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ],
     "apache-2-name": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\");",
         "Released under the Apache License, Version 2.0.",
         "Apache License, Version 2.0",
-        "SPDX-License-Identifier: Apache-2.0",
     ],
     "apache-2-compliance": ["you may not use this file except in compliance with the License."],
     "apache-2-as-is": [
@@ -45,13 +61,11 @@ SENTENCES = {
         "Licensed under the GNU General Public License, version 3.",
         "Released under the GNU General Public License, version 3.",
         "GNU General Public License, version 3",
-        "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "gpl-2-name": [
         "This work is licensed under the GNU General Public License, version 2.",
         "Licensed under the GNU General Public License, version 2.",
         "Released under the GNU General Public License, version 2.",
-        "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "gpl-redistribute-3": [
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
@@ -62,8 +76,26 @@ SENTENCES = {
     "gpl-version-2": ["either version 2 of the License, or (at your option) any later version."],
     "gpl-no-warranty": [
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
     ],
     "gpl-merchantability": ["without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "lgpl-3-name": _gnu("Lesser", "3"),
+    "lgpl-2.1-name": _gnu("Lesser", "2.1"),
+    "agpl-3-name": _gnu("Affero", "3"),
+    "lgpl-redistribute-3": [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "agpl-redistribute-3": [
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "lgpl-redistribute": [
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ],
+    "agpl-redistribute": [
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
+    "gpl-version-2.1": ["either version 2.1 of the License, or (at your option) any later version."],
+    "gpl-version-3": ["either version 3 of the License, or (at your option) any later version."],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": [
@@ -75,13 +107,18 @@ SENTENCES = {
     "bsd-as-is": [
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
     ],
-    "bsd-3-name": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "bsd-3-name": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License."],
     "isc-grant": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     ],
+    "isc-as-is": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ],
+    "isc-liability": [
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ],
     "mpl-2-name": [
         "Licensed under the Mozilla Public License, version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
     ],
     "mpl-2-subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
     "mpl-2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
@@ -96,6 +133,10 @@ SENTENCES = {
         "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
     ],
+    "cc-by-nc-4-name": _cc("Attribution-NonCommercial", "CC BY-NC"),
+    "cc-by-nc-sa-4-name": _cc("Attribution-NonCommercial-ShareAlike", "CC BY-NC-SA"),
+    "cc-by-nd-4-name": _cc("Attribution-NoDerivatives", "CC BY-ND"),
+    "cc-by-nc-nd-4-name": _cc("Attribution-NonCommercial-NoDerivatives", "CC BY-NC-ND"),
     "all-rights-reserved": ["All rights reserved."],
 }
 
@@ -103,24 +144,47 @@ SENTENCES = {
 RULES = {
     "mit-name": ("MIT", ["mit-name"]),
     "mit-text": ("MIT", ["mit-grant", "mit-notice"]),
+    "mit-whole-text": ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
     "apache-2-name": ("Apache-2.0", ["apache-2-name"]),
     "apache-2-header": ("Apache-2.0", ["apache-2-name", "apache-2-compliance", "apache-2-as-is"]),
     "gpl-3-name": ("GPL-3.0-only", ["gpl-3-name"]),
     "gpl-2-name": ("GPL-2.0-only", ["gpl-2-name"]),
     "gpl-3-header": ("GPL-3.0-or-later", ["gpl-redistribute-3", "gpl-no-warranty", "gpl-merchantability"]),
+    "lgpl-3-name": ("LGPL-3.0-only", ["lgpl-3-name"]),
+    "lgpl-2.1-name": ("LGPL-2.1-only", ["lgpl-2.1-name"]),
+    "agpl-3-name": ("AGPL-3.0-only", ["agpl-3-name"]),
+    "lgpl-3-header": ("LGPL-3.0-or-later", ["lgpl-redistribute-3", "gpl-no-warranty", "gpl-merchantability"]),
+    "lgpl-3-parted-header": ("LGPL-3.0-or-later", ["lgpl-redistribute", "gpl-version-3", "gpl-no-warranty", "gpl-merchantability"]),
+    "lgpl-2.1-header": ("LGPL-2.1-or-later", ["lgpl-redistribute", "gpl-version-2.1", "gpl-no-warranty", "gpl-merchantability"]),
+    "agpl-3-header": ("AGPL-3.0-or-later", ["agpl-redistribute-3", "gpl-no-warranty", "gpl-merchantability"]),
+    "agpl-3-parted-header": ("AGPL-3.0-or-later", ["agpl-redistribute", "gpl-version-3", "gpl-no-warranty", "gpl-merchantability"]),
     "gpl-2-header": ("GPL-2.0-or-later", ["gpl-redistribute-2", "gpl-version-2", "gpl-no-warranty", "gpl-merchantability"]),
     "bsd-2-text": ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
     "bsd-3-text": ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"]),
     "bsd-3-name": ("BSD-3-Clause", ["bsd-3-name"]),
     "isc-text": ("ISC", ["isc-grant"]),
+    "isc-whole-text": ("ISC", ["isc-grant", "isc-as-is", "isc-liability"]),
     "mpl-2-name": ("MPL-2.0", ["mpl-2-name"]),
     "mpl-2-header": ("MPL-2.0", ["mpl-2-subject", "mpl-2-copy"]),
     "unlicense-text": ("Unlicense", ["unlicense-domain"]),
     "cc-by-4-name": ("CC-BY-4.0", ["cc-by-4-name"]),
     "cc-by-sa-4-name": ("CC-BY-SA-4.0", ["cc-by-sa-4-name"]),
+    "cc-by-nc-4-name": ("CC-BY-NC-4.0", ["cc-by-nc-4-name"]),
+    "cc-by-nc-sa-4-name": ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4-name"]),
+    "cc-by-nd-4-name": ("CC-BY-ND-4.0", ["cc-by-nd-4-name"]),
+    "cc-by-nc-nd-4-name": ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4-name"]),
     "all-rights-reserved": ("LicenseRef-all-rights-reserved", ["all-rights-reserved"]),
 }
 
+# Names in SPDX tags.  A text is cut after the tag's colon, so tag and name are two sentences.
+SPDX = [
+    *("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense"),
+    *(f"{name}-{end}" for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("only", "or-later")),
+    *(f"CC-{kind}-4.0" for kind in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")),
+]
+SENTENCES |= {"spdx-tag": ["SPDX-License-Identifier:"]} | {f"spdx-{name}": [name] for name in SPDX}
+RULES |= {f"spdx-{name}": (name, ["spdx-tag", f"spdx-{name}"]) for name in SPDX}
+
 #: Sentences end at these marks before a blank or the end, and at blank lines.
 _ENDS = r"[.!?;:]+([ \t\r\n]+|\z)|\n[ \t\r]*\n"
 _OTHER = "[^a-z0-9]+"

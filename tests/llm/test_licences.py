@@ -51,3 +51,55 @@ def test_odd_rows(spark, odd, none):
 
 def test_no_python_on_the_executors(odd):
     assert not re.search("Python|Pandas|Arrow", L.licence_matches(odd)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_notices_of_the_documents(spark):
+    """Texts with a notice, found by a pattern and not by SENTENCES, all give its licence."""
+    sf = "/root/testdata/sf0.01"
+    notices = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "All rights reserved.": "LicenseRef-all-rights-reserved"}
+    found = {(r.doc_id, r.licence) for r in QUERIES["op7_licence_rules"](spark, sf).collect()}
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text]
+    for notice, licence in notices.items():
+        ids = {k for k, t in texts if notice in t}
+        assert ids and ids == {k for k, x in found if x == licence}, notice
+    planted = re.compile(r"(?i)^(?:(?:this work is )?licensed|released) under [^\n]*$|^all rights reserved\.$", re.M)
+    assert {k for k, t in texts if planted.search(t)} <= {k for k, _ in found}
+
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+
+
+def test_wordings_of_other_licences(spark):
+    said = [
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1-only"),
+        (LGPL, "LGPL-2.1-or-later"),
+        (LGPL.replace("version 2.1", "version 3"), "LGPL-3.0-or-later"),
+        (AGPL, "AGPL-3.0-or-later"),
+        ("// SPDX-License-Identifier: AGPL-3.0-only\nimport os", "AGPL-3.0-only"),
+        ("# SPDX-License-Identifier: MIT\n", "MIT"),
+        ("SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+        ("MIT", None),
+        ("AGPL-3.0-only. SPDX-License-Identifier: unknown", None),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(said)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.licence) for r in L.licence_matches(df).collect()) == [(k, x) for k, (_, x) in enumerate(said) if x]
