@@ -16,7 +16,7 @@ from hopspark.llm.decontamination import decontaminate
 from hopspark.llm.quality_rules import keep_good
 from hopspark.llm.queries import MULTI_RANKS
 from hopspark.llm.secret_links import redact
-from hopspark.llm.simhash import near_duplicates
+from hopspark.llm.simhash import representatives, row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,15 +27,17 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document with the smallest doc_id.
+    """Of each component of near-duplicates, its smallest row by doc_id (null last), text hash and text.
 
-    Of several rows with that doc_id the one with the smallest text hash and text stays.
-    Rows without a doc_id can't represent a group and are left out.
+    Rows are told apart by doc_id and text: of rows that share a doc_id, or have none,
+    each counts in the component of its own text.
     """
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
-    one = F.min_by(F.struct(*COLUMNS[1:]), F.struct(F.xxhash64("text"), "text"))
-    return rows.groupBy("doc_id").agg(one.alias("row")).select("doc_id", "row.*")
+    rows = docs.select(*COLUMNS, row_key().alias("key")).select(*COLUMNS, "key.*")
+    kept = rows.join(representatives(docs), ["no_id", "id", "text_hash"], "left_semi")
+    # Rows alike in the key are copies; the text leads, should hashes ever collide.
+    one = F.min(F.struct("text", "lang", "source", "n_chars"))
+    first = kept.groupBy("no_id", "id", "text_hash").agg(F.any_value("doc_id").alias("doc_id"), one.alias("row"))
+    return first.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopspark.llm.common import scratch_table, text_bytes
@@ -47,15 +47,19 @@ def fingerprint(data: bytes) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; fp has the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", struct: str = "") -> DataFrame:
+    """(doc_id, fp) for each row; fp has the fingerprint's bits as a signed long.
+
+    ``doc_id`` is cast to long, or passed on as it is if its fields are given as ``struct``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(x.as_py() or b"") for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(text).alias("data")).mapInArrow(run, "doc_id long, fp long")
+    kind = f"struct<{struct}>" if struct else "long"
+    return docs.select(docs[doc_id].cast(kind).alias("doc_id"), text_bytes(text).alias("data")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -224,6 +228,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(prints: DataFrame, first: Column, radius: int) -> DataFrame:
+    """(fp, first, root): each distinct fingerprint, ``first`` over its rows, and its component's root."""
+    classes = scratch_table(prints.groupBy("fp").agg(first.alias("first")), "classes")
+    roots = components(links_of(classes, radius))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -234,9 +245,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     an empty one.
     """
     prints = scratch_table(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = scratch_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links_of(classes, radius))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.min("doc_id"), radius)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     found = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A struct that orders rows by doc_id (null last), then text hash."""
+    number = F.col(doc_id).cast("long")
+    return F.struct(number.isNull().alias("no_id"), F.coalesce(number, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text_hash"))
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The smallest :func:`row_key` (no_id, id, text_hash) of each component of :func:`near_duplicates`.
+
+    Components are told apart by their root fingerprint, so rows that share a doc_id, or
+    have none, count in the component of their own text.
+    """
+    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[text].alias("text"))
+    prints = scratch_table(fingerprints(keyed, "key", "text", "no_id boolean, id long, text_hash long"), "fingerprints")
+    rooted = _rooted(prints, F.min("doc_id"), radius)
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")

@@ -48,6 +48,25 @@ def test_stages_return_the_columns_of_documents(spark, odd, none):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() == odd.count()
 
 
+def test_one_row_of_each_component_with_shared_and_missing_ids(spark):
+    """Compared with plain Python, where components are sets of rows."""
+    from hopspark.llm.simhash import RADIUS, fingerprint
+
+    prose = [" ".join(f"w{k}x{(j * j + 7 * k) % 101}" for j in range(60)) for k in range(9)]
+    a, b, c, d, e, f, g, h, i = prose
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, c), (7, d), (9, c), (9, c), (None, e), (None, e), (None, f), (11, f), (None, None), (12, g), (12, h), (None, h), (None, i)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, SF).collect()]
+
+    groups = []
+    for row in set(rows):
+        near = [x for x in groups if any((fingerprint((row[1] or "").encode()) ^ fingerprint((t or "").encode())).bit_count() <= RADIUS for _, t in x)]
+        groups = [x for x in groups if x not in near] + [[row, *(r for x in near for r in x)]]
+    assert len(groups) == 10
+    want = [min(x, key=lambda r: (r[0] is None, r[0] or 0)) for x in groups]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
