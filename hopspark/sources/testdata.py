@@ -52,8 +52,8 @@ def vec_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and the parts they bought, from the first line of each order."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    """Customers and the parts they bought, an edge per line of each order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     rows = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     return rows.select(F.concat(F.lit("c"), "o_custkey").alias("source_entity_id"), F.lit("bought").alias("relation"), F.concat(F.lit("p"), "l_partkey").alias("target_entity_id"), F.concat(F.lit("o"), "o_orderkey", F.lit("#abstract")).alias("source_chunk_id"))
 
