@@ -172,14 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fit on at most MAX_LABELLED labelled and MAX_POOL other documents.
 
     Labels other than 0 and 1 are left out; of several labels of a document the largest
-    counts; of several rows with one doc_id all are used with that label.
+    counts; of several rows with one doc_id the one with the smallest features is used.
     """
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     first = lambda df, n: df.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(n)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     known = first(given.join(ids, "doc_id", "left_semi"), MAX_LABELLED)
     others = first(ids.join(given, "doc_id", "left_anti"), MAX_POOL).select("doc_id", F.lit(-1).alias("label"))
-    wanted = F.broadcast(known.union(others).dropDuplicates(["doc_id"]))  # MAX_LABELLED + MAX_POOL rows at most
+    wanted = F.broadcast(known.union(others))  # MAX_LABELLED + MAX_POOL rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
 
     sample = _columns(docs).join(wanted, "doc_id").mapInArrow(run, "doc_id long, label int, features binary")
-    rows = sample.orderBy("doc_id", "features").limit(2 * (MAX_LABELLED + MAX_POOL)).toPandas()
+    rows = sample.groupBy("doc_id", "label").agg(F.min("features").alias("features")).orderBy("doc_id").toPandas()
     width = TRIGRAMS + _STATS
     x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, width + SOURCES + LANGS + 18), np.float32)
     fold = np.array([zlib.crc32(int(d).to_bytes(8, "little", signed=True)) % 10 for d in rows["doc_id"]], int)

@@ -79,3 +79,14 @@ def test_missing_columns_count_as_null(spark):
 @pytest.mark.parametrize("data", [b"", b"a", b"ab", "é漢".encode() * 50])
 def test_features_are_finite(data):
     assert np.isfinite(C.text_features(data)).all()
+
+
+def test_a_repeated_id_displaces_no_other(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_LABELLED", 40)
+    monkeypatch.setattr(C, "MAX_POOL", 20)
+    seen, fit = [], C.co_train
+    monkeypatch.setattr(C, "co_train", lambda *a, **k: seen.append(a) or fit(*a, **k))
+    docs = spark.createDataFrame([(0, f"text {k}") for k in range(500)] + [(k, f"text {k}") for k in range(1, 60)], "doc_id long, text string")
+    C.train(docs, spark.createDataFrame([(k, k % 2) for k in range(1, 41)], "doc_id long, quality int"))
+    label = seen[0][2]
+    assert (len(label), int((label >= 0).sum())) == (60, 40)
