@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopspark.sources.scratch import scratch_table
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b), roots included; a root is its component's smallest node.
 
-    Each round's edges are checkpointed, so the plan stays short and a lost executor
-    costs one round at most.
+    Large-star: each neighbour above a node links to the node's smallest neighbour;
+    small-star: each below, and the node, link to the smallest; until the edges no longer
+    change.  Each round's edges are written out, so the plan stays short and a lost
+    executor costs one round at most.  Minima are aggregated before they are joined back,
+    so a node with very many links is one row on that side.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
 
     def ordered(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -24,8 +24,9 @@ def connected(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    edges = scratch_table(edges.select("a", "b"), "links")
     nodes = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
-    now = ordered(edges).checkpoint()
+    now = scratch_table(ordered(edges), "edges")
     before = mark(now)
     while before[0]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,7 +34,7 @@ def connected(edges: DataFrame) -> DataFrame:
         large = ordered(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(least.select("a", F.col("low").alias("b")))
-        now = ordered(small).checkpoint()
+        now = scratch_table(ordered(small), "edges")
         after = mark(now)
         if after == before:
             break
