@@ -9,37 +9,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopspark.sources.scratch import scratch_path, scratch_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="hopspark-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/hopspark/{name}-{uuid.uuid4().hex}"
-
-
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    Cuts the lineage: what follows sees one fixed set of rows, however often its
-    tasks are run again.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bucketed_table", "give_back", "read_files", "scratch_path", "scratch_table", "slices", "table", "text_bytes", "write_files"]
 
 
 def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -81,6 +59,14 @@ def give_back() -> None:
         trim(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most ``rows`` rows, so that what is made of a piece stays small; memory goes back at the end of the task."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+    give_back()
+
+
 def text_bytes(text: str) -> Column:
     """The text's UTF-8 bytes, empty for null."""
     return F.coalesce(F.col(text), F.lit("")).cast("binary")

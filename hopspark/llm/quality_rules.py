@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hopspark.llm.common import slices, text_bytes
+
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, dup_line_chars long, dup_ngram_chars array<long>"
@@ -111,7 +113,7 @@ def verdict(m: dict) -> tuple[bool, bool]:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         cols: dict[str, list] = {k: [] for k in names}
         cols["doc_id"] = batch.column(0)
         for data in batch.column(1):
@@ -137,8 +139,6 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Null and empty texts have no words: all counts 0, base_failed, not kept.  Repeated
     rows and null ids are judged like any other; other columns are ignored.
     """
-    from hopspark.llm.common import text_bytes
-
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(text).alias("data")).mapInArrow(_judge, SCHEMA)
 
 
@@ -147,7 +147,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([verdict(measure((x.as_py() or "").encode()))[1] for x in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hopspark.llm.common import slices
+
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 REACH = 160
@@ -133,7 +135,7 @@ def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, in
 
 
 def _scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for data in batch.column(1):
             base, weak, links = scan(data.as_py() or "")
@@ -167,7 +169,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]", count:
     counted = schema.fieldNames().index(count) if count else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch.column(at).to_pylist()
             new = [x if x is None else cover(x, mark) for x in old]
             cols = list(batch.columns)

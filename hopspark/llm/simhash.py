@@ -3,18 +3,24 @@
 Fingerprints are 64 majority votes of the hashes of a text's word shingles.  Copies fall
 into one class first; only distinct fingerprints are searched.
 
-A tree on a bounded sample splits the space: at each node a vantage point ``v`` and a
-radius ``m`` send a fingerprint ``x`` to the inside (``d(x, v) <= m``) or outside.  By the
-triangle inequality two fingerprints within ``r`` of each other can lie on different
-sides only if the outer one has ``m < d <= m + r``; those, and no others, are sent to the
-inside as well.  Every linked pair thus meets in at least one shard, and is found there
-exactly: each shard goes on splitting by the same rule down to small leaves, which are
-compared in full.  A shard reports a spanning forest of its links, never all pairs, and
-the forests are joined to components by rounds of large-star and small-star steps.
+A tree splits the space: at each node a vantage point ``v`` and a radius ``m`` send a
+fingerprint ``x`` to the inside (``d(x, v) <= m``) or outside.  By the triangle inequality
+two fingerprints within ``r`` of each other can lie on different sides only if the outer
+one has ``m < d <= m + r``; those, and no others, are sent to the inside as well.  Every
+linked pair thus meets in at least one leaf, and is found there exactly.
+
+Trees are grown on samples, with boundary copies counted, so that the load of leaves is
+even.  A leaf that still holds more than twice SHARD_SIZE gets a tree of its own in a
+further round, so shards stay bounded whatever the number of fingerprints; nothing is
+held by the driver.  In a shard the same splitting goes on in memory down to small
+leaves, which are compared in full.  A shard reports a spanning forest of its links,
+never all pairs, and the forests are joined to components by rounds of large-star and
+small-star steps.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +28,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from hopspark.llm.common import scratch_table, text_bytes
+from hopspark.llm.common import give_back, scratch_table, slices, text_bytes
+from hopspark.operators.components import connected
 
 RADIUS = 2
-#: Fingerprints aimed at per shard, most shards, and most fingerprints in the sample that
-#: the tree of shards is built on (8 bytes each; the only thing the driver holds).
-SHARD_SIZE, MAX_SHARDS, SAMPLE = 8192, 4096, 65536
+#: Fingerprints aimed at per shard (8 bytes each); twice as many are split again.
+SHARD_SIZE = 32768
+#: Sample points aimed at per shard, and most in the sample of one tree (one task holds it).
+PER_SHARD, SAMPLE = 64, 65536
+#: Rounds of splitting: each makes a thousand shards of one, so the last is for corpora beyond any.
+MAX_ROUNDS = 3
+#: Large-shard identifiers (a long and a count each) up to which they are broadcast.
+BROADCAST_SHARDS = 500_000
 LEAF = 512
+#: A split must bring the work of comparing in full below this share of what it was.
+PAYS = 0.9
 
 
 def fingerprint(data: bytes) -> int:
@@ -47,19 +62,15 @@ def fingerprint(data: bytes) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", struct: str = "") -> DataFrame:
-    """(doc_id, fp) for each row; fp has the fingerprint's bits as a signed long.
-
-    ``doc_id`` is cast to long, or passed on as it is if its fields are given as ``struct``.
-    """
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp) for each row; fp has the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.fromiter((fingerprint(x.as_py() or b"") for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    kind = f"struct<{struct}>" if struct else "long"
-    return docs.select(docs[doc_id].cast(kind).alias("doc_id"), text_bytes(text).alias("data")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), text_bytes(text).alias("data")).mapInArrow(run, "doc_id long, fp long")
 
 
 def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
@@ -67,7 +78,7 @@ def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
 
 
 def split(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
-    """A vantage point and radius for ``points``; None if no split makes both sides smaller.
+    """A vantage point and radius for ``points``; None if no split pays.
 
     Of a few points spread over the input, each with every radius, the one under which
     the two sides, replicas included, cost least to compare in full.
@@ -81,20 +92,20 @@ def split(points: np.ndarray, radius: int) -> tuple[np.uint64, int] | None:
         cost = inner**2 + outer**2
         cost[(inner >= len(points)) | (outer <= 0)] = np.inf
         m = int(cost.argmin())
-        if np.isfinite(cost[m]) and (best is None or cost[m] < best[0]):
+        if cost[m] <= PAYS * len(points) ** 2 and (best is None or cost[m] < best[0]):
             best = (cost[m], v, m)
     return best and best[1:]
 
 
 def tree(sample: np.ndarray, size: int, radius: int) -> tuple | int:
-    """(vantage, radius, inside, outside) down to parts of ``size`` sample points; leaves are numbered."""
+    """(vantage, radius, inside, outside) down to parts of ``size`` sample points, boundary copies counted; leaves are numbered."""
     count = iter(range(1 << 30))
 
     def grow(points: np.ndarray) -> tuple | int:
         if len(points) <= size or (cut := split(points, radius)) is None:
             return next(count)
         d = distances(points, cut[0])
-        return (*cut, grow(points[d <= cut[1]]), grow(points[d > cut[1]]))
+        return (*cut, grow(points[d <= cut[1] + radius]), grow(points[d > cut[1]]))
 
     return grow(sample)
 
@@ -130,16 +141,17 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def leaf_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of linked pairs reduced to a spanning forest; points are sorted and distinct.
 
-    Compared in full, row block by row block; a large set that no sphere divides (all
-    points close together) has its neighbourhoods looked up instead, so that the work
-    stays in proportion to its size.
+    Compared in full, tile by tile; a large set that no sphere divides with profit (all
+    points close together) has its neighbourhoods looked up instead where the radius is
+    at most 2, so that the work stays in proportion to its size.
     """
     n = len(points)
     low = np.arange(n)
     if n <= 8192 or radius > 2:
-        for a in range(0, n, 256):
-            i, j = np.nonzero(np.bitwise_count(points[a : a + 256, None] ^ points[None, :]) <= radius)
-            low = forest(n, np.concatenate([np.arange(n), i + a]), np.concatenate([low, j]))
+        for a in range(0, n, 512):
+            for b in range(a, n, 8192):
+                i, j = np.nonzero(np.bitwise_count(points[a : a + 512, None] ^ points[None, b : b + 8192]) <= radius)
+                low = forest(n, np.concatenate([np.arange(n), i + a]), np.concatenate([low, j + b]))
     else:
         one = np.uint64(1) << np.arange(64, dtype=np.uint64)
         masks = one if radius == 1 else np.concatenate([one, *(one[k] ^ one[k + 1 :] for k in range(63))])
@@ -175,63 +187,66 @@ def links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> tuple[n
     return points[member], points[low[member]]
 
 
-def links_of(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): forests of links between the distinct fingerprints in ``classes.fp``."""
-    n = classes.count()
-    shards = int(min(MAX_SHARDS, max(1, -(-n // SHARD_SIZE))))
-    sample = classes.select("fp").orderBy(F.xxhash64(F.col("fp"), F.lit(7)), "fp").limit(min(SAMPLE, 64 * shards))
-    points = np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64)
-    top = tree(points, 64, radius) if shards > 1 else 0
+def shards_of(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(shard, fp): every fingerprint of ``classes.fp`` in each shard that it must meet others in.
+
+    Each round grows a tree for every shard of more than twice SHARD_SIZE, from a hashed
+    sample of its rows, and deals its rows by that tree.  A shard's rows are dealt in
+    parts, each led by a copy of the tree, so no task holds more than a batch and a tree.
+    A shard in which no split pays (fingerprints that differ in a few bits only) stays
+    whole: MAX_ROUNDS ends the attempts.
+    """
+    dealt = classes.select(F.lit(0).cast("long").alias("shard"), "fp")
+
+    def grow(sample: pd.DataFrame) -> pd.DataFrame:
+        points = np.unique(sample["fp"].to_numpy(np.int64)).view(np.uint64)
+        return pd.DataFrame({"shard": [sample["shard"].iloc[0]], "tree": [pickle.dumps(tree(points, PER_SHARD, radius))]})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, top = 0, 0
         for batch in batches:
-            mine = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shard, part in route(mine, top, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64))], ["shard", "fp"])
+            trees, points = batch.column("tree"), batch.column("fp").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            marks = np.flatnonzero(trees.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for a, b in zip([-1, *marks], [*marks, len(points)], strict=True):
+                if a >= 0:
+                    shard, top = batch.column("shard")[a].as_py(), pickle.loads(trees[a].as_py())
+                for leaf, part in route(points[a + 1 : b], top, radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard << 16 | leaf, np.int64)), pa.array(part.view(np.int64))], ["shard", "fp"])
+        give_back()
+
+    for _ in range(MAX_ROUNDS):
+        big = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_SIZE)
+        big = scratch_table(big, "large-shards")
+        if not (shards := big.count()):
+            break
+        own = dealt.join(F.broadcast(big) if shards <= BROADCAST_SHARDS else big, "shard")
+        wanted = F.least(F.lit(SAMPLE), F.ceil(F.col("n") / SHARD_SIZE) * PER_SHARD)
+        drawn = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), F.lit(1 << 40)) < F.lit(1 << 40) * (wanted / F.col("n"))
+        trees = own.where(drawn).select("shard", "fp").groupBy("shard").applyInPandas(grow, "shard long, tree binary")
+        parts = F.ceil(F.col("n") / (8 * SHARD_SIZE)).cast("int")
+        leads = trees.join(big, "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "tree", F.lit(None).cast("long").alias("fp"))
+        rows = own.select("shard", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), F.lit(None).cast("binary").alias("tree"), "fp")
+        n_tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        led = rows.unionByName(leads).repartition(n_tasks, "shard", "part").sortWithinPartitions("shard", "part", F.col("tree").isNull())
+        rest = dealt.join(F.broadcast(big.select("shard")) if shards <= BROADCAST_SHARDS else big.select("shard"), "shard", "left_anti")
+        dealt = scratch_table(led.select("shard", "tree", "fp").mapInArrow(deal, "shard long, fp long").unionByName(rest), "shards")
+    return dealt
+
+
+def links_of(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): forests of links between the distinct fingerprints in ``classes.fp``."""
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         a, b = links(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return classes.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b) that isn't its component's smallest.
-
-    Alternates large-star (each neighbour above a node links to the node's smallest
-    neighbour) and small-star (each below, and the node, link to the smallest) until the
-    edges no longer change; each round is written out.  Minima are aggregated before
-    they are joined back, so a node with very many links is one row on that side.
-    """
-
-    def tidy(e: DataFrame) -> DataFrame:
-        return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    def sign(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = scratch_table(tidy(edges), "edges")
-    before = sign(edges)
-    while before[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        down = tidy(large)
-        low = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
-        edges = scratch_table(tidy(small), "edges")
-        after = sign(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return shards_of(classes, radius).groupBy("shard").applyInPandas(search, "a long, b long")
 
 
 def _rooted(prints: DataFrame, first: Column, radius: int) -> DataFrame:
     """(fp, first, root): each distinct fingerprint, ``first`` over its rows, and its component's root."""
     classes = scratch_table(prints.groupBy("fp").agg(first.alias("first")), "classes")
-    roots = components(links_of(classes, radius))
+    roots = connected(links_of(classes, radius))
     return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -251,19 +266,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A struct that orders rows by doc_id (null last), then text hash."""
-    number = F.col(doc_id).cast("long")
-    return F.struct(number.isNull().alias("no_id"), F.coalesce(number, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("text_hash"))
-
+def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, for each component of :func:`near_duplicates`.
 
-def representatives(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The smallest :func:`row_key` (no_id, id, text_hash) of each component of :func:`near_duplicates`.
+    The row is the smallest by doc_id (null last), then text hash; of rows alike in both
+    any one.  Components are told apart by their root fingerprint, so rows that share a
+    doc_id, or have none, count in the component of their own text.
 
-    Components are told apart by their root fingerprint, so rows that share a doc_id, or
-    have none, count in the component of their own text.
+    Rows are written once, with their fingerprint and a number of their own.  All that
+    follows reads fingerprints and numbers; whole rows come in again at the end, where
+    they meet the chosen numbers in a join that neither sorts nor aggregates texts, and
+    in which no key has more than one row.
     """
-    keyed = docs.select(row_key(doc_id, text).alias("key"), docs[text].alias("text"))
-    prints = scratch_table(fingerprints(keyed, "key", "text", "no_id boolean, id long, text_hash long"), "fingerprints")
-    rooted = _rooted(prints, F.min("doc_id"), radius)
-    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    names = docs.columns
+    flat = docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(names)))  # no clash with names of our own
+    at, kept = names.index(text), StructType([*flat.schema.fields]).add("fp", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = np.fromiter((fingerprint((x.as_py() or "").encode()) for x in batch.column(at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fp"])
+
+    rows = scratch_table(flat.mapInArrow(run, kept).withColumn("row", F.monotonically_increasing_id()), "rows")
+    number = F.col(f"c{names.index(doc_id)}").cast("long")
+    key = F.struct(number.isNull().alias("no_id"), number.alias("id"), F.xxhash64(f"c{at}").alias("text_hash"), "row")
+    rooted = _rooted(rows.select("fp", key.alias("key")), F.min("key"), radius)
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(chosen.hint("shuffle_hash"), "row", "left_semi").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))

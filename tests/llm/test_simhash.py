@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from hopspark.llm import simhash as H
+from hopspark.operators.components import connected
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -111,17 +112,44 @@ def test_dense_sets_are_looked_up():
     assert len(member) == 8999 and (root == 0).all()
 
 
-def test_sharded_query_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(H, "SHARD_SIZE", 60)
+@pytest.mark.parametrize(("size", "sample"), [(60, 65536), (40, 128)])
+def test_sharded_query_equals_brute_force(spark, monkeypatch, size, sample):
+    """Also where samples are so small that shards are split again in further rounds."""
+    monkeypatch.setattr(H, "SHARD_SIZE", size)
+    monkeypatch.setattr(H, "PER_SHARD", 16)
+    monkeypatch.setattr(H, "SAMPLE", sample)
     p = points(300, 3)
     df = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp long")
     edges = H.links_of(df)
-    got = {r.node: r.root for r in H.components(edges).collect()}
+    got = {r.node: r.root for r in connected(edges).collect()}
     signed = [int(x) for x in p.view(np.int64)]
     groups = {}
     for k, r in zip(signed, true_roots(p), strict=True):
         groups.setdefault(r, []).append(k)
     assert {k: got.get(k, k) for k in signed} == {k: min(g) for g in groups.values() for k in g}
+    shards = H.shards_of(df).groupBy("shard").count()
+    assert shards.count() > 5
+
+
+def test_shards_stay_bounded_at_four_million():
+    """The rounds of shards_of in numpy, on points spread evenly, where boundary copies are most frequent."""
+    n = 4_000_000
+    p = np.random.default_rng(1).integers(0, 1 << 64, n, dtype=np.uint64)
+    done, todo, rounds = [], [p], 0
+    while todo:
+        rounds += 1
+        again = []
+        for part in todo:
+            want = min(H.SAMPLE, -(-len(part) // H.SHARD_SIZE) * H.PER_SHARD)
+            top = H.tree(part[:: max(1, len(part) // want)], H.PER_SHARD, 2)
+            sizes = {}
+            for leaf, x in H.route(part, top, 2):
+                sizes[leaf] = x
+            done += [len(x) for x in sizes.values() if len(x) <= 2 * H.SHARD_SIZE]
+            again += [x for x in sizes.values() if len(x) > 2 * H.SHARD_SIZE]
+        todo = again
+    assert rounds <= H.MAX_ROUNDS and max(done) <= 2 * H.SHARD_SIZE
+    assert sum(done) < 6 * n  # 5.7 copies of a point
 
 
 def test_long_chains_join(spark):
@@ -129,4 +157,4 @@ def test_long_chains_join(spark):
     order = list(range(n))
     random.Random(1).shuffle(order)
     df = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)], "a long, b long")
-    assert {(r.node, r.root) for r in H.components(df).collect()} == {(k, 0) for k in range(1, n)}
+    assert {(r.node, r.root) for r in connected(df).collect()} == {(k, 0) for k in range(n)}
