@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hopspark.llm.bpe import bpe_round_trip
 from hopspark.llm.common import scratch_table, table
@@ -16,7 +15,7 @@ from hopspark.llm.decontamination import decontaminate
 from hopspark.llm.quality_rules import keep_good
 from hopspark.llm.queries import MULTI_RANKS
 from hopspark.llm.secret_links import redact
-from hopspark.llm.simhash import representatives, row_key
+from hopspark.llm.simhash import one_of_each
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,17 +26,12 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, its smallest row by doc_id (null last), text hash and text.
+    """Of each component of near-duplicates, its smallest row by doc_id (null last) and text hash.
 
-    Rows are told apart by doc_id and text: of rows that share a doc_id, or have none,
-    each counts in the component of its own text.
+    Of rows that share a doc_id, or have none, each counts in the component of its own
+    text, so none is lost.
     """
-    rows = docs.select(*COLUMNS, row_key().alias("key")).select(*COLUMNS, "key.*")
-    kept = rows.join(representatives(docs), ["no_id", "id", "text_hash"], "left_semi")
-    # Rows alike in the key are copies; the text leads, should hashes ever collide.
-    one = F.min(F.struct("text", "lang", "source", "n_chars"))
-    first = kept.groupBy("no_id", "id", "text_hash").agg(F.any_value("doc_id").alias("doc_id"), one.alias("row"))
-    return first.select("doc_id", "row.*").select(*COLUMNS)
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
