@@ -91,6 +91,11 @@ def strip_code_fence(c: Column) -> Column:
     return F.when(F.startswith(c, F.lit("```")), F.array_join(kept, "\n")).otherwise(c)
 
 
+def unfenced(reply: Column) -> Column:
+    """A model's reply without blanks at either end and without its code fence."""
+    return strip(strip_code_fence(strip(reply)))
+
+
 def alnum_tokens(c: Column) -> Column:
     """Distinct lower-case runs of ASCII letters and digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))

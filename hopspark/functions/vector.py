@@ -10,14 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 DIGITS = 9
-#: Query vectors up to which all are sent to every task; beyond it the two sides are dealt
-#: in blocks that meet pairwise.
-MAX_BROADCAST = 20_000
+#: Bytes of query vectors up to which all are sent to every task; beyond it the two sides
+#: are dealt in blocks of so many bytes that meet pairwise.
+MAX_BROADCAST_BYTES = 64_000_000
 _BLOCK = 8192
 
 
@@ -40,6 +41,18 @@ def normalize(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
 
 
+def hashed_embedding(text: Column, dims: int = 64) -> Column:
+    """The offline embedder: unit vector of word counts, words dealt into ``dims`` places by their MD5.
+
+    Words are distinct runs of ASCII letters and digits in lower case; a text without any
+    (null included) gets the zero vector.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dims)))
+    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(held, lambda p: p == k)).cast("double"))
+    return F.get(F.transform(F.array(F.get(F.transform(F.array(places), counts), F.lit(0))), normalize), F.lit(0))
+
+
 def _unit(vectors: pa.Array) -> np.ndarray:
     flat = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64)
     m = flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
@@ -47,20 +60,96 @@ def _unit(vectors: pa.Array) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _best(queries: np.ndarray, names: list, corpus: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
-    """Each query's k best rows of a block by (similarity, id)."""
-    rank = np.argsort(np.argsort(ids.astype(object), kind="stable"), kind="stable")
-    out_q, out_i, out_s = [], [], []
-    for a in range(0, len(queries), 256):
-        sims = np.round(queries[a : a + 256] @ corpus.T, DIGITS)
-        for row, name in zip(sims, names[a : a + 256], strict=True):
-            best = np.flatnonzero(row >= np.partition(row, -k)[-k]) if k < len(row) else np.arange(len(row))
-            best = best[np.lexsort((rank[best], -row[best]))][:k]
-            out_q += [name] * len(best)
-            out_i.append(ids[best])
-            out_s.append(row[best])
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(cat(out_i, object)), pa.array(cat(out_s, float), pa.float64())], ["query_id", "item_id", "similarity"])
+class Best:
+    """The k best rows by (similarity, id) that each query has met so far."""
+
+    def __init__(self, queries: np.ndarray, k: int, groups: np.ndarray | None = None):
+        self.queries, self.k, self.groups = queries, k, groups
+        self.floor = np.full(len(queries), -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def meet(self, corpus: np.ndarray, ids: np.ndarray, groups: np.ndarray | None = None) -> None:
+        """``groups``: numbers that mustn't equal the query's."""
+        for a in range(0, len(self.queries), 256):
+            sims = np.round(self.queries[a : a + 256] @ corpus.T, DIGITS)
+            if groups is not None:
+                sims[self.groups[a : a + 256, None] == groups[None, :]] = -np.inf
+            least = self.floor[a : a + 256].copy()
+            if self.k < len(ids):
+                least = np.maximum(least, np.partition(sims, -self.k, axis=1)[:, -self.k])
+            i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+            self.found.append((i + a, ids[j], sims[i, j]))
+            self.held += len(i)
+        if self.held > max(100_000, 4 * self.k * len(self.queries)):
+            self.tidy()
+
+    def tidy(self) -> None:
+        q, ids, s = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -s, q))
+        q, ids, s = q[order], ids[order], s[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = nth < self.k
+        last = nth == self.k - 1
+        self.floor[q[last]] = s[last]
+        self.found, self.held = [(q[kept], ids[kept], s[kept])], int(kept.sum())
+
+    def rows(self, names: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+        if not self.found:
+            return pa.RecordBatch.from_arrays([names.slice(0, 0), pa.array([], id_type), pa.array([], pa.float64())], ["query_id", "item_id", "similarity"])
+        self.tidy()
+        q, ids, s = self.found[0]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(ids.tolist(), id_type), pa.array(s)], ["query_id", "item_id", "similarity"])
+
+
+def _search(mine: pa.Table, batches: Iterator[pa.RecordBatch], k: int, id_type: pa.DataType) -> pa.RecordBatch:
+    """The k best rows over all ``batches`` of each query in ``mine`` (columns query_id, embedding, perhaps group_id)."""
+    grouped = "group_id" in mine.column_names
+    known = codes = None
+    if grouped:
+        known = mine["group_id"].combine_chunks().unique()
+        codes = pc.index_in(mine["group_id"].combine_chunks(), value_set=known).to_numpy(zero_copy_only=False)
+    best = Best(_unit(mine["embedding"].combine_chunks()), k, codes)
+    for batch in batches:
+        for a in range(0, batch.num_rows, _BLOCK):
+            part = batch.slice(a, _BLOCK)
+            theirs = pc.index_in(part["group_id"], value_set=known).fill_null(-1).to_numpy(zero_copy_only=False) if grouped else None
+            if len(mine) and len(part):
+                best.meet(_unit(part["embedding"]), np.array(part["item_id"].to_pylist()), theirs)
+    return best.rows(mine["query_id"].combine_chunks(), id_type)
+
+
+def found_by_task(queries: DataFrame, corpus: DataFrame, k: int, exclude_group: bool = False) -> DataFrame:
+    """(query_id, item_id, similarity): the k best rows of each query among those that one task has seen."""
+    extra = ["group_id"] if exclude_group else []
+    queries = queries.where("embedding IS NOT NULL").select("query_id", "embedding", *extra)
+    corpus = corpus.where("embedding IS NOT NULL").select("item_id", "embedding", *extra)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, item_id {dict(corpus.dtypes)['item_id']}, similarity double"
+    name_type, id_type = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(corpus.schema["item_id"].dataType)
+    n, dims = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if n * dims * 8 <= MAX_BROADCAST_BYTES:
+        held = queries.toArrow()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _search(held, batches, k, id_type)
+
+        return corpus.mapInArrow(run, schema)
+    # Blocks of bounded bytes on both sides; each pair of blocks is one group.
+    blocks = lambda rows: max(1, -(-rows * dims * 8 // MAX_BROADCAST_BYTES))
+    qb, cb = blocks(n), blocks(corpus.count())
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    names = queries.columns
+    left = queries.select(*(F.col(c).alias(f"q_{c}") for c in names), F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("qb"), every(cb).alias("cb"))
+    right = corpus.select("*", F.pmod(F.xxhash64("item_id"), F.lit(cb)).alias("cb"), every(qb).alias("qb"))
+    empty = pa.table([pa.array([], t) for t in (name_type, id_type, pa.float64())], ["query_id", "item_id", "similarity"])
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not len(q) or not len(c):
+            return empty
+        mine = q.select([f"q_{x}" for x in names]).rename_columns(names)
+        return pa.Table.from_batches([_search(mine, iter(c.combine_chunks().to_batches()), k, id_type)]).cast(empty.schema)
+
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_group: bool = False) -> DataFrame:
@@ -71,72 +160,28 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_group: bool =
     ``group_id``, and rows of the query's own group don't count.
 
     The corpus is read once and not shuffled: each task holds all queries and one block of
-    the corpus, keeps k rows per query, and a window ranks what the tasks kept.  More
-    queries than MAX_BROADCAST are dealt into blocks which meet every block of the corpus.
+    the corpus, keeps k rows per query over all its blocks, and a window ranks what the
+    tasks sent, k rows per query and task.  Queries of more than MAX_BROADCAST_BYTES are
+    dealt into blocks which meet every block of the corpus.
     """
-    extra = ["group_id"] if exclude_group else []
-    queries = queries.where("embedding IS NOT NULL").select("query_id", "embedding", *extra)
-    corpus = corpus.where("embedding IS NOT NULL").select("item_id", "embedding", *extra)
-    id_types = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)["item_id"]
-    schema = f"query_id {id_types[0]}, item_id {id_types[1]}, similarity double"
-
-    def search(mine: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, names = _unit(mine["embedding"].combine_chunks()), mine["query_id"].to_pylist()
-        groups = mine["group_id"].to_pylist() if exclude_group else None
-        for batch in batches:
-            for a in range(0, batch.num_rows, _BLOCK):
-                part = batch.slice(a, _BLOCK)
-                ids, c = np.array(part["item_id"].to_pylist()), _unit(part["embedding"])
-                if not len(names) or not len(ids):
-                    continue
-                if not exclude_group:
-                    yield _best(q, names, c, ids, k)
-                    continue
-                theirs = np.array(part["group_id"].to_pylist(), object)
-                by_group: dict = {}
-                for n, g in enumerate(groups):
-                    by_group.setdefault(g, []).append(n)
-                for g, rows in by_group.items():
-                    ok = theirs != g
-                    if ok.any():
-                        yield _best(q[rows], [names[n] for n in rows], c[ok], ids[ok], k)
-
-    n = queries.limit(MAX_BROADCAST + 1).count()
-    if n <= MAX_BROADCAST:
-        held = queries.toArrow()
-        kept = corpus.mapInArrow(lambda batches: search(held, batches), schema)
-    else:
-        n_blocks = -(-queries.count() // MAX_BROADCAST)
-        # 64 blocks of the corpus; each pair of blocks is one group.
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        names = queries.columns
-        left = queries.select(*(F.col(c).alias(f"q_{c}") for c in names), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("qb"), every(64).alias("cb"))
-        right = corpus.select("*", F.pmod(F.xxhash64("item_id"), F.lit(64)).alias("cb"), every(n_blocks).alias("qb"))
-
-        types = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(corpus.schema["item_id"].dataType), pa.float64()]
-        empty = pa.table([pa.array([], t) for t in types], ["query_id", "item_id", "similarity"])
-
-        def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-            if not len(q) or not len(c):
-                return empty
-            found = list(search(q.select([f"q_{x}" for x in names]).rename_columns(names), iter(c.combine_chunks().to_batches())))
-            return pa.Table.from_batches(found).cast(empty.schema) if found else empty
-
-        kept = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found_by_task(queries, corpus, k, exclude_group).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) with a < b and cosine similarity of ``threshold`` or more, each pair once.
 
-    Blocks of vectors meet pairwise in a grid; only pairs that pass leave a task.
+    Exact, and so quadratic in the number of vectors: blocks of at most MAX_BROADCAST_BYTES
+    meet pairwise in a grid whose side follows from their number, and only pairs that
+    pass leave a task.
     """
-    side = 8
     kind = dict(vectors.dtypes)["item_id"]
     id_type = to_arrow_type(vectors.schema["item_id"].dataType)
+    rows = vectors.where("embedding IS NOT NULL").select("item_id", "embedding")
+    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    side = max(1, min(8, n // 1000), -(-n * dims * 8 // MAX_BROADCAST_BYTES))
     block, others = F.pmod(F.xxhash64("item_id"), F.lit(side)).cast("int"), F.sequence(F.lit(0), F.lit(side - 1))
-    rows = vectors.where("embedding IS NOT NULL").select("item_id", "embedding", block.alias("mine"))
+    rows = rows.withColumn("mine", block)
     left = rows.select(F.col("item_id").alias("i"), F.col("embedding").alias("x"), F.col("mine").alias("r"), F.explode(others).alias("c")).where("r <= c")
     right = rows.select(F.col("item_id").alias("j"), F.col("embedding").alias("y"), F.explode(others).alias("r"), F.col("mine").alias("c")).where("r <= c")
 
@@ -144,15 +189,17 @@ def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
         out: list[list] = [[], [], []]
         if len(a) and len(b):
             x, y = _unit(a["x"].combine_chunks()), _unit(b["y"].combine_chunks())
-            i_ids, j_ids = a["i"].to_pylist(), b["j"].to_pylist()
+            i_ids, j_ids = np.array(a["i"].to_pylist()), np.array(b["j"].to_pylist())
             same = key[0].as_py() == key[1].as_py()
             for at in range(0, len(i_ids), 512):
                 sims = np.round(x[at : at + 512] @ y.T, DIGITS)
-                for i, j in zip(*np.nonzero(sims >= threshold), strict=True):
-                    p, q = i_ids[at + i], j_ids[j]
-                    if p < q or not same and p > q:
-                        for col, v in zip(out, (min(p, q), max(p, q), float(sims[i, j])), strict=True):
-                            col.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (id_type, id_type, pa.float64()), strict=True)], ["a", "b", "similarity"])
+                i, j = np.nonzero(sims >= threshold)
+                p, q, s = i_ids[at + i], j_ids[j], sims[i, j]
+                ok = p < q if same else p != q
+                out[0].append(np.where(p < q, p, q)[ok])
+                out[1].append(np.where(p < q, q, p)[ok])
+                out[2].append(s[ok])
+        cols = [np.concatenate(c).tolist() if c else [] for c in out]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (id_type, id_type, pa.float64()), strict=True)], ["a", "b", "similarity"])
 
     return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")

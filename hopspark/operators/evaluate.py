@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopspark.functions.text import judge_tokens, paper_of
+from hopspark.functions.text import judge_tokens, paper_of, unfenced
 
 
 def _papers(ids: Column) -> Column:
@@ -34,20 +34,35 @@ def lexical_judge(gold: Column, predicted: Column, threshold: float = 0.5) -> Co
 
 
 def parse_verdict(reply: Column) -> Column:
-    """``correct`` of a model's JSON verdict; false where it can't be read or isn't there."""
-    return F.coalesce(F.from_json(reply, "correct boolean")["correct"], F.lit(False))
+    """(correct, reasoning) of a model's JSON verdict.
+
+    A code fence is removed and text after the first JSON value ignored.  ``correct``
+    counts as in Python where it isn't a boolean: zero, null and what is empty are false.
+    A reply that can't be read, or has no verdict, is false and says so.
+    """
+    read = F.from_json(unfenced(reply), "correct variant, reasoning variant")
+    held = F.to_json(read["correct"])
+    number = held.rlike("^-?[0-9]")
+    truth = F.when(number, held.cast("double") != 0).otherwise(~held.isin("false", "null", '""', "[]", "{}"))
+    plain = F.coalesce(F.try_variant_get(read["reasoning"], "$", "string"), F.lit(""))
+    unread = F.concat(F.lit("no verdict in the reply: "), F.coalesce(reply, F.lit("")))
+    return F.struct(F.coalesce(truth, F.lit(False)).alias("correct"), F.when(held.isNull(), unread).otherwise(plain).alias("reasoning"))
 
 
 def score(questions: DataFrame, predictions: DataFrame, k: int = 5, judge: Column | None = None) -> DataFrame:
-    """A row per prediction: system, question_id, precision, recall, correct, latency_ms.
+    """A row per prediction: system, question_id, precision, recall, correct, judge_reasoning, latency_ms.
 
     ``questions``: question_id, gold_answer, gold_chunk_ids; ``predictions``: system,
-    question_id, predicted_answer, retrieved_chunk_ids, latency_ms.
+    question_id, predicted_answer, retrieved_chunk_ids, latency_ms.  ``judge``: a struct
+    (correct, reasoning) over columns of both, as :func:`parse_verdict` makes it; by
+    default the lexical judge, which gives no reasons.
     """
     rows = predictions.join(questions, "question_id")
-    correct = lexical_judge(F.col("gold_answer"), F.col("predicted_answer")) if judge is None else judge
+    if judge is None:
+        judge = F.struct(lexical_judge(F.col("gold_answer"), F.col("predicted_answer")).alias("correct"), F.lit(None).cast("string").alias("reasoning"))
     at = F.col("retrieved_chunk_ids"), F.col("gold_chunk_ids")
-    return rows.select("system", "question_id", precision_at_k(*at, k).alias("precision_at_k"), recall_at_k(*at, k).alias("recall_at_k"), correct.alias("correct"), "latency_ms")
+    rows = rows.withColumn("_verdict", judge)
+    return rows.select("system", "question_id", precision_at_k(*at, k).alias("precision_at_k"), recall_at_k(*at, k).alias("recall_at_k"), F.col("_verdict.correct").alias("correct"), F.col("_verdict.reasoning").alias("judge_reasoning"), "latency_ms")
 
 
 def report(systems: DataFrame, scores: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopspark.functions.text import entity_id, normalize_entity
 from hopspark.functions.vector import pairs_above
-from hopspark.operators.components import connected
+from hopspark.sources.scratch import scratch_table
 
 
 def resolve_exact(names: DataFrame, name: str = "name") -> DataFrame:
@@ -25,32 +24,31 @@ def resolve_greedy(items: DataFrame, threshold: float = 0.87, founders: DataFram
     """(item_id, founder_id): each item joins the most similar founder before it, or founds a cluster.
 
     ``items``: item_id (arrival order), embedding; ``founders`` (item_id, embedding) exist
-    beforehand and must sort before all items.  Items without a vector found clusters of
-    their own.  Ties go to the earlier founder.
-
-    An item's fate depends on earlier ones alone, and only through pairs that reach the
-    threshold.  So the pairs are found in parallel, and the decision is made in sequence
-    within each connected set of pairs, which is what one task holds.
+    beforehand, must sort before all items, and stay founders.  Items without a vector
+    found clusters of their own.  Ties go to the earlier founder.
+
+    An item follows if any earlier neighbour (a pair that reaches the threshold) is a
+    founder.  That is settled in waves over all items at once: in each, those without an
+    undecided earlier neighbour are founders, and their later neighbours follow.  No task
+    holds more than joins do; the number of waves is the length of the longest chain of
+    neighbours in arrival order in which each waits for the one before.
     """
     every = items if founders is None else founders.unionByName(items)
     pairs = pairs_above(every, threshold)
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for b, a, s in zip(group["b"], group["a"], group["similarity"], strict=True):
-            near.setdefault(b, []).append((-s, a))
-        lead: dict = {}
-        for item in sorted({*near, *(a for v in near.values() for _, a in v)}):
-            options = sorted((s, a) for s, a in near.get(item, ()) if lead[a] == a)
-            lead[item] = options[0][1] if options else item
-        return pd.DataFrame({"item_id": list(lead), "founder_id": list(lead.values())})
-
-    grouped = connected(pairs.select("a", "b"))
-    kind = dict(items.dtypes)["item_id"]
-    keyed = pairs.join(grouped.withColumnRenamed("node", "a"), "a")
-    decided = keyed.groupBy("root").applyInPandas(settle, f"item_id {kind}, founder_id {kind}")
-    alone = every.select("item_id").join(decided.select("item_id"), "item_id", "left_anti").select("item_id", F.col("item_id").alias("founder_id"))
-    return decided.unionByName(alone)
+    if founders is not None:
+        pairs = pairs.join(founders.select(F.col("item_id").alias("b")), "b", "left_anti")
+    pairs = scratch_table(pairs.select("a", "b", "similarity"), "pairs")
+    open_, followers = pairs.select("a", "b"), pairs.select(F.col("b").alias("item_id")).limit(0)
+    while not open_.isEmpty():
+        first = open_.select("a").join(open_.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        now = scratch_table(open_.join(first, "a", "left_semi").select(F.col("b").alias("item_id")).distinct(), "followers")
+        followers = followers.unionAll(now)
+        settled = now.unionAll(first.select(F.col("a").alias("item_id")))
+        left = open_.join(settled.select(F.col("item_id").alias("a")), "a", "left_anti").join(now.select(F.col("item_id").alias("b")), "b", "left_anti")
+        open_ = scratch_table(left.select("a", "b"), "open-pairs")
+    led = pairs.join(followers.select(F.col("item_id").alias("a")), "a", "left_anti")
+    best = led.groupBy(F.col("b").alias("item_id")).agg(F.min_by("a", F.struct(-F.col("similarity"), "a")).alias("founder_id"))
+    return every.select("item_id").join(best, "item_id", "left").select("item_id", F.coalesce("founder_id", "item_id").alias("founder_id"))
 
 
 def first_seen(names: DataFrame, name: str, order: str) -> DataFrame:

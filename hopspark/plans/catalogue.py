@@ -10,8 +10,9 @@ from hopspark.functions import text as T
 from hopspark.functions import vector as V
 from hopspark.operators import ann, evaluate, extract, graph, resolve, retrieve, synthesis
 from hopspark.plans import systems
-from hopspark.plans.ingest import body_excerpt, build_graph
+from hopspark.plans.ingest import body_excerpt, build_graph, clean_metadata
 from hopspark.sources import files, sinks, testdata
+from hopspark.sources.scratch import scratch_path, scratch_table
 
 #: The synthetic vectors are further apart than those of a sentence encoder.
 SETTINGS = Settings(bridge_threshold=0.30, resolve_threshold=0.35, relevance_gate=0.5)
@@ -61,6 +62,23 @@ def vector_topk_ivf(spark, sf_dir):
     return _long(ann.search(asked, index, centroids, 20), "rank").withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def vector_topk_all_cells(spark, sf_dir):
+    """The same with every cell probed, which is exact."""
+    index, centroids = ann.build(testdata.vec_chunks(spark, sf_dir).select(F.col("chunk_id").alias("item_id"), "embedding"))
+    asked = testdata.vec_questions(spark, sf_dir).select(F.col("question_id").alias("query_id"), "embedding")
+    found = ann.search(asked, index, centroids, 20, len(centroids))
+    return _long(found.select(F.col("query_id").alias("question_id"), F.col("item_id").alias("chunk_id"), _six("similarity"), "rank"), "rank")
+
+
+@query
+def hashed_embeddings(spark, sf_dir):
+    """Vectors of turns by the offline embedder, their places that aren't zero."""
+    talk = testdata.table(spark, sf_dir, "conversations")
+    rows = talk.select("conv_id", "turn", F.posexplode(V.hashed_embedding(F.col("text"))).alias("pos", "value"))
+    return rows.where("value <> 0").select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), _six("value"))
+
+
 @query
 def vector_normalize(spark, sf_dir):
     vecs = testdata.table(spark, sf_dir, "embeddings")
@@ -147,7 +165,7 @@ def parse_triples_json(spark, sf_dir):
 
 @query
 def extract_triples_offline(spark, sf_dir):
-    return extract.cooccurrence_triples(testdata.chunks(spark, sf_dir).where("chunk_index > 0"))
+    return extract.cooccurrence_triples(testdata.chunks(spark, sf_dir).where("chunk_index > 0")).drop("pos")
 
 
 @query
@@ -158,6 +176,23 @@ def incremental_graph(spark, sf_dir):
     return build_graph(rows, done)[1]
 
 
+@query
+def metadata_clean(spark, sf_dir):
+    """Orders as papers with blanks and newlines in their metadata."""
+    orders = testdata.table(spark, sf_dir, "orders")
+    raw = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("paper_id"), F.concat(F.lit(" \t"), "o_orderpriority", F.lit("\n")).alias("title"), F.concat(F.lit("\n"), "o_orderstatus", F.lit("\nof "), "o_orderpriority", F.lit(" \n")).alias("abstract"), F.col("o_orderdate").alias("published"))
+    return clean_metadata(raw).withColumn("published", F.col("published").cast("string"))
+
+
+@query
+def entity_resolution_seeded(spark, sf_dir):
+    """Greedy resolution after an earlier batch: the embeddings of label 0 are founders already."""
+    vecs = testdata.table(spark, sf_dir, "embeddings")
+    founders = vecs.where("label = 0").select((F.col("vec_id") - 1_000_000_000).alias("item_id"), "embedding")
+    items = vecs.where("label <> 0").select(F.col("vec_id").alias("item_id"), "embedding")
+    return resolve.resolve_greedy(items, SETTINGS.resolve_threshold, founders)
+
+
 @query
 def entity_resolution_exact(spark, sf_dir):
     return resolve.resolve_exact(testdata.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
@@ -177,6 +212,13 @@ def entity_degrees(spark, sf_dir):
     return graph.degrees(testdata.order_edges(spark, sf_dir))
 
 
+@query
+def degrees_of_some(spark, sf_dir):
+    """Degrees of the customers of one market segment."""
+    some = testdata.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"))
+    return graph.degrees(testdata.order_edges(spark, sf_dir), some)
+
+
 @query
 def hub_entities(spark, sf_dir):
     return graph.hubs(testdata.order_edges(spark, sf_dir), SETTINGS.max_entity_degree)
@@ -296,6 +338,26 @@ def plan_sub_questions(spark, sf_dir):
     return _long(systems.sub_questions(asked, 2), "part")
 
 
+@query
+def plan_replies(spark, sf_dir):
+    """Planner's replies: in a fence, with text behind, an object, cut off, and none."""
+    talk = testdata.table(spark, sf_dir, "conversations")
+    listed = F.to_json(F.array("role", "text", F.lit("third")))
+    kind = F.element_at(F.array(F.concat(F.lit(" ```json\n"), listed, F.lit("\n``` "), F.lit("\n")), F.concat(listed, F.lit(" and ] more")), F.to_json(F.struct("role")), F.substring(listed, 1, 20), F.lit(None).cast("string")), (F.col("turn") % 5 + 1).cast("int"))
+    return _long(systems.parse_plans(talk.select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), kind.alias("reply")), 2), "part")
+
+
+@query
+def synthesized_answers(spark, sf_dir):
+    """Answers from writer's replies: in a fence, with text behind, without claims, cut off, empty, no list of claims, and none."""
+    sources = _candidates(spark, sf_dir).where("rank <= 5").select("question_id", "rank", "chunk_id", "text")
+    questions = sources.select("question_id").distinct()
+    good = synthesis.extractive_replies(questions, sources)
+    kinds = F.array(F.concat(F.lit("```json\n"), "reply", F.lit("\n```\n")), F.concat(F.lit("\n "), "reply", F.lit(" and {more")), F.lit('{"answer": 1}'), F.substring("reply", 1, 40), F.lit(""), F.lit('{"claims": 5}'))
+    replies = good.where("question_id % 7 < 6").select("question_id", F.element_at(kinds, (F.col("question_id") % 7 + 1).cast("int")).alias("reply"))
+    return _flat_citations(synthesis.synthesize(questions, sources, replies, SETTINGS.min_overlap))
+
+
 @query
 def answer_form(spark, sf_dir):
     """Turns as answers, every second one with a citation; every seventh question is blank."""
@@ -335,11 +397,15 @@ def lexical_judge(spark, sf_dir):
 
 @query
 def parse_verdicts(spark, sf_dir):
-    """Replies of a judge: right, wrong, without a verdict, and no JSON."""
+    """Replies of a judge: right, wrong, without a verdict, no JSON, in a fence, with other values than booleans, cut off."""
     talk = testdata.table(spark, sf_dir, "conversations")
-    replies = ['{"correct": true, "reasoning": "x"}', '{"correct": false}', '{"reasoning": "x"}', "no JSON"]
-    reply = F.element_at(F.array(*map(F.lit, replies)), (F.col("turn") % 4 + 1).cast("int"))
-    return talk.select("conv_id", "turn", evaluate.parse_verdict(reply).alias("correct"))
+    replies = [
+        '{"correct": true, "reasoning": "x"}', '{"correct": false}', '{"reasoning": "x"}', "no JSON", '```json\n{"correct": true, "reasoning": "y"}\n```', '{"correct": 1} so {',
+        '{"correct": "", "reasoning": "z"}', '{"correct": "yes", "reasoning": "w"}', '{"correct": true, "reas', '{"correct": null}', '{"correct": 0.0}',
+    ]
+    reply = F.element_at(F.array(*map(F.lit, replies)), (F.col("turn") % len(replies) + 1).cast("int"))
+    verdict = evaluate.parse_verdict(reply)
+    return talk.select("conv_id", "turn", verdict["correct"].alias("correct"), verdict["reasoning"].alias("reasoning"))
 
 
 @query
@@ -358,32 +424,37 @@ def compare_systems(spark, sf_dir):
 # Sinks and sources
 
 
-def _two_versions(spark, sf_dir):
-    """Stored and new papers: documents of even and of third number, the new ones with another title."""
-    docs = testdata.papers(spark, sf_dir).withColumn("n", F.substring("paper_id", 2, 20).cast("long"))
-    stored = docs.where("n % 2 = 0").select("paper_id", "title", "abstract")
-    return stored, docs.where("n % 3 = 0").select("paper_id", F.concat(F.lit("new "), "title").alias("title"), "abstract")
+def _versions(rows: DataFrame, key: str) -> DataFrame:
+    """Every row twice under its own key and twice under a new one, numbered in time by ``version``."""
+    twice = rows.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    return twice.unionByName(twice.withColumn(key, F.concat(F.lit("x"), key)))
 
 
 @query
 def upsert_papers(spark, sf_dir):
-    return sinks.upsert_papers(*_two_versions(spark, sf_dir))
+    """All documents are stored; those of one language come again, and under new keys, in two versions."""
+    docs = testdata.papers(spark, sf_dir).select("paper_id", "title", "abstract")
+    french = testdata.table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.concat(F.lit("d"), "doc_id").alias("paper_id"))
+    new = _versions(docs.join(french, "paper_id", "left_semi"), "paper_id")
+    return sinks.upsert_papers(docs, new.withColumn("title", F.concat(F.lit("new "), F.col("version").cast("string"), F.lit(" "), "title")), "version")
 
 
 @query
 def upsert_chunks(spark, sf_dir):
-    rows = testdata.vec_chunks(spark, sf_dir).withColumn("chunk_index", F.expr("vec_id % 5")).select("vec_id", "chunk_id", "paper_id", "chunk_index", "text", "embedding")
-    stored = rows.where("vec_id % 2 = 0").drop("vec_id")
-    new = rows.where("vec_id % 3 = 0").select("chunk_id", F.lit("other").alias("paper_id"), (F.col("chunk_index") + 100).alias("chunk_index"), F.lit("new").alias("text"), "embedding")
-    return sinks.upsert_chunks(stored, new).select("chunk_id", "paper_id", "chunk_index", "text", F.size("embedding").cast("long").alias("width"))
+    """All chunks are stored; those with a text come again, and under new keys, in two versions."""
+    rows = testdata.vec_chunks(spark, sf_dir).withColumn("chunk_index", F.expr("vec_id % 5")).select("chunk_id", "paper_id", "chunk_index", "text", "embedding")
+    named = lambda word: F.concat(F.lit(word), F.col("version").cast("string"))
+    new = _versions(rows.where("text <> ''"), "chunk_id").withColumns({"paper_id": named("other "), "chunk_index": F.col("chunk_index") + 100 * F.col("version"), "text": named("new ")})
+    return sinks.upsert_chunks(rows, new, "version").select("chunk_id", "paper_id", "chunk_index", "text", F.size("embedding").cast("long").alias("width"))
 
 
 @query
 def insert_entities_if_absent(spark, sf_dir):
+    """Parts up to a size are stored; all parts come again, the first by number names a new entity."""
     parts = testdata.table(spark, sf_dir, "part")
-    make = lambda df, name: df.select(T.entity_id(F.col("p_name")).alias("entity_id"), name.alias("canonical_name"))
-    stored = make(parts.where("p_size <= 25"), F.col("p_name")).distinct()
-    return sinks.insert_entities(stored, make(parts, F.concat(F.lit("new "), "p_name")))
+    stored = parts.where("p_size <= 25").select(T.entity_id(F.col("p_name")).alias("entity_id"), F.col("p_name").alias("canonical_name")).distinct()
+    new = parts.select(T.entity_id(F.col("p_name")).alias("entity_id"), F.concat(F.lit("new "), "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("canonical_name"), "p_partkey")
+    return sinks.insert_entities(stored, new, "p_partkey")
 
 
 @query
@@ -402,6 +473,15 @@ def corpus_fill(spark, sf_dir):
     return _long(files.fill_corpus(ranked, 300), "source_rank", "pos")
 
 
+@query
+def pinned_papers(spark, sf_dir):
+    """Identifiers from JSON lines, written from all documents; blank lines between."""
+    path = scratch_path(spark, "pinned")
+    docs = testdata.papers(spark, sf_dir)
+    docs.select(F.concat(F.to_json(F.struct("paper_id", "title")), F.lit("\n\n")).alias("value")).write.text(path)
+    return files.pinned_ids(spark, path).select("paper_id")
+
+
 # Whole systems
 
 
@@ -422,13 +502,27 @@ def end_to_end_answers(spark, sf_dir):
     return _flat_citations(systems.orchestrated(questions, _corpus(spark, sf_dir), parts)[1])
 
 
+@query
+def labelled_report(spark, sf_dir):
+    """A file of labelled questions, read back and held against the flat system's predictions."""
+    path = scratch_path(spark, "questions")
+    questions, corpus = testdata.vec_questions(spark, sf_dir), _corpus(spark, sf_dir)
+    lines = questions.select(F.col("question_id").cast("string").alias("id"), "question", "gold_answer", "gold_chunk_ids")
+    lines.select(F.concat(F.to_json(F.struct("*")), F.lit("\n")).alias("value")).write.text(path)
+    labelled = files.load_questions(spark, path).withColumn("question_id", F.col("id").cast("long"))
+    names = spark.createDataFrame([("flat", 0)], "system string, pos long")
+    rows = evaluate.report(names, evaluate.score(labelled, systems.predictions("flat", questions, corpus), SETTINGS.score_k))
+    return rows.select("pos", "system", "n_questions", *map(_six, ("mean_accuracy", "mean_precision", "mean_recall", "mean_latency_ms")))
+
+
 @query
 def system_report(spark, sf_dir):
-    """All five systems on the vector questions."""
+    """All five systems on the vector questions; four of them share one hybrid retrieval."""
     questions, corpus = testdata.vec_questions(spark, sf_dir), _corpus(spark, sf_dir)
+    base = scratch_table(systems.hybrid_list(questions, corpus), "hybrid")
     said = None
     for name in systems.SYSTEMS:
-        one = systems.predictions(name, questions, corpus)
+        one = systems.predictions(name, questions, corpus, base=base)
         said = one if said is None else said.unionByName(one)
     names = spark.createDataFrame([(n, k) for k, n in enumerate(systems.SYSTEMS)], "system string, pos long")
     rows = evaluate.report(names, evaluate.score(questions, said, SETTINGS.score_k))

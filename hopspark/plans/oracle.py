@@ -89,7 +89,7 @@ def _hits(k: int) -> str:
 _OEDGES = """
     edges AS (
         SELECT 'c' || o_custkey AS source_entity_id, 'p' || l_partkey AS target_entity_id, 'o' || o_orderkey || '#abstract' AS source_chunk_id
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     )"""
 _VEDGES = """
     edges AS (
@@ -194,14 +194,15 @@ def _capped(name: str, rows: str, more: str = "") -> str:
 _SCORED_HYBRID = _reranked("SELECT h.question_id, h.chunk_id, h.rank, a.question, v.text FROM hybrid h JOIN vec v USING (chunk_id) JOIN asked a USING (question_id)")
 
 
-def _said(top: str) -> str:
-    """Answers from the first five of ``top`` (question_id, chunk_id, rank)."""
+def _said(top: str, verified: bool = True) -> str:
+    """Answers from the first five of ``top`` (question_id, chunk_id, rank); what isn't verified is '' where no claim is kept."""
+    none = f"'{NO_EVIDENCE.replace(chr(39), chr(39) * 2)}'" if verified else "''"
     overlap = f"CASE WHEN len({_content('claim')}) = 0 THEN 1.0 ELSE len(list_intersect({_content('claim')}, {_tokens('text')})) / len({_content('claim')})::DOUBLE END"
     return f"""
     claims AS (SELECT question_id, rank, text, {_first("text")} AS claim FROM (SELECT t.question_id, t.rank, v.text FROM {top} t JOIN vec v USING (chunk_id) JOIN vpapers USING (paper_id) WHERE t.rank <= 5)),
     kept AS (SELECT question_id, string_agg(claim, ' ' ORDER BY rank) AS answer, count(*) AS n FROM claims WHERE {overlap} >= 0.4 GROUP BY question_id),
     said AS (
-        SELECT question_id, CASE WHEN coalesce(n, 0) = 0 OR trim(answer) = '' THEN '{NO_EVIDENCE.replace("'", "''")}' ELSE answer END AS answer, coalesce(n, 0) AS n_citations
+        SELECT question_id, CASE WHEN coalesce(n, 0) = 0 OR trim(answer) = '' THEN {none} ELSE answer END AS answer, coalesce(n, 0) AS n_citations
         FROM asked LEFT JOIN kept USING (question_id)
     )"""
 
@@ -260,6 +261,10 @@ _ORCHESTRATED = (
 )
 
 
+#: The orchestrated system without sub-questions.
+_ALONE = "merged AS (SELECT question_id, chunk_id, rank FROM hybrid)"
+
+
 def _html(c: str) -> str:
     c = f"regexp_replace({c}, '(?is)<(script|style)\\b.*?</(script|style)>|<!--.*?-->', ' ', 'g')"
     c = f"regexp_replace({c}, '(?i)</(p|div|h[1-6]|li|tr|article)>|<br[ /]*>', chr(10), 'g')"
@@ -296,6 +301,26 @@ _PREDICTED = "flat AS (SELECT * FROM hits WHERE rank <= 20), predicted AS (" + "
     )
 ) + ")"
 
+def _greedy(items: str, seeded: str) -> str:
+    """Items in order, one by one; those for which ``seeded`` holds are founders whatever came before."""
+    return _with(
+        f"arriving AS ({items})",
+        f"pairs AS (SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_cos('x.embedding', 'y.embedding')} AS s FROM arriving x JOIN arriving y ON x.vec_id < y.vec_id) WHERE s >= 0.35)",
+        f"arrivals AS (SELECT vec_id, {seeded} AS seeded, row_number() OVER (ORDER BY vec_id) AS nth FROM arriving)",
+        """
+        steps AS (
+            SELECT nth, vec_id AS item_id, vec_id AS founder_id, [vec_id] AS founders FROM arrivals WHERE nth = 1
+            UNION ALL
+            SELECT nth, item_id, coalesce(best, item_id), CASE WHEN best IS NULL THEN list_append(founders, item_id) ELSE founders END
+            FROM (
+                SELECT n.nth, n.vec_id AS item_id, g.founders, arg_max(p.a, row(p.s, -p.a)) AS best
+                FROM steps g JOIN arrivals n ON n.nth = g.nth + 1 LEFT JOIN pairs p ON p.b = n.vec_id AND NOT n.seeded AND list_contains(g.founders, p.a)
+                GROUP BY n.nth, n.vec_id, g.founders
+            )
+        )""",
+    ) + "SELECT item_id, founder_id FROM steps"
+
+
 _TRIPLES = r"""
     named AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_-]+'), lambda n: length(n) BETWEEN 2 AND 30 AND regexp_matches(n, '^\p{Lu}')) AS n FROM chunks),
     triples AS (
@@ -371,21 +396,24 @@ ORACLE = {
     "precision_recall_at_k": _with(*_GRADED) + "SELECT system, question_id, round(precision_at_k, 6) AS precision_at_k, round(recall_at_k, 6) AS recall_at_k FROM graded",
     "lexical_judge": _with(*_GRADED) + "SELECT system, question_id, correct FROM graded",
     "compare_systems": _with(*_GRADED) + _report(["forward", "backward", "idle"]),
-    "upsert_papers": _with(_PAPERS)
+    "upsert_papers": _with(
+        _PAPERS,
+        "french AS (SELECT paper_id, title, abstract FROM papers JOIN documents ON paper_id = 'd' || doc_id WHERE lang = 'fr')",
+    )
     + """
-        SELECT paper_id, CASE WHEN substr(paper_id, 2)::BIGINT % 3 = 0 THEN 'new ' || title ELSE title END AS title, abstract
-        FROM papers WHERE substr(paper_id, 2)::BIGINT % 2 = 0 OR substr(paper_id, 2)::BIGINT % 3 = 0
+        SELECT paper_id, title, abstract FROM papers WHERE paper_id NOT IN (SELECT paper_id FROM french)
+        UNION ALL SELECT paper_id, 'new 2 ' || title, abstract FROM french
+        UNION ALL SELECT 'x' || paper_id, 'new 2 ' || title, abstract FROM french
     """,
     "upsert_chunks": _with(_VEC)
     + """
-        SELECT chunk_id, CASE WHEN vec_id % 2 = 0 THEN paper_id ELSE 'other' END AS paper_id, CASE WHEN vec_id % 2 = 0 THEN vec_id % 5 ELSE vec_id % 5 + 100 END AS chunk_index,
-               CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE text END AS text, CAST(len(embedding) AS BIGINT) AS width
-        FROM vec WHERE vec_id % 2 = 0 OR vec_id % 3 = 0
+        SELECT chunk_id, paper_id, vec_id % 5 AS chunk_index, CASE WHEN text <> '' THEN 'new 2' ELSE '' END AS text, CAST(len(embedding) AS BIGINT) AS width FROM vec
+        UNION ALL SELECT 'x' || chunk_id, 'other 1', vec_id % 5 + 100, 'new 2', CAST(len(embedding) AS BIGINT) FROM vec WHERE text <> ''
     """,
     "insert_entities_if_absent": f"""
         WITH stored AS (SELECT DISTINCT {_entity_id("p_name")} AS entity_id, p_name AS canonical_name FROM part WHERE p_size <= 25),
-        new AS (SELECT {_entity_id("p_name")} AS entity_id, min('new ' || p_name) AS canonical_name FROM part GROUP BY ALL)
-        SELECT * FROM stored UNION ALL SELECT entity_id, min(canonical_name) FROM new WHERE entity_id NOT IN (SELECT entity_id FROM stored) GROUP BY entity_id
+        new AS (SELECT {_entity_id("p_name")} AS entity_id, min_by('new ' || p_name || ' ' || p_partkey, p_partkey) AS canonical_name FROM part GROUP BY ALL)
+        SELECT * FROM stored UNION ALL SELECT entity_id, canonical_name FROM new WHERE entity_id NOT IN (SELECT entity_id FROM stored)
     """,
     "append_edges": _with(_OEDGES) + "SELECT source_entity_id, target_entity_id, CAST(sum(CASE WHEN target_entity_id < 'p2' THEN 2 ELSE 1 END) AS BIGINT) AS n_edges FROM edges GROUP BY source_entity_id, target_entity_id",
     "corpus_fill": """
@@ -395,7 +423,7 @@ ORACLE = {
         )
         SELECT 'd' || doc_id AS paper_id, 's' || max(k) AS seen_in, CAST(min(k) AS BIGINT) AS source_rank, doc_id AS pos FROM r GROUP BY doc_id ORDER BY min(k), doc_id LIMIT 300
     """,
-    "grounded_answers": _with(*_RETRIEVAL, _VPAPERS, _SCORED_HYBRID, _said("capped")) + "SELECT question_id, answer, n_citations FROM said",
+    "grounded_answers": _with(*_RETRIEVAL, _VPAPERS, _SCORED_HYBRID, _said("capped", False)) + "SELECT question_id, answer, n_citations FROM said",
     "end_to_end_answers": _with(*_ORCHESTRATED, _said("passed")) + "SELECT question_id, answer, n_citations FROM said",
     "extract_triples_offline": _with(_PAPERS, _CHUNKS, _TRIPLES) + "SELECT source, relation, target, source_chunk_id FROM triples WHERE NOT ends_with(source_chunk_id, '#abstract')",
     "incremental_graph": _with(_PAPERS, _CHUNKS, _TRIPLES)
@@ -412,7 +440,50 @@ ORACLE = {
                CASE WHEN turn % 7 = 0 OR trim(text) = '' THEN '' WHEN turn % 2 = 0 THEN '1. ' || role || chr(10) || '   `' || conv_id || ', ' || turn || '`' ELSE '_(no citations — see answer above)_' END AS citations
         FROM conversations
     """,
-    "parse_verdicts": "SELECT conv_id, turn, turn % 4 = 0 AS correct FROM conversations",
+    "parse_verdicts": """
+        SELECT conv_id, turn, turn % 11 IN (0, 4, 5, 7) AS correct,
+               CASE turn % 11 WHEN 0 THEN 'x' WHEN 2 THEN 'no verdict in the reply: {"reasoning": "x"}' WHEN 3 THEN 'no verdict in the reply: no JSON' WHEN 4 THEN 'y'
+               WHEN 6 THEN 'z' WHEN 7 THEN 'w' WHEN 8 THEN 'no verdict in the reply: {"correct": true, "reas' ELSE '' END AS reasoning
+        FROM conversations
+    """,
+    "plan_replies": """
+        SELECT conv_id || '-' || turn AS question_id, p.part::BIGINT AS part, CASE p.part WHEN 1 THEN role ELSE text END AS question
+        FROM conversations, (VALUES (1), (2)) AS p(part) WHERE turn % 5 < 2
+    """,
+    "synthesized_answers": _with(
+        _TURNS,
+        "top AS (SELECT * FROM cands WHERE rank <= 5)",
+        f"""
+        kept AS (
+            SELECT question_id, string_agg({_first("text")}, ' ' ORDER BY rank) AS answer, count(*) AS n FROM top
+            WHERE CASE WHEN len({_content(_first("text"))}) = 0 THEN 1.0 ELSE len(list_intersect({_content(_first("text"))}, {_tokens("text")})) / len({_content(_first("text"))})::DOUBLE END >= 0.4
+            GROUP BY question_id
+        )""",
+    )
+    + f"""
+        SELECT t.question_id, CASE WHEN t.question_id % 7 IN (0, 1) THEN coalesce(k.answer, '') WHEN t.question_id % 7 = 5 THEN '' ELSE {_first("t.text")} END AS answer,
+               CASE WHEN t.question_id % 7 IN (0, 1) THEN coalesce(k.n, 0) ELSE 0 END AS n_citations
+        FROM top t LEFT JOIN kept k USING (question_id) WHERE t.rank = 1
+    """,
+    "vector_topk_all_cells": _with(_VEC, _ASKED, _hits(20)) + "SELECT question_id, chunk_id, round(similarity, 6) AS similarity, rank FROM hits",
+    "hashed_embeddings": """
+        WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM conversations),
+        c AS (SELECT conv_id, turn, CAST(('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS BIGINT) AS pos, count(*)::DOUBLE AS n FROM w GROUP BY ALL)
+        SELECT conv_id, turn, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 6) AS value FROM c
+    """,
+    "metadata_clean": """
+        SELECT 'o' || o_orderkey AS paper_id, o_orderpriority AS title, o_orderstatus || ' of ' || o_orderpriority AS abstract, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders
+    """,
+    "degrees_of_some": _with(_OEDGES, _DEGREES) + "SELECT entity, degree FROM degrees WHERE entity IN (SELECT 'c' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
+    "pinned_papers": "SELECT 'd' || doc_id AS paper_id FROM documents",
+    "labelled_report": _with(
+        _VEC,
+        _ASKED,
+        _hits(20),
+        "flat AS (SELECT * FROM hits), predicted AS (" + _answered("flat", "flat", _top_sentence("flat")) + ")",
+        _graded("SELECT p.*, [a.gold] AS gold, a.question AS gold_answer, 0.0 AS ms FROM predicted p JOIN asked a USING (question_id)"),
+    )
+    + _report(["flat"]),
     "comparison_lines": "SELECT printf('%-20s%5d%11.2f%%%13.2f%%%11.2f%%%14.1f', system, n_questions, round(mean_accuracy * 100, 2), round(mean_precision * 100, 2), round(mean_recall * 100, 2), mean_latency_ms) AS line FROM ("
     + _with(*_GRADED)
     + _report(["forward", "backward", "idle"])
@@ -429,26 +500,12 @@ ORACLE = {
         _EXPANSIONS,
         _HYBRID,
         _SCORED_HYBRID,
-        _said("capped"),
-        *(_other(part) for part in (*_ORCHESTRATED[-3:], _said("passed"))),
+        _said("capped", False),
+        *(_other(part) for part in (_ALONE, *_ORCHESTRATED[-2:], _said("passed"))),
         _PREDICTED,
         _graded("SELECT p.*, [a.gold] AS gold, a.question AS gold_answer, 0.0 AS ms FROM predicted p JOIN asked a USING (question_id)"),
     )
     + _report(["flat", "hybrid", "reranked", "grounded", "orchestrated"]),
-    "entity_resolution_greedy": _with(
-        f"pairs AS (SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_cos('x.embedding', 'y.embedding')} AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE s >= 0.35)",
-        "arrivals AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS nth FROM embeddings)",
-        """
-        steps AS (
-            SELECT nth, vec_id AS item_id, vec_id AS founder_id, [vec_id] AS founders FROM arrivals WHERE nth = 1
-            UNION ALL
-            SELECT nth, item_id, coalesce(best, item_id), CASE WHEN best IS NULL THEN list_append(founders, item_id) ELSE founders END
-            FROM (
-                SELECT n.nth, n.vec_id AS item_id, g.founders, arg_max(p.a, row(p.s, -p.a)) AS best
-                FROM steps g JOIN arrivals n ON n.nth = g.nth + 1 LEFT JOIN pairs p ON p.b = n.vec_id AND list_contains(g.founders, p.a)
-                GROUP BY n.nth, n.vec_id, g.founders
-            )
-        )""",
-    )
-    + "SELECT item_id, founder_id FROM steps",
+    "entity_resolution_greedy": _greedy("SELECT vec_id, embedding FROM embeddings", "false"),
+    "entity_resolution_seeded": _greedy("SELECT CASE WHEN label = 0 THEN vec_id - 1000000000 ELSE vec_id END AS vec_id, embedding FROM embeddings", "vec_id < 0"),
 }

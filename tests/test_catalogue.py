@@ -4,8 +4,6 @@ from hopspark.plans.catalogue import QUERIES
 from hopspark.plans.oracle import ORACLE
 from oracle import SF, assert_same
 
-EMPTY_HERE = {"end_to_end_answers"}
-
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql(spark, name):

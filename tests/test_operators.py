@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopspark.config import Settings
+from hopspark.functions.vector import hashed_embedding
 from hopspark.operators import evaluate, extract, graph, resolve, retrieve, synthesis
 from hopspark.plans import ingest, systems
 from hopspark.schema import EDGES
@@ -200,6 +201,20 @@ def test_upserts(spark):
     assert got == {"a": ("p", 0, None, [2.0]), "b": ("p", 1, "old", [1.0]), "c": ("q", 2, "new", [3.0])}
 
 
+def test_upserts_of_repeated_keys(spark):
+    old = spark.createDataFrame([("a", "old", 1)], "paper_id string, title string, n int")
+    new = spark.createDataFrame([("a", "first", 1, 1), ("a", "second", 0, 2), ("b", "z", 1, 1), ("b", "y", 1, 2), (None, "x", 1, 1)], "paper_id string, title string, n int, at int")
+    got = sorted(map(tuple, sinks.upsert_papers(old, new, "at").collect()), key=repr)
+    assert got == [("a", "second", 0), ("b", "y", 1), (None, "x", 1)]
+    ddl = "chunk_id string, paper_id string, chunk_index int, text string, embedding array<float>"
+    stored = spark.createDataFrame([("a", "p", 0, "old", [1.0])], ddl)
+    rows = spark.createDataFrame([("a", "q", 5, "one", [2.0], 1), ("a", "r", 6, "two", [3.0], 2), ("c", "q", 7, "one", [4.0], 1), ("c", "r", 8, "two", [5.0], 2)], ddl + ", at int")
+    assert sorted(map(tuple, sinks.upsert_chunks(stored, rows, "at").collect())) == [("a", "p", 0, "two", [3.0]), ("c", "q", 7, "two", [5.0])]
+    ents = spark.createDataFrame([("e1", "kept")], "entity_id string, canonical_name string")
+    more = spark.createDataFrame([("e1", "no", 1), ("e2", "zz", 1), ("e2", "aa", 2)], "entity_id string, canonical_name string, at int")
+    assert sorted(map(tuple, sinks.insert_entities(ents, more, "at").collect())) == [("e1", "kept"), ("e2", "zz")]
+
+
 def test_question_files(spark, tmp_path):
     path = tmp_path / "q.jsonl"
     path.write_text('{"id":"1","question":"q","gold_answer":"a","gold_chunk_ids":["x#1"]}\n\n{"id":"2","question":"q","gold_answer":"a","gold_chunk_ids":[],"hop_count":3}\n')
@@ -253,12 +268,62 @@ def test_index_recall(spark):
     assert len(found & exact) / len(exact) >= 0.9
 
 
+def test_index_recall_at_a_quarter_of_the_cells(spark):
+    """On the largest test table, as the README says."""
+    from hopspark.functions.vector import nearest
+    from hopspark.operators import ann
+
+    vecs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
+    asked = vecs.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "embedding")
+    index, centroids = ann.build(vecs)
+    assert len(centroids) == 44 and ann.PROBED <= 0.25
+    exact = {(r.query_id, r.item_id) for r in nearest(asked, vecs, 20).collect()}
+    found = {(r.query_id, r.item_id) for r in ann.search(asked, index, centroids, 20).collect()}
+    assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_tasks_send_k_rows_per_query(spark):
+    """However many blocks a task goes through."""
+    from hopspark.functions import vector
+
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)], k % 3) for k in range(40_000)]
+    corpus = spark.createDataFrame(rows, "item_id long, embedding array<float>, group_id long")
+    one = corpus.coalesce(1)
+    asked = corpus.where("item_id < 3").select(F.col("item_id").alias("query_id"), "embedding", "group_id")
+    sent = vector.found_by_task(asked.select("query_id", "embedding"), one, 5)
+    assert sent.count() == 15
+    got = vector.nearest(asked, one, 5, exclude_group=True).orderBy("query_id", "rank").collect()
+    import numpy as np
+
+    m = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(3):
+        sims = np.round(m @ m[q], 9)
+        sims[[k for k in range(40_000) if k % 3 == q % 3]] = -2
+        assert [r.item_id for r in got if r.query_id == q] == sorted(range(40_000), key=lambda k: (-sims[k], k))[:5]
+
+
+def test_many_queries_meet_in_blocks(spark, monkeypatch):
+    from hopspark.functions import vector
+
+    rng = random.Random(6)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(200)]
+    corpus = spark.createDataFrame(rows, "item_id long, embedding array<float>")
+    asked = corpus.select(F.col("item_id").alias("query_id"), "embedding")
+    want = [tuple(r) for r in vector.nearest(asked, corpus, 3).orderBy("query_id", "rank").collect()]
+    pairs = sorted(map(tuple, vector.pairs_above(corpus, 0.9).collect()))
+    monkeypatch.setattr(vector, "MAX_BROADCAST_BYTES", 2000)
+    assert [tuple(r) for r in vector.nearest(asked, corpus, 3).orderBy("query_id", "rank").collect()] == want
+    assert sorted(map(tuple, vector.pairs_above(corpus, 0.9).collect())) == pairs
+
+
 def test_index_holds_every_row(spark):
     from hopspark.operators import ann
 
     rng = random.Random(2)
     rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(300)] + [(900, None)]
-    index, centroids = ann.build(spark.createDataFrame(rows, "item_id long, embedding array<float>"), 7)
+    index, centroids = ann.build(spark.createDataFrame(rows, "item_id long, embedding array<float>"), 7, 1)
     assert index.count() == 300 and len(centroids) == 7
     asked = spark.createDataFrame([(k, v) for k, v in rows[:20]], "query_id long, embedding array<float>")
     assert [r.item_id for r in ann.search(asked, index, centroids, 1, 1).orderBy("query_id").collect()] == list(range(20))
@@ -269,3 +334,113 @@ def test_founders_from_an_earlier_batch(spark):
     old = spark.createDataFrame([(1, [1.0, 0.0])], ddl)
     new = spark.createDataFrame([(5, [1.0, 0.05]), (6, [0.0, 1.0])], ddl)
     assert {r.item_id: r.founder_id for r in resolve.resolve_greedy(new, 0.9, old).collect()} == {1: 1, 5: 1, 6: 6}
+
+
+def test_graph_build_resolves_names(spark):
+    """Against the sequence: stored entities first, then names in order of arrival."""
+    import hashlib
+
+    import numpy as np
+
+    vec = {r.name: np.array(r.v) for r in spark.createDataFrame([(n,) for n in ("graph index", "graph index one", "whale song", "one", "Whale  Song!")], "name string").select("name", hashed_embedding(F.col("name")).alias("v")).collect()}
+    eid = lambda name: "e_" + hashlib.sha1(name.encode()).hexdigest()[:12]
+    stored = spark.createDataFrame([(eid("graph index"), "graph index")], "entity_id string, canonical_name string").withColumn("embedding", hashed_embedding(F.col("canonical_name")))
+    ddl = "source string, relation string, target string, source_chunk_id string, pos int"
+    triples = [("graph index one", "r", "whale song", "a#abstract", 0), ("Whale  Song!", "r", "one", "a#abstract", 1), ("graph index", "r", "one", "b#abstract", 0)]
+    chunks = spark.createDataFrame([("a#abstract", "a"), ("b#abstract", "b")], "chunk_id string, paper_id string")
+    entities, found = ingest.build_graph(chunks, None, lambda _: spark.createDataFrame(triples, ddl), hashed_embedding, stored, 0.8)
+    close = float(vec["graph index one"] @ vec["graph index"]) >= 0.8
+    assert close
+    got = sorted((r.source_entity_id, r.target_entity_id, r.source_chunk_id) for r in found.collect())
+    assert got == sorted([(eid("graph index"), eid("whale song"), "a#abstract"), (eid("whale song"), eid("one"), "a#abstract"), (eid("graph index"), eid("one"), "b#abstract")])
+    assert sorted((r.entity_id, r.canonical_name) for r in entities.collect()) == sorted([(eid("whale song"), "whale song"), (eid("one"), "one")])
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from hopspark.sources.scratch import shared_dir
+
+    session = lambda master, place: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: place, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://x", "hdfs://y/")) == "hdfs://y"
+    for master in ("spark://x", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session(master, None))
+    assert shared_dir(session("local[2]", None))
+
+
+# Replies of models and what is plugged in
+
+
+def test_synthesis_falls_back(spark):
+    """A reply that failed, can't be read or has no claims gives the first source's first sentence; claims without support give ''."""
+    replies = {
+        1: '```json\n{"claims": [{"text": "Hub nodes", "source_numbers": [1]}]}\n```',
+        2: '{"claims": [{"text": "Hub nodes", "source_numb',
+        3: "",
+        4: None,
+        5: '{"answer": 1}',
+        6: '{"claims": [{"text": "Whales sing", "source_numbers": [1]}]}',
+        7: '{"claims": []}',
+    }
+    asked = spark.createDataFrame([(k,) for k in range(1, 10)], "question_id long")
+    seen = spark.createDataFrame([(k, n, f"{p}#1", t) for k in range(1, 9) for n, p, t in ((1, "a", "Graphs have hub nodes. More"), (2, "b", "Other"))], "question_id long, rank int, chunk_id string, text string")
+    said = synthesis.synthesize(asked, seen, spark.createDataFrame(list(replies.items()), "question_id long, reply string"))
+    got = {r.question_id: (r.answer, len(r.citations)) for r in said.collect()}
+    first = ("Graphs have hub nodes.", 0)
+    assert got == {1: ("Hub nodes", 1), 2: first, 3: first, 4: first, 5: first, 6: ("", 0), 7: ("", 0), 8: first, 9: ("", 0)}
+    assert {r.answer for r in synthesis.verify(said).where("question_id in (2, 6, 9)").collect()} == {synthesis.NO_EVIDENCE}
+
+
+def small_corpus(spark, **models):
+    texts = {0: "Graphs have hub nodes. x", 1: "Vectors are dense. y", 2: "Whales sing songs. z", 3: "Hub nodes are pruned. w"}
+    chunks = spark.createDataFrame([(f"p{k}#chunk0", f"p{k}", t) for k, t in texts.items()], "chunk_id string, paper_id string, text string").withColumn("embedding", hashed_embedding(F.col("text")))
+    papers = spark.createDataFrame([(f"p{k}", f"title {k}") for k in texts], "paper_id string, title string")
+    none = spark.createDataFrame([], "entity_id string, canonical_name string, embedding array<double>")
+    return systems.Corpus(chunks, papers, edges(spark, ("x", "y", "p0#abstract")), none, Settings(relevance_gate=0.0, top_k=2, final_k=2, seed_k=1, oversample=1, rerank_top_n=4), systems.Models(**models))
+
+
+def asked(spark):
+    return spark.createDataFrame([(1, "Which graphs have hub nodes? Do whales sing songs?")], "question_id long, question string").withColumn("embedding", hashed_embedding(F.col("question")))
+
+
+def test_models_are_plugged_in(spark):
+    score = lambda: F.when(F.col("text").startswith("Vectors"), 9.0).otherwise(1.0)
+    corpus = small_corpus(spark, score=score)
+    assert systems.reranked(asked(spark), corpus, spark.createDataFrame([(1, "p0#chunk0", 1), (1, "p1#chunk0", 2)], RANKED))[1].first().answer == "Vectors are dense."
+    write = lambda questions, sources: sources.where("rank = 1").select("question_id", F.format_string('{"claims": [{"text": "%s", "source_numbers": [1, 1]}]}', "title").alias("reply"))
+    got = systems.grounded(asked(spark), small_corpus(spark, write=write))[1].first()
+    assert (got.answer, got.citations) == ("", [])  # a title that its text doesn't hold
+    failing = lambda questions, sources: questions.select("question_id", F.lit(None).cast("string").alias("reply"))
+    ranked_, said = systems.grounded(asked(spark), small_corpus(spark, write=failing))
+    top = ranked_.where("rank = 1").join(small_corpus(spark).chunks, "chunk_id").first()
+    assert said.first().answer == top.text.split(". ")[0] + "."
+    assert systems.orchestrated(asked(spark), small_corpus(spark, write=failing))[1].first().answer == synthesis.NO_EVIDENCE
+
+
+def test_orchestrated_asks_the_planner(spark):
+    corpus = small_corpus(spark)
+    plan = lambda questions: questions.select("question_id", F.lit('["Vectors are dense", "songs"]').alias("reply"))
+    alone = {r.chunk_id for r in systems.orchestrated(asked(spark), corpus)[0].collect()}
+    more = {r.chunk_id for r in systems.orchestrated(asked(spark), small_corpus(spark, plan=plan, embed=hashed_embedding))[0].collect()}
+    assert alone < more and "p1#chunk0" in more
+    bad = lambda questions: questions.select("question_id", F.lit("no list").alias("reply"))
+    assert {r.chunk_id for r in systems.orchestrated(asked(spark), small_corpus(spark, plan=bad, embed=hashed_embedding))[0].collect()} == alone
+
+
+def test_judge_is_plugged_in(spark):
+    gold = spark.createDataFrame([(1, "x", ["a#0"])], "question_id long, gold_answer string, gold_chunk_ids array<string>")
+    said = spark.createDataFrame([("s", 1, '```\n{"correct": 1, "reasoning": "because"}\n```', ["a#1"], 1.0)], "system string, question_id long, predicted_answer string, retrieved_chunk_ids array<string>, latency_ms double")
+    got = evaluate.score(gold, said, judge=evaluate.parse_verdict(F.col("predicted_answer"))).first()
+    assert (got.correct, got.judge_reasoning) == (True, "because")
+    assert evaluate.score(gold, said).first().judge_reasoning is None
+
+
+def test_waves_equal_the_sequence_on_a_chain(spark):
+    """Every item is a neighbour of the one before, so each waits for another."""
+    import math
+
+    items = [(k, [math.cos(0.1 * k), math.sin(0.1 * k)]) for k in range(12)]
+    df = spark.createDataFrame(items, "item_id long, embedding array<double>")
+    t = math.cos(0.15)
+    assert {r.item_id: r.founder_id for r in resolve.resolve_greedy(df, t).collect()} == greedy(items, t)

@@ -1,17 +1,7 @@
-import pytest
-
-from hopspark.plans.catalogue import QUERIES
-from hopspark.plans.oracle import ORACLE
 from hopspark.sources import testdata
-from oracle import SF, assert_same, connect
+from oracle import SF, connect
 
 
 def test_an_edge_per_line(spark):
     lines = connect().execute("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchone()[0]
     assert testdata.order_edges(spark, SF).count() == lines
-
-
-@pytest.mark.parametrize("name", ["entity_degrees", "hub_entities", "neighbor_chunks", "append_edges"])
-def test_queries_over_all_lines(spark, name):
-    """The SQL counterparts without their filter on the number of the line."""
-    assert_same(spark, QUERIES[name], ORACLE[name].replace(" WHERE l_linenumber = 1", ""))
