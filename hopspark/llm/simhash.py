@@ -196,7 +196,7 @@ def shards_of(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     A shard in which no split pays (fingerprints that differ in a few bits only) stays
     whole: MAX_ROUNDS ends the attempts.
     """
-    dealt = classes.select(F.lit(0).cast("long").alias("shard"), "fp")
+    dealt = classes.select(F.col("fp").bitwiseAND(F.lit(0)).alias("shard"), "fp")  # a literal would make the joins below nested loops
 
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         points = np.unique(sample["fp"].to_numpy(np.int64)).view(np.uint64)
