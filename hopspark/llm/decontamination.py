@@ -3,27 +3,34 @@
 Everything here is DataFrame and SQL functions.
 
 1. Texts and items become words (runs of letters and digits, lower-case) and the hashes
-   of their five-word shingles.
-2. A window can only be similar to an item if it shares a shingle with it.  Moving a
-   window on to its first shared shingle loses nothing, so the windows worth looking at
-   are those that begin at a shared shingle (or end with the text), each as long as the
-   item.
-3. Each window gets a SimHash fingerprint over its shingles, and so does each item.
-4. Fingerprints are cut into RADIUS + 1 blocks.  Two within RADIUS bits of each other
-   agree in at least one block, so an equi-join on (item length, block number, block
-   value) gives every pair within the radius; the distance is then checked.
-5. What is left is verified on the shingles themselves: the sum over shingles of the
+   of their five-word shingles.  Places of the texts that hold a shingle of any item are
+   kept: the hits.
+2. A text can only be similar to an item if it shares one of the item's seeds: its rarest
+   shingles by hits, as many as weigh more than what a similar window may lack.  A passage
+   that very many texts share is no seed of an item that holds anything rarer.
+3. Windows are as long as the item.  Moving one on to its first shared shingle loses
+   nothing, so those worth looking at begin at a shared shingle (or end with the text).
+   They are taken only for items that the text has a seed of.
+4. Each window gets a SimHash fingerprint over its shingles, and so does each item.
+5. Fingerprints are cut into RADIUS + 1 blocks.  Two within RADIUS bits of each other
+   agree in at least one block, so an equi-join on (item, block number, block value)
+   gives every seeded pair within the radius; the distance is then checked.
+6. What is left is verified on the shingles themselves: the sum over shingles of the
    smaller count, divided by that of the larger (weighted Jaccard), must reach the
    threshold.
 
 RADIUS is wide because items are short: one changed word alters five of perhaps thirty
 shingles.  At a similarity of 0.8 two fingerprints differ in about ten bits, with a
-standard deviation of three.
+standard deviation of three.  Blocks of two or three bits don't select by themselves,
+which is why the item is part of the key: without it nearly every window would meet every
+item.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopspark.llm.common import scratch_table
@@ -31,9 +38,10 @@ from hopspark.llm.common import scratch_table
 SHINGLE = 5
 RADIUS = 23
 THRESHOLD = 0.8
-#: Rows up to which the smaller side of a join is broadcast: item shingles (two longs and
-#: an int each), items with their words, identifiers of texts with a shared shingle.
-BROADCAST_SHINGLES, BROADCAST_ITEMS, BROADCAST_TEXTS = 500_000, 10_000, 200_000
+#: Most bytes that are broadcast at once, as counted beforehand: a row of the index of
+#: item shingles or of texts' keys counts as ROW_BYTES.
+BROADCAST_BYTES, ROW_BYTES = 48_000_000, 96
+KEY = ["no_id", "id", "text_hash"]
 
 
 def words_of(text: str) -> Column:
@@ -76,6 +84,51 @@ def shingle_texts(words: str) -> str:
     return f"transform(sequence(0, size({words}) - {SHINGLE}), i -> array_join(slice({words}, i + 1, {SHINGLE}), ' '))"
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(no_id, id, text_hash, text): what tells rows apart, free of nulls."""
+    number = docs[doc_id].cast("long")
+    return docs.select(number.isNull().alias("no_id"), F.coalesce(number, F.lit(0).cast("long")).alias("id"), F.xxhash64(docs[text]).alias("text_hash"), docs[text].alias("text"))
+
+
+def _small(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
+
+
+def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item, item_id, item_words, item_hashes, m): distinct items with a shingle, numbered, with m shingles."""
+    rows = benchmark.select(benchmark[item_id].alias("item_id"), words_of(item_text).alias("item_words")).distinct().where(f"size(item_words) >= {SHINGLE}")
+    rows = rows.withColumn("item_hashes", shingle_hashes("item_words")).withColumn("m", F.size("item_hashes"))
+    return scratch_table(rows.withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def seeded_windows(keyed: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(no_id, id, text_hash, item, m, start): the windows of each text that may be similar to an item.
+
+    The index of item shingles is broadcast in parts of at most BROADCAST_BYTES, and the
+    texts are read once for each part: words of texts are never shuffled.
+    """
+    index = scratch_table(items.select("item", "m", F.explode("item_hashes").alias("hash")).groupBy("item", "m", "hash").agg(F.count("*").alias("weight")), "item-shingles")
+    known = index.select("hash").distinct()
+    n_index, n_known = index.count(), known.count()
+    hashed = keyed.withColumn("words", words_of("text")).select(*KEY, shingle_hashes("words").alias("hashes"))
+    # The length is taken below the generator, so that the array isn't copied to every row above it.
+    places = hashed.withColumn("len", F.size("hashes")).select(*KEY, "len", F.posexplode("hashes").alias("at", "hash"))
+    parts = max(1, -(-n_known * ROW_BYTES // BROADCAST_BYTES))
+    found = [places.join(F.broadcast(known.where(F.pmod("hash", F.lit(parts)) == k)), "hash") for k in range(parts)]
+    hits = scratch_table(reduce(DataFrame.unionAll, found).select(*KEY, "len", "at", "hash"), "hits")
+
+    seen = hits.groupBy("hash").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("item").orderBy("n", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = index.join(seen, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("before", F.coalesce(F.sum("weight").over(rarest), F.lit(0)))
+    # A window that reaches the threshold holds so much of the item's weight that the rest can't have all its seeds.
+    seeds = scratch_table(ranked.where((F.col("before") <= (1 - threshold) * F.col("m") + 1e-9) & (F.col("n") > 0)).select("item", "m", "hash"), "seeds")
+    pairs = hits.join(_small(seeds, seeds.count() * ROW_BYTES), "hash").select(*KEY, "item", "m").distinct()
+    wanted = pairs.join(_small(index.select("item", "hash"), n_index * ROW_BYTES), "item")
+    # The window begins at the shared shingle, or earlier if the text ends before it does.
+    starts = F.greatest(F.lit(0), F.least(F.col("at"), F.col("len") - F.col("m"))).alias("start")
+    return scratch_table(hits.join(wanted, [*KEY, "hash"]).select(*KEY, "item", "m", starts).distinct(), "seeded")
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per (document, item) whose best window reaches ``threshold``.
 
@@ -88,55 +141,45 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS,
     doc_id are kept with a null doc_id, and null item ids likewise.  An empty table on
     either side gives an empty result.
     """
-    items = scratch_table(
-        benchmark.select(benchmark[item_id].alias("item_id"), words_of(item_text).alias("item_words"))
-        .distinct()
-        .where(f"size(item_words) >= {SHINGLE}")
-        .withColumn("item_hashes", shingle_hashes("item_words"))
-        .withColumn("m", F.size("item_hashes")),
-        "items",
-    )
-    n_items, n_shingles, longest = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
-    small = lambda df, ok: F.broadcast(df) if ok else df
-
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keyed = rows.withColumn("text_hash", F.xxhash64("text"))
-    hashed = keyed.withColumn("words", words_of("text")).select("doc_id", "text_hash", shingle_hashes("words").alias("hashes"))
-    # The length is taken below the generator, so that the array isn't copied to every row above it.
-    positions = hashed.withColumn("len", F.size("hashes")).select("doc_id", "text_hash", "len", F.posexplode("hashes").alias("at", "hash"))
-    wanted = items.select("m", F.explode("item_hashes").alias("hash")).distinct()
-    # The window begins at the shared shingle, or earlier if the text ends before it does.
-    starts = F.greatest(F.lit(0), F.least(F.col("at"), F.col("len") - F.col("m"))).alias("start")
-    shared = scratch_table(positions.join(small(wanted, n_shingles <= BROADCAST_SHINGLES), "hash").select("doc_id", "text_hash", "m", starts).distinct(), "shared")
-
-    marked = shared.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "m")).alias("windows"))
-    few = shared.select("doc_id", "text_hash").distinct().count() <= BROADCAST_TEXTS
-    again = keyed.alias("t").join(small(marked.alias("m"), few), F.expr("t.doc_id <=> m.doc_id AND t.text_hash = m.text_hash"))
-    cut = again.select("t.doc_id", "t.text_hash", "windows", words_of("text").alias("words")).withColumn("hashes", shingle_hashes("words"))
+    items = _items(benchmark, item_id, item_text)
+    n_items, item_bytes, longest = items.agg(F.count("*"), F.coalesce(F.sum(F.length(F.concat_ws(" ", "item_words")) + 24 * F.size("item_words")), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    keyed = _keyed(docs, doc_id, text)
+    seeded = seeded_windows(keyed, items, threshold)
+
+    marked = scratch_table(seeded.groupBy(*KEY).agg(F.collect_set(F.struct("start", "m")).alias("windows")), "marked")
+    n_marked = marked.count()
+    # Texts without a window are left behind where they are read, if the keys of the others are few.
+    again = keyed.join(F.broadcast(marked.select(*KEY)), KEY, "left_semi") if n_marked * ROW_BYTES <= BROADCAST_BYTES else keyed
+    cut = again.join(marked, KEY).select(*KEY, "windows", words_of("text").alias("words")).withColumn("hashes", shingle_hashes("words"))
     parts = "transform(windows, w -> struct(w.start AS start, w.m AS m, slice(hashes, w.start + 1, w.m) AS hashes, slice(words, w.start + 1, w.m + 4) AS words))"
-    windows = scratch_table(
-        cut.select("doc_id", "text_hash", F.explode(F.expr(parts)).alias("w")).select("doc_id", "text_hash", "w.*").withColumn("fp", simhash("hashes", longest)).drop("hashes"),
-        "windows",
-    )
-
-    prints = items.select("item_id", "item_words", "m", simhash("item_hashes", longest).alias("item_fp"))
-    probes = windows.select("doc_id", "text_hash", "start", "m", "fp", F.explode(blocks("fp", radius)).alias("b")).select("*", "b.no", "b.value").drop("b")
-    index = prints.select("item_id", "m", "item_fp", F.explode(blocks("item_fp", radius)).alias("b")).select("item_id", "m", "item_fp", "b.no", "b.value")
-    near = probes.join(small(index, n_items <= BROADCAST_ITEMS), ["m", "no", "value"]).where(f"bit_count(fp ^ item_fp) <= {radius}")
-    pairs = near.groupBy("doc_id", "text_hash", "start", "m", "item_id").agg(F.min(F.expr("bit_count(fp ^ item_fp)")).alias("hamming"))
-
-    both = pairs.alias("p").join(windows.alias("w"), F.expr("p.doc_id <=> w.doc_id AND p.text_hash = w.text_hash AND p.start = w.start AND p.m = w.m")).select("p.*", "w.words")
-    both = both.alias("p").join(small(prints.alias("i"), n_items <= BROADCAST_ITEMS), F.expr("p.item_id <=> i.item_id AND p.m = i.m")).select("p.*", "i.item_words")
+    windows = scratch_table(cut.select(*KEY, F.explode(F.expr(parts)).alias("w")).select(*KEY, "w.*").withColumn("fp", simhash("hashes", longest)).drop("hashes"), "windows")
+
+    prints = items.select("item", "item_id", "item_words", simhash("item_hashes", longest).alias("item_fp"))
+    probes = seeded.join(windows.select(*KEY, "start", "m", "fp"), [*KEY, "start", "m"]).select(*KEY, "item", "start", "m", "fp", F.explode(blocks("fp", radius)).alias("b")).select("*", "b.no", "b.value").drop("b")
+    index = prints.select("item", "item_fp", F.explode(blocks("item_fp", radius)).alias("b")).select("item", "item_fp", "b.no", "b.value")
+    near = probes.join(_small(index, n_items * (radius + 1) * ROW_BYTES), ["item", "no", "value"]).where(f"bit_count(fp ^ item_fp) <= {radius}")
+    pairs = near.groupBy(*KEY, "start", "m", "item").agg(F.min(F.expr("bit_count(fp ^ item_fp)")).alias("hamming"))
+
+    both = pairs.join(windows.select(*KEY, "start", "m", "words"), [*KEY, "start", "m"]).join(_small(prints.select("item", "item_id", "item_words"), item_bytes + n_items * ROW_BYTES), "item")
     counted = both.withColumns({"a": F.expr(shingle_texts("words")), "b": F.expr(shingle_texts("item_words"))})
     # Where an item repeats no shingle, each shared one weighs 1; counts are compared only for items that do.
     repeats = "aggregate(array_distinct(b), 0, (acc, s) -> acc + least(size(filter(a, x -> x = s)), size(filter(b, x -> x = s))))"
     shared_weight = f"if(size(array_distinct(b)) = size(b), size(array_intersect(b, a)), {repeats})"
     scored = counted.withColumn("both", F.expr(shared_weight)).withColumn("similarity", F.expr("both / cast(size(a) + size(b) - both AS double)"))
-    best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", F.size("words").alias("n"), "hamming", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))
-    return best.select("doc_id", "text_hash", "item_id", F.col("w.start").alias("first_word"), F.col("w.n").alias("n_words"), F.col("w.hamming").alias("hamming"), F.round("w.similarity", 6).alias("similarity"))
+    window = F.struct("similarity", (-F.col("start")).alias("at"), F.size("words").alias("n"), "hamming")
+    best = scored.where(F.col("similarity") >= threshold).groupBy(*KEY, "item", "item_id").agg(F.max(window).alias("w"))
+    number = F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
+    return best.select(number, "text_hash", "item_id", (-F.col("w.at")).alias("first_word"), F.col("w.n").alias("n_words"), F.col("w.hamming").alias("hamming"), F.round("w.similarity", 6).alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """``docs`` without the rows that :func:`contaminations` names; all columns kept."""
-    found = contaminations(docs, benchmark, doc_id=doc_id, text=text, **parameters).select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    return docs.join(found, docs[doc_id].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs[text]) == F.col("_hit_hash")), "left_anti")
+    """``docs`` without the rows that :func:`contaminations` names; all columns kept.
+
+    The rows' keys are written first; where they are few enough to be broadcast, texts
+    stay where they are read.
+    """
+    found = contaminations(docs, benchmark, doc_id=doc_id, text=text, **parameters)
+    at = next(n for n in (f"_hit{k}" for k in range(len(docs.columns) + 1)) if not any(c.startswith(n) for c in docs.columns))
+    hits = scratch_table(found.select(F.col("doc_id").alias(f"{at}_id"), F.col("text_hash").alias(f"{at}_hash")).distinct(), "contaminated")
+    same = docs[doc_id].cast("long").eqNullSafe(hits[f"{at}_id"]) & (F.xxhash64(docs[text]) == hits[f"{at}_hash"])
+    return docs.join(_small(hits, hits.count() * ROW_BYTES), same, "left_anti")

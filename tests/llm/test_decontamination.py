@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from hopspark.llm import decontamination as D
 
@@ -67,14 +68,29 @@ def test_edited_passages_equal_brute_force(spark, seed):
     assert got == brute(docs, items)
 
 
-def test_shuffled_joins_give_the_same(spark, monkeypatch):
-    for name in ("BROADCAST_SHINGLES", "BROADCAST_ITEMS", "BROADCAST_TEXTS"):
-        monkeypatch.setattr(D, name, 0)
+def test_shuffled_and_parted_joins_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 60)
+    monkeypatch.setattr(D, "ROW_BYTES", 1)
     docs, items = made(5)
     got = found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert got == brute(docs, items)
 
 
+def test_windows_meet_few_items(spark):
+    """Of two hundred items, all with a common passage, a window meets its own and hardly another."""
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(3000)]
+    common = "please read the following passage and answer the question below".split()
+    items = [(k, " ".join(common + [rng.choice(vocab) for _ in range(30)])) for k in range(200)]
+    docs = [(k, " ".join([rng.choice(vocab) for _ in range(20)] + common + [rng.choice(vocab) for _ in range(30)])) for k in range(300)]
+    docs += [(1000 + k, "before " + text + " after") for k, text in items[:40]]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    met = D.seeded_windows(D._keyed(a, "doc_id", "text"), D._items(b, "item_id", "text"))
+    per_window = met.groupBy(*D.KEY, "start", "m").count().agg({"count": "avg"}).first()[0]
+    assert met.select("id").distinct().count() == 40 and per_window < 2
+    assert found(a, b) == brute(docs, items) != set()
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "no identifier here at all but more words than five"), (2, None), (None, "one two three four five six")], "item_id long, text string")
     assert found(odd, items) == set()
@@ -91,6 +107,8 @@ def test_decontaminate_keeps_the_rest_whole(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count()
     docs = spark.createDataFrame([(1, "x one two three four five six y", 5), (1, "clean", 5), (None, "one two three four five six", 5)], "doc_id long, text string, hash int")
     assert [r.text for r in D.decontaminate(docs, items).collect()] == ["clean"]
+    named = docs.withColumnRenamed("hash", "_hit0_id").withColumn("_hit_id", F.lit(1)).withColumn("_hit2", F.lit(1))
+    assert [r.text for r in D.decontaminate(named, items).collect()] == ["clean"]
 
 
 def test_fingerprints_are_majorities(spark):
