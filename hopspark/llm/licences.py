@@ -2,10 +2,13 @@
 
 A text is cut into sentences, each is normalised to lower-case letters and digits, and
 equi-joined to a fixed table of licence sentences.  The sentences that are recognised in
-a text, in order, form a sequence of identifiers; a rule is such a sequence, and matches
-wherever its identifiers follow one another in the text's sequence (other sentences may
-stand between them).  Everything is DataFrame and SQL functions; both tables are constants of this
-module, so broadcasting them is safe at any size of corpus.
+a text, in order, form a sequence of identifiers; a rule is such a sequence too, and
+matches where its identifiers come in order, each within GAP other known sentences and
+FAR sentences of any kind of the one before.  Of matches that claim the same sentence the
+one of the longest rule counts, then the earliest, then the first in RULES; a known
+sentence that stands in another match's gap is matched by its own rules.  Everything is
+DataFrame and SQL functions; both tables are constants of this module, so broadcasting
+them is safe at any size of corpus.
 """
 
 from __future__ import annotations
@@ -107,6 +110,11 @@ SENTENCES = {
     "bsd-as-is": [
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
     ],
+    "bsd-liability": [
+        f"IN NO EVENT SHALL THE {who} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES"
+        for who in ("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS")
+    ],
+    "bsd-2-name": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License."],
     "bsd-3-name": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License."],
     "isc-grant": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
@@ -122,6 +130,20 @@ SENTENCES = {
     ],
     "mpl-2-subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
     "mpl-2-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "epl-2-name": [
+        "Licensed under the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "bsl-1-name": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License, Version 1.0."],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-liability": ["In no event will the authors be held liable for any damages arising from the use of this software."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "cc0-1-name": ["Licensed under CC0 1.0 Universal.", "This work is licensed under CC0 1.0 Universal.", "Licensed under CC0 1.0."],
+    "cc0-1-dedication": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."
+    ],
+    "cc0-1-warranty": ["This software is distributed without any warranty."],
     "unlicense-domain": ["This is free and unencumbered software released into the public domain."],
     "cc-by-4-name": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -161,7 +183,15 @@ RULES = {
     "gpl-2-header": ("GPL-2.0-or-later", ["gpl-redistribute-2", "gpl-version-2", "gpl-no-warranty", "gpl-merchantability"]),
     "bsd-2-text": ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
     "bsd-3-text": ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"]),
+    "bsd-2-whole-text": ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is", "bsd-liability"]),
+    "bsd-3-whole-text": ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is", "bsd-liability"]),
+    "bsd-2-name": ("BSD-2-Clause", ["bsd-2-name"]),
     "bsd-3-name": ("BSD-3-Clause", ["bsd-3-name"]),
+    "epl-2-name": ("EPL-2.0", ["epl-2-name"]),
+    "bsl-1-name": ("BSL-1.0", ["bsl-1-name"]),
+    "zlib-text": ("Zlib", ["zlib-as-is", "zlib-liability", "zlib-grant"]),
+    "cc0-1-name": ("CC0-1.0", ["cc0-1-name"]),
+    "cc0-1-text": ("CC0-1.0", ["cc0-1-dedication", "cc0-1-warranty"]),
     "isc-text": ("ISC", ["isc-grant"]),
     "isc-whole-text": ("ISC", ["isc-grant", "isc-as-is", "isc-liability"]),
     "mpl-2-name": ("MPL-2.0", ["mpl-2-name"]),
@@ -178,13 +208,16 @@ RULES = {
 
 # Names in SPDX tags.  A text is cut after the tag's colon, so tag and name are two sentences.
 SPDX = [
-    *("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense"),
+    *("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "EPL-2.0", "BSL-1.0", "Zlib", "CC0-1.0"),
     *(f"{name}-{end}" for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("only", "or-later")),
     *(f"CC-{kind}-4.0" for kind in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")),
 ]
 SENTENCES |= {"spdx-tag": ["SPDX-License-Identifier:"]} | {f"spdx-{name}": [name] for name in SPDX}
 RULES |= {f"spdx-{name}": (name, ["spdx-tag", f"spdx-{name}"]) for name in SPDX}
 
+#: Most other known sentences, and most sentences of any kind further on, between two that a rule asks for.
+GAP, FAR = 3, 25
+
 #: Sentences end at these marks before a blank or the end, and at blank lines.
 _ENDS = r"[.!?;:]+([ \t\r\n]+|\z)|\n[ \t\r]*\n"
 _OTHER = "[^a-z0-9]+"
@@ -204,7 +237,7 @@ def _sentence_rows() -> list[tuple]:
 
 
 def _rule_rows() -> list[tuple]:
-    return [(rule, licence, k, len(steps), s) for rule, (licence, steps) in RULES.items() for k, s in enumerate(steps)]
+    return [(rule, licence, k, len(steps), s, nth) for nth, (rule, (licence, steps)) in enumerate(RULES.items()) for k, s in enumerate(steps)]
 
 
 def _inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
@@ -230,37 +263,72 @@ def recognised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def licence_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per match of a rule: doc_id, rule, licence, first_sentence and last_sentence.
 
-    Sentence numbers are those of :func:`recognised`.  Null and empty texts match nothing.
-    Repeated rows (same doc_id and text) count once; rows of one doc_id and different
-    texts are matched apart; null ids are kept.
+    Sentence numbers are those of :func:`recognised`; they cover the match from its first
+    sentence to its last, those in its gaps included.  Of several ways for a rule to go on
+    from one sentence the one with the earliest sentences counts.  Null and empty texts
+    match nothing.  Repeated rows (same doc_id and text) count once; rows of one doc_id
+    and different texts are matched apart; null ids are kept.
     """
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("at", "line", "sentence")
-    sequence = recognised(docs, doc_id, text).withColumn("place", F.row_number().over(order))
-    steps = _inline(docs.sparkSession, _rule_rows(), "rule, licence, step, n_steps, sentence")
-    tried = sequence.join(steps, "sentence").withColumn("start", F.col("place") - F.col("step"))
-    runs = tried.groupBy("doc_id", "text_hash", "rule", "licence", "n_steps", "start").agg(F.count("*").alias("n"), F.min("at").alias("first_sentence"), F.max("at").alias("last_sentence"))
-    return runs.where("n = n_steps").select("doc_id", "rule", "licence", F.col("first_sentence").cast("long").alias("first_sentence"), F.col("last_sentence").cast("long").alias("last_sentence"))
-
-
-#: The same in DuckDB, with its own cutting and numbering.
+    own = ["doc_id", "text_hash"]
+    longest = max(len(steps) for _, steps in RULES.values())
+    sequence = recognised(docs, doc_id, text).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("at", "line", "sentence"))).alias("q"))
+    # What a match that begins at a place can hold: the sequence from there on, as far as gaps allow.
+    ahead = F.expr(f"transform(q, (x, i) -> slice(q, i + 1, {(longest - 1) * (GAP + 1) + 1}))")
+    starts = sequence.select(*own, F.posexplode(ahead).alias("place", "w")).withColumn("sentence", F.expr("w[0].sentence"))
+    steps = F.broadcast(docs.sparkSession.sql(f"SELECT rule, licence, nth, array_sort(collect_list(struct(step, sentence))).sentence AS steps FROM VALUES {_values(_rule_rows())} AS t(rule, licence, step, n_steps, sentence, nth) GROUP BY rule, licence, nth"))
+    tried = starts.join(steps, F.col("sentence") == F.col("steps")[0])
+    here = "element_at(c, -1)"
+    further = f"filter(sequence(0, size(w) - 1), p -> p > {here} AND p <= {here} + {GAP + 1} AND get(w, p).sentence = s AND get(w, p).at - get(w, {here}).at <= {FAR})"
+    chains = f"aggregate(slice(steps, 2, size(steps)), array(array(0)), (acc, s) -> flatten(transform(acc, c -> transform({further}, p -> concat(c, array(p))))))"
+    found = tried.withColumn("chain", F.expr(f"array_min({chains})")).where("chain IS NOT NULL")
+    match = found.select(*own, F.size("steps").alias("n"), "place", "nth", "rule", "licence", F.expr("transform(chain, p -> place + p)").alias("places"), F.expr("w[0].at").alias("first"), F.expr("get(w, element_at(chain, -1)).at").alias("last"))
+    # Matches that can't share a sentence are settled apart.
+    order = Window.partitionBy(*own).orderBy("place", "nth")
+    before = F.max(F.element_at("places", -1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = match.withColumn("new", F.coalesce(F.col("place") > before, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = apart.groupBy(*own, "part").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("pref"), "place", "nth", "rule", "licence", "places", "first", "last"))).alias("ms"))
+    kept = rows.withColumn("kept", F.expr("aggregate(ms, slice(ms, 1, 0), (acc, m) -> if(exists(acc, k -> arrays_overlap(k.places, m.places)), acc, concat(acc, array(m))))"))
+    return kept.select("doc_id", F.explode("kept").alias("k")).select("doc_id", "k.rule", "k.licence", F.col("k.first").cast("long").alias("first_sentence"), F.col("k.last").cast("long").alias("last_sentence"))
+
+
+#: The same in DuckDB, with its own cutting and numbering, rules followed step by step and matches settled one by one.
 LICENCE_SQL = f"""
-    WITH known(plain, sentence) AS (VALUES {_values(_sentence_rows())}),
-    rules(rule, licence, step, n_steps, sentence) AS (VALUES {_values(_rule_rows())}),
-    texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-    cut AS (SELECT doc_id, text, regexp_split_to_array(text, '{_ENDS}') AS parts FROM texts),
-    sentences AS (SELECT doc_id, text, generate_subscripts(parts, 1) - 1 AS nth, unnest(parts) AS part FROM cut),
+    WITH RECURSIVE known(plain, sentence) AS (VALUES {_values(_sentence_rows())}),
+    rules(rule, licence, step, n_steps, sentence, nth_rule) AS (VALUES {_values(_rule_rows())}),
+    texts AS (SELECT row_number() OVER () AS t, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+    cut AS (SELECT t, regexp_split_to_array(text, '{_ENDS}') AS parts FROM texts),
+    sentences AS (SELECT t, generate_subscripts(parts, 1) - 1 AS nth, unnest(parts) AS part FROM cut),
     lined AS (
-        SELECT doc_id, text, nth, CASE WHEN contains(part, chr(10)) THEN list_concat([part], string_split(part, chr(10))) ELSE [part] END AS lines
+        SELECT t, nth, CASE WHEN contains(part, chr(10)) THEN list_concat([part], string_split(part, chr(10))) ELSE [part] END AS lines
         FROM sentences
     ),
-    parts AS (SELECT doc_id, text, nth, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS part FROM lined),
+    parts AS (SELECT t, nth, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS part FROM lined),
     found AS (
-        SELECT DISTINCT doc_id, text, nth, line, sentence
+        SELECT DISTINCT t, nth, line, sentence
         FROM parts JOIN known ON trim(regexp_replace(lower(part), '{_OTHER}', ' ', 'g')) = known.plain
     ),
-    sequence AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY nth, line, sentence) AS place FROM found)
-    SELECT doc_id, rule, licence, CAST(min(nth) AS BIGINT) AS first_sentence, CAST(max(nth) AS BIGINT) AS last_sentence
-    FROM sequence JOIN rules USING (sentence)
-    GROUP BY doc_id, text, rule, licence, n_steps, place - step
-    HAVING count(*) = n_steps
+    sequence AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY nth, line, sentence) AS place FROM found),
+    chains AS (
+        SELECT t, rule, step, place AS start, nth AS first_at, place AS here, nth AS last_at, [place] AS places FROM sequence JOIN rules USING (sentence) WHERE step = 0
+        UNION ALL
+        SELECT c.t, c.rule, r.step, c.start, c.first_at, s.place, s.nth, list_append(c.places, s.place)
+        FROM chains c JOIN rules r ON r.rule = c.rule AND r.step = c.step + 1
+        JOIN sequence s ON s.t = c.t AND s.sentence = r.sentence AND s.place > c.here AND s.place <= c.here + {GAP + 1} AND s.nth - c.last_at <= {FAR}
+    ),
+    matched AS (
+        SELECT t, c.rule, start, min(first_at) AS first_at, min(places) AS places, arg_min(last_at, places) AS last_at
+        FROM chains c JOIN rules r ON r.rule = c.rule AND r.step = c.step AND r.step = r.n_steps - 1 GROUP BY t, c.rule, start
+    ),
+    ranked AS (
+        SELECT m.*, r.licence, row_number() OVER (PARTITION BY t ORDER BY n_steps DESC, start, nth_rule) AS turn
+        FROM matched m JOIN rules r ON r.rule = m.rule AND r.step = 0
+    ),
+    settled AS (
+        SELECT t, turn, rule, licence, first_at, last_at, places AS used, true AS kept FROM ranked WHERE turn = 1
+        UNION ALL
+        SELECT r.t, r.turn, r.rule, r.licence, r.first_at, r.last_at, CASE WHEN list_has_any(s.used, r.places) THEN s.used ELSE list_concat(s.used, r.places) END, NOT list_has_any(s.used, r.places)
+        FROM settled s JOIN ranked r ON r.t = s.t AND r.turn = s.turn + 1
+    )
+    SELECT doc_id, rule, licence, CAST(first_at AS BIGINT) AS first_sentence, CAST(last_at AS BIGINT) AS last_sentence
+    FROM settled JOIN texts USING (t) WHERE kept
 """

@@ -18,10 +18,86 @@ def text_of(rule):
     return "\n".join(L.SENTENCES[s][0] if L.SENTENCES[s][0][-1] in ".:;" else L.SENTENCES[s][0] + "." for s in L.RULES[rule][1])
 
 
+def settled(sequence):
+    """Matches of all rules in a sequence of (sentence number, identifier), in plain Python: (rule, first, last)."""
+    tries = []
+    for nth, (rule, (_, steps)) in enumerate(L.RULES.items()):
+        for start, (_, name) in enumerate(sequence):
+            chains = [[start]] if name == steps[0] else []
+            for s in steps[1:]:
+                chains = [[*c, p] for c in chains for p in range(c[-1] + 1, min(len(sequence), c[-1] + L.GAP + 2)) if sequence[p][1] == s and sequence[p][0] - sequence[c[-1]][0] <= L.FAR]
+            if chains:
+                tries.append((-len(steps), start, nth, rule, min(chains)))
+    used, out = set(), []
+    for *_, rule, chain in sorted(tries):
+        if not used & set(chain):
+            used |= set(chain)
+            out.append((rule, sequence[chain[0]][0], sequence[chain[-1]][0]))
+    return sorted(out)
+
+
 def test_every_rule_finds_its_own_text(spark):
+    """The longest rule that a text fulfils, and no other over the same sentences."""
     rules = list(L.RULES)
     got = matches(spark, *("Some prose. " + text_of(r) + "\nMore prose." for r in rules))
-    assert {(k, r) for k, r in enumerate(rules)} <= set(got)
+    assert got == [(k, r) for k, r in enumerate(rules)]
+
+
+def test_every_rule_with_a_known_sentence_between(spark):
+    """A foreign known sentence after each step leaves the rule's match whole, and has one of its own."""
+    rules = [r for r, (_, steps) in L.RULES.items() if len(steps) > 1 and not r.startswith("spdx-")]
+    foreign = "All rights reserved."
+    texts = ["Some prose. " + f"\n{foreign}\n".join(text_of(r).split("\n")) + "\nMore prose." for r in rules]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in L.licence_matches(df).collect():
+        got.setdefault(r.doc_id, []).append((r.rule, r.first_sentence, r.last_sentence))
+    for k, rule in enumerate(rules):
+        n = len(L.RULES[rule][1])
+        assert sorted(got[k]) == sorted([(rule, 1, 2 * n - 1)] + [("all-rights-reserved", 2 * m, 2 * m) for m in range(1, n)])
+
+
+def test_precedence_and_gaps_equal_plain_python(spark):
+    """Random sequences of known sentences, some unknown between."""
+    import random
+
+    rng = random.Random(7)
+    names = ["apache-2-name", "apache-2-compliance", "apache-2-as-is", "mit-grant", "mit-notice", "mit-as-is", "mit-liability", "all-rights-reserved", "mit-name"]
+    texts, want = [], []
+    for k in range(120):
+        sequence, parts = [], []
+        for n in range(rng.randrange(1, 40)):
+            if rng.random() < 0.25:
+                parts += ["Something else."] * rng.choice([1, 1, 30])
+            else:
+                name = rng.choice(names)
+                sequence.append((len(parts), name))
+                text = L.SENTENCES[name][0]
+                parts.append(text if text[-1] in ".:;" else text + ".")
+        texts.append("\n".join(parts))
+        want += [(k, *m) for m in settled(sequence)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.rule, r.first_sentence, r.last_sentence) for r in L.licence_matches(df).collect()) == sorted(want)
+
+
+def test_sql_counterpart_on_random_sequences(spark):
+    import random
+
+    import duckdb
+
+    rng = random.Random(9)
+    names = [n for n in L.SENTENCES if not n.startswith("spdx")]
+    rows = [(k, "\n".join((t if (t := L.SENTENCES[rng.choice(names[:12])][0])[-1] in ".:;" else t + ".") for _ in range(rng.randrange(1, 30)))) for k in range(60)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = sorted(map(tuple, L.licence_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(con.execute(L.LICENCE_SQL).fetchall()) and got
+
+
+def test_header_takes_precedence_over_the_name(spark):
+    header = text_of("apache-2-header")
+    assert matches(spark, header, header.replace("\n", "\nAll rights reserved.\n", 1)) == [(0, "apache-2-header"), (1, "all-rights-reserved"), (1, "apache-2-header")]
 
 
 def test_wrapped_lines_and_other_sentences_between(spark):
