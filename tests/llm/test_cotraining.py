@@ -166,5 +166,8 @@ def test_a_repeated_id_displaces_no_other(spark, monkeypatch):
     docs = spark.createDataFrame([(0, f"text {k}") for k in range(500)] + [(k, f"text {k}") for k in range(1, 60)] + [(k, f"text {k}") for k in range(1, 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(41)], "doc_id long, quality int")
     C.train(C.features(docs, labels))
-    C.train(C.features(docs, labels), max_labelled=10)
-    assert [len(a[1]) for a in seen] == [41, 10]
+    assert [len(a[1]) for a in seen] == [41]
+    many = spark.createDataFrame([(k, f"text {k}") for k in range(9000)], "doc_id long, text string")
+    C.train(C.features(many, many.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")), max_labelled=500)
+    first = sorted((r.h, r.doc_id) for r in many.selectExpr("xxhash64(doc_id, 11) AS h", "doc_id").collect())[:500]
+    assert sorted(seen[1][1]) == sorted(k % 2 for _, k in first)
