@@ -12,20 +12,27 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopspark.sources.scratch import scratch_path, scratch_table
 
-__all__ = ["bucketed_table", "give_back", "read_files", "scratch_path", "scratch_table", "slices", "table", "text_bytes", "write_files"]
+__all__ = ["bucketed_table", "give_back", "open_file", "opens", "read_files", "scratch_path", "scratch_table", "slices", "table", "text_bytes", "write_files"]
 
 
 def bucketed_table(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """:func:`scratch_table` with rows in ``buckets`` by ``key``: grouping by it later needs no shuffle of these rows."""
+    """:func:`scratch_table` with rows in ``buckets`` by ``key``: grouping by it later needs no shuffle of these rows.
+
+    Buckets need a table in the catalog; it is dropped again once it has been read as a
+    DataFrame, which leaves the files.
+    """
     path = scratch_path(df.sparkSession, name)
     at = "hopspark_" + path.rpartition("/")[2].replace("-", "_")
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(at)
-    return df.sparkSession.table(at)
+    out = df.sparkSession.table(at)
+    df.sparkSession.sql(f"DROP TABLE {at}")
+    return out
 
 
 def write_files(df: DataFrame, path: str, keys: list[str], content: str, end: bytes) -> None:
@@ -50,6 +57,27 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def opens(path: str) -> bool:
+    """Whether workers can open files in ``path`` (a URI as Spark writes it) piece by piece."""
+    try:
+        _place(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _place(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str, stream: bool = False) -> pa.NativeFile:
+    """A file that Spark listed, for reading by range, or from front to back with ``stream``."""
+    system, name = _place(path)
+    return system.open_input_stream(name, compression=None) if stream else system.open_input_file(name)
+
+
 def give_back() -> None:
     """Return a Python worker's free memory to the system; workers outlive their tasks and share the executor with its JVM."""
     gc.collect()

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopspark.llm.common import give_back, read_files, scratch_path, scratch_table, write_files
+from hopspark.llm.common import give_back, open_file, read_files, scratch_path, scratch_table, write_files
 
 MAGIC = b"HSST\x01\n"
 FOOTER = struct.Struct("<QQQQIQQQII")
@@ -85,8 +85,8 @@ def _probes(key: bytes, bits: int, probes: int) -> Iterator[int]:
 class Writer:
     """Builds one file from entries in key order; repeated keys are kept."""
 
-    def __init__(self, width: int = 2):
-        self.width = width
+    def __init__(self, width: int = 2, block_bytes: int | None = None):
+        self.width, self.block_bytes = width, block_bytes or BLOCK_BYTES
         self.out, self.size = [], 0
         self.block, self.block_size, self.last = [], 0, b""
         self.index: list[tuple[bytes, int, int]] = []
@@ -106,7 +106,7 @@ class Writer:
         self.last = key
         self.keys.append(key)
         self.ids += len(ids)
-        if self.block_size >= BLOCK_BYTES:
+        if self.block_size >= self.block_bytes:
             self._close_block()
 
     def _close_block(self) -> None:
@@ -132,24 +132,31 @@ class Writer:
 
 
 class Reader:
-    """A file, MAGIC included."""
-
-    def __init__(self, data: bytes):
-        if data[-len(MAGIC) :] != MAGIC:
+    """A file, MAGIC included: its bytes, or an open file, of which footer, index and Bloom filter are read, then blocks as they are asked for."""
+
+    def __init__(self, source: bytes | pa.NativeFile):
+        if isinstance(source, bytes):
+            length, self.fetch = len(source), lambda at, n: source[at : at + n]
+        else:
+            length, self.fetch = source.size(), lambda at, n: source.read_at(n, at)
+        end = length - len(MAGIC) - FOOTER.size
+        tail = self.fetch(end, length - end) if end >= 0 else b""
+        if tail[FOOTER.size :] != MAGIC:
             raise ValueError("no sorted-string table")
-        end = len(data) - len(MAGIC) - FOOTER.size
-        at, size, bloom_at, self.bits, self.probes, self.entries, self.ids, blocks, self.width, crc = FOOTER.unpack_from(data, end)
-        if zlib.crc32(data[at:end]) != crc:
+        begin, size, bloom_at, self.bits, self.probes, self.entries, self.ids, blocks, self.width, crc = FOOTER.unpack_from(tail)
+        data = self.fetch(begin, end - begin)
+        if zlib.crc32(data) != crc:
             raise ValueError("index or Bloom filter damaged")
-        self.data, self.bloom = data, data[bloom_at:end]
+        self.bloom = data[bloom_at - begin :]
         self.last: list[bytes] = []
         self.place: list[tuple[int, int]] = []
-        while at < bloom_at:
+        at = 0
+        while at < size:
             n, at = _read_varint(data, at)
             self.last.append(data[at : at + n])
             offset, at = _read_varint(data, at + n)
-            length, at = _read_varint(data, at)
-            self.place.append((offset, length))
+            n, at = _read_varint(data, at)
+            self.place.append((offset, n))
         if len(self.last) != blocks:
             raise ValueError("index damaged")
 
@@ -157,9 +164,9 @@ class Reader:
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits, self.probes))
 
     def _block(self, k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        offset, length = self.place[k]
-        data = self.data[offset : offset + length - 4]
-        if zlib.crc32(data).to_bytes(4, "little") != self.data[offset + length - 4 : offset + length]:
+        data = self.fetch(*self.place[k])
+        data, crc = data[:-4], data[-4:]
+        if zlib.crc32(data).to_bytes(4, "little") != crc:
             raise ValueError(f"block {k} damaged")
         at, key = 0, b""
         while at < len(data):
@@ -176,6 +183,10 @@ class Reader:
         for k in range(len(self.place)):
             yield from self._block(k)
 
+    def ends(self) -> tuple[int | None, int | None]:
+        """The first and the last identifier."""
+        return id_of(next(self._block(0))[0]), id_of(self.last[-1])
+
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry with this identifier."""
         key = key_of(doc_id)
@@ -276,7 +287,7 @@ def write_shards(docs: DataFrame, place: str, path: str, end_id: int, doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, width = TaskContext.get().partitionId(), 0, _width(path, end_id)
         encode = _encoder(path, width)
-        writer = Writer(width)
+        writer = Writer(width, BLOCK_BYTES)
 
         def file() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{made:05d}"]), pa.array([writer.finish()], pa.binary())], ["shard", "content"])
@@ -286,7 +297,7 @@ def write_shards(docs: DataFrame, place: str, path: str, end_id: int, doc_id: st
                 writer.add(key_of(key.as_py()), np.append(encode(text.as_py() or ""), end_id))
                 if writer.size >= SHARD_BYTES:
                     yield file()
-                    made, writer = made + 1, Writer(width)
+                    made, writer = made + 1, Writer(width, BLOCK_BYTES)
         if writer.keys:
             yield file()
         del writer
@@ -320,6 +331,71 @@ def read_shards(spark: SparkSession, place: str) -> DataFrame:
     return read_files(spark, place).select(F.col("shard").cast("string"), "content").mapInArrow(run, _ROWS)
 
 
+def manifest(spark: SparkSession, place: str) -> DataFrame:
+    """(path, part, first_id, last_id) of each shard, from its footer, index and first block; null sorts before all identifiers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = []
+            for path in batch.column(0):
+                with open_file(path.as_py()) as f:
+                    ends.append(Reader(f).ends())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1))], ["path", "part", "first_id", "last_id"])
+
+    files = spark.read.format("binaryFile").load(place).select("path", F.substring(F.col("shard").cast("string"), 1, 6).cast("int").alias("part"))
+    return files.mapInArrow(run, "path string, part int, first_id long, last_id long")
+
+
+def lookup(ids: DataFrame, place: str, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids): the token ids of every entry with one of the identifiers in ``ids``.
+
+    Identifiers are dealt to the shards whose range they fall into: first to partitions of
+    the writing job by bisecting their bounds (one long each, all that the driver holds),
+    then to shards by a join on the partition.  Each shard is opened once, of which
+    footer, index and Bloom filter are read, and one block for each identifier that may
+    be there (more where its entries run over several).  Identifiers that aren't there
+    give no row; null ones are looked up like any other; repeated ones count once.  Needs a
+    file system that pyarrow can open.
+    """
+    spark = ids.sparkSession
+    shards = scratch_table(manifest(spark, place), "manifest")
+    lowest = -(1 << 63)
+    bound = lambda c: F.coalesce(c, F.lit(lowest))
+    parts = sorted(tuple(r) for r in shards.groupBy("part").agg(F.min(bound(F.col("first_id"))), F.max(bound(F.col("last_id")))).collect())
+    names, first, last = (np.array([p[k] for p in parts], np.int64) for k in range(3))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column(0).fill_null(lowest).to_numpy(zero_copy_only=False)
+            a, b = np.searchsorted(last, mine, "left"), np.searchsorted(first, mine, "right")
+            n = np.maximum(b - a, 0)
+            at = np.repeat(np.arange(len(mine)), n)
+            which = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(names[which].astype(np.int32))], ["doc_id", "part"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file, reader = None, None, None
+        for batch in batches:
+            keys, found = [], []
+            for p, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if p != path:
+                    if file is not None:
+                        file.close()
+                    path, file = p, open_file(p)
+                    reader = Reader(file)
+                for x in reader.get(key):
+                    keys.append(key)
+                    found.append(x.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "ids"])
+        if file is not None:
+            file.close()
+
+    wanted = ids.select(ids[doc_id].cast("long").alias("doc_id")).distinct().mapInArrow(deal, "doc_id long, part int")
+    inside = bound(F.col("doc_id")).between(bound(F.col("first_id")), bound(F.col("last_id")))
+    aimed = wanted.join(shards, "part").where(inside).select("path", "doc_id")
+    return aimed.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(read, "doc_id long, ids array<long>")
+
+
 def token_shards(docs: DataFrame, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", place: str | None = None) -> DataFrame:
     """Write ``docs`` as shards, read them back, and return one row per document.
 
@@ -328,8 +404,8 @@ def token_shards(docs: DataFrame, path: str, end_id: int = 2, doc_id: str = "doc
     Order is ascending doc_id, null first, ties by hash of the text and text.  Null and empty texts hold the
     closing id alone.  An empty table writes no file and gives an empty result.
 
-    ``start`` adds up inside a shard as it is read, and over shards by a window over one
-    row per shard.
+    ``start`` adds up inside a shard as it is read, over the shards of a partition of the
+    writing job, and over these partitions (a row each in one task).
     """
     spark = docs.sparkSession
     place = place or scratch_path(spark, "sstable")
@@ -337,7 +413,8 @@ def token_shards(docs: DataFrame, path: str, end_id: int = 2, doc_id: str = "doc
     if spark.read.format("binaryFile").load(place).select("path").isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
     entries = scratch_table(read_shards(spark, place), "entries")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = entries.groupBy("shard").agg(F.sum("n_tokens").alias("ids"))
-    ahead = totals.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ahead"))
+    totals = scratch_table(entries.groupBy("shard").agg(F.sum("n_tokens").alias("ids")).withColumn("part", F.substring("shard", 1, 6)), "totals")
+    upto = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = totals.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", upto(Window.orderBy("part")).alias("base"))
+    ahead = totals.withColumn("own", upto(Window.partitionBy("part").orderBy("shard"))).join(parts, "part").select("shard", (F.col("base") + F.col("own")).alias("ahead"))
     return entries.join(ahead, "shard").select("doc_id", (F.col("ahead") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard")

@@ -161,7 +161,7 @@ def test_repeated_keys_across_blocks(monkeypatch):
 
 def test_damage_is_noticed(monkeypatch):
     r = table(range(50), monkeypatch)
-    data = bytearray(r.data)
+    data = bytearray(r.fetch(0, 1 << 30))
     data[5] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         list(sstable.Reader(bytes(data)))
@@ -173,3 +173,18 @@ def test_packing():
     a = np.array([0, 1, 2**32 - 1, 300], np.uint32)
     assert (blocks.unpack(blocks.pack(a)) == a).all()
     assert blocks.unpack_ids(blocks.pack_ids([None, -5, 1 << 62]), 3) == [None, -5, 1 << 62]
+
+
+def test_lookup_over_files(spark, odd, odd_rows, tmp_path, monkeypatch):
+    """Identifiers there and not there, null, repeated, and spread over many shards."""
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 1500)
+    place = str(tmp_path / "shards")
+    more = [(k, f"text {k} " * (k % 40)) for k in range(100, 400)] + [(250, "again " * 300)] * 3
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    sstable.write_shards(docs, place, WORD_BPE, 2)
+    assert sstable.manifest(spark, place).count() > 20
+    asked = [1, 6, None, -7, 250, 250, 399, 77, 10**12, -(10**12)]
+    got = sstable.lookup(spark.createDataFrame([(k, "x") for k in asked], "doc_id long, part string"), place)
+    want = [(k, [*WORDS.encode(t, add_special_tokens=False).ids, 2]) for k, t in odd_rows + more if k in asked]
+    assert sorted(map(repr, ((r.doc_id, list(r.ids)) for r in got.collect()))) == sorted(map(repr, want))
