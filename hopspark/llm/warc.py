@@ -1,10 +1,11 @@
 """WARC archives: written, normalised to one gzip member per record, read back by offset.
 
 Archives often arrive as one gzip stream over a whole file, in which no record can be
-reached without inflating all before it.  :func:`normalise` inflates such a stream once,
-rewrites each record as a gzip member of its own, and writes a sidecar index with the
-offset and length of every member beside the archive.  :func:`read_pages` takes records
-out by these offsets.
+reached without inflating all before it.  :func:`normalise` opens such a file as a stream,
+inflates it once, rewrites each record as a gzip member of its own in archives of bounded
+size, and writes a sidecar index with the offset and length of every member beside each.
+What a task holds is a record and an archive of PART_BYTES, however large the file.
+:func:`read_pages` takes records out by these offsets.
 
 Files are written by Spark (:func:`hopspark.llm.common.write_files`); each closes with an
 empty gzip member, which readers of gzip pass over.
@@ -13,8 +14,10 @@ empty gzip member, which readers of gzip pass over.
 from __future__ import annotations
 
 import gzip
+import io
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -22,15 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopspark.llm.common import read_files, scratch_path, scratch_table, write_files
+from hopspark.llm.common import give_back, open_file, opens, read_files, scratch_path, scratch_table, write_files
 
 #: An empty gzip member.
 END = gzip.compress(b"", mtime=0)
 #: A file closes once its records have this many bytes before compression.
 FILE_BYTES = 32_000_000
+#: A normalised archive closes once its members have this many bytes.
+PART_BYTES = 32_000_000
 MIN_REVISIT_BYTES = 1000
-#: Shared payloads (some 100 bytes each: digest, length, hash, identifier) up to which they are broadcast.
-BROADCAST_SHARED = 100_000
+#: Shared payloads (some 200 bytes each: digest, length, hash, identifier) up to which they
+#: are broadcast; beyond, each is dealt to SALTS tasks, so that none meets all its copies.
+BROADCAST_SHARED, SALTS = 200_000, 16
 #: Bytes of sidecar indexes up to which they are broadcast; beyond, archives and indexes meet by a shuffle.
 BROADCAST_INDEX = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
@@ -84,15 +90,19 @@ def decide(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     Of equal payloads of ``min_bytes`` or more, the record of the largest page_id is the
     response.  Digests are aggregated before they are joined back, so a payload that a
     third of all pages share is one row on the other side; up to BROADCAST_SHARED such
-    rows are sent to every task, so that payloads stay where they are.  Equality is that
-    of SHA-1, length and a second hash.
+    rows are sent to every task, so that payloads stay where they are.  Beyond that pages
+    are shuffled once, by digest and a salt.  Equality is that of SHA-1, length and a
+    second hash.
     """
     full = pages.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long"), "second": F.xxhash64("payload")})
     keys = ["payload_digest", "payload_bytes", "second"]
     shared = full.where(F.col("payload_bytes") >= min_bytes).groupBy(*keys).agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL").drop("copies")
     shared = scratch_table(shared, "shared-payloads")
-    few = shared.count() <= BROADCAST_SHARED
-    return full.join(F.broadcast(shared) if few else shared, keys, "left").drop("second")
+    if shared.count() <= BROADCAST_SHARED:
+        return full.join(F.broadcast(shared), keys, "left").drop("second")
+    copies = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = full.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*keys, "salt"], "left").drop("second", "salt")
 
 
 def write_monolithic(decided: DataFrame, place: str) -> None:
@@ -126,22 +136,19 @@ def write_monolithic(decided: DataFrame, place: str) -> None:
     write_files(rows, place, ["kind", "file"], "content", END)
 
 
-def records(stream: bytes) -> Iterator[bytes]:
-    """The records of a gzip file, however many members it has, inflated once from front to back."""
+def records(stream: bytes | BinaryIO) -> Iterator[bytes]:
+    """The records of a gzip file, however many members it has, read and inflated once from front to back; holds one record."""
     inflate, held = zlib.decompressobj(wbits=31), bytearray()
-    view, at, step = memoryview(stream), 0, 1 << 18
+    source = io.BytesIO(stream) if isinstance(stream, bytes) else stream
     pending, inside = b"", False
     while True:
         if inflate.eof:
             pending, inside = inflate.unused_data, False
             inflate = zlib.decompressobj(wbits=31)
-        if not pending:
-            if at >= len(view):
-                break
-            pending = view[at : at + step]
-            at += step
-        held += inflate.decompress(pending)
-        pending, inside = b"", True
+        if not pending and not (pending := inflate.unconsumed_tail or source.read(1 << 18)):
+            break
+        held += inflate.decompress(pending, 1 << 22)
+        pending, inside = inflate.unconsumed_tail, True
         begin = 0
         while (end := _record_end(held, begin)) is not None:
             yield bytes(held[begin:end])
@@ -161,29 +168,41 @@ def _record_end(data: bytearray, at: int) -> int | None:
     return end if end <= len(data) else None
 
 
-def normalise_file(stream: bytes, level: int = 6) -> tuple[bytes, list[tuple[str, int, int]]]:
-    """(archive of one member per record, index of (record id, offset, length))."""
+def normalised(stream: bytes | BinaryIO, level: int = 6, part_bytes: int | None = None) -> Iterator[tuple[bytes, list[tuple[str, int, int]]]]:
+    """Archives of one member per record, of ``part_bytes`` or little more, each with its index of (record id, offset, length)."""
+    most = part_bytes or PART_BYTES
     out, index, at = [], [], 0
     for data in records(stream):
         member = gzip.compress(data, level, mtime=0)
         index.append((headers(data)[0]["warc-record-id"], at, len(member)))
         out.append(member)
         at += len(member)
-    return b"".join(out), index
+        if at >= most:
+            yield b"".join(out), index
+            out, index, at = [], [], 0
+    if out:
+        yield b"".join(out), index
 
 
 def normalise(spark: SparkSession, source: str, place: str, level: int = 6) -> None:
-    """Rewrite the archives in ``source`` to ``place``, each with its sidecar index (gzipped text)."""
+    """Rewrite the archives in ``source`` to ``place``, each as archives of bounded size with a sidecar index (gzipped text).
+
+    Workers open the files themselves, as streams, where pyarrow knows the file system;
+    elsewhere Spark hands them over whole, which holds up to two gigabytes.
+    """
+    streamed = opens(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                archive, index = normalise_file(content.as_py(), level)
-                sidecar = gzip.compress("".join(f"{urn} {a} {n}\n" for urn, a, n in index).encode(), mtime=0)
-                for kind, data in (("warc", archive), ("index", sidecar)):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([file.as_py()]), pa.array([data], pa.binary())], ["kind", "file", "content"])
-
-    files = read_files(spark, source).where("kind = 'warc'").select(F.col("file").cast("string"), "content")
+            for file, given in zip(batch.column(0), batch.column(1), strict=True):
+                with open_file(given.as_py(), stream=True) if streamed else io.BytesIO(given.as_py()) as stream:
+                    for nth, (archive, index) in enumerate(normalised(stream, level, PART_BYTES)):
+                        sidecar = gzip.compress("".join(f"{urn} {a} {n}\n" for urn, a, n in index).encode(), mtime=0)
+                        for kind, data in (("warc", archive), ("index", sidecar)):
+                            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([f"{file.as_py()}-{nth:05d}"]), pa.array([data], pa.binary())], ["kind", "file", "content"])
+        give_back()
+
+    files = read_files(spark, source).where("kind = 'warc'").select(F.col("file").cast("string"), "path" if streamed else "content")
     write_files(files.mapInArrow(run, _FILES), place, ["kind", "file"], "content", END)
 
 

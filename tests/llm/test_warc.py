@@ -62,11 +62,41 @@ def test_streams_of_any_number_of_members(pieces):
 
 def test_each_record_opens_by_its_offset():
     records = whole(20)
-    archive, index = warc.normalise_file(gzip.compress(b"".join(records)))
+    [(archive, index)] = warc.normalised(gzip.compress(b"".join(records)))
     assert [gzip.decompress(archive[a : a + n]) for _, a, n in index] == records
     assert gzip.decompress(archive + warc.END) == b"".join(records)
 
 
+def test_archives_close_at_their_size():
+    records = whole(40)
+    parts = list(warc.normalised(gzip.compress(b"".join(records)), part_bytes=100_000))
+    assert len(parts) > 3 and [gzip.decompress(x[a : a + n]) for x, index in parts for _, a, n in index] == records
+    assert max(len(x) for x, _ in parts) < 100_000 + 80_000
+
+
+def test_archives_far_above_what_a_task_holds(spark, tmp_path, monkeypatch):
+    """One gzip stream of 600 MB; the peak memory of a process that normalises it grows by far less."""
+    import subprocess
+    import sys
+
+    path = tmp_path / "kind=warc" / "file=big"
+    path.mkdir(parents=True)
+    page = random.Random(1).randbytes(150_000).hex().encode()
+    n = 2000
+    with gzip.open(path / "part-0.txt", "wb", compresslevel=1) as f:
+        for k in range(n):
+            f.write(warc.record(k, "u", page, hashlib.sha1(page).hexdigest(), len(page), None, False))
+    code = (
+        "import resource, sys; from hopspark.llm import warc; from hopspark.llm.common import open_file\n"
+        "warc.normalised.__kwdefaults__; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        f"n = sum(len(index) for _, index in warc.normalised(open_file({str(path / 'part-0.txt')!r}, stream=True), 1))\n"
+        "print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    count, mb = map(int, done.stdout.split())
+    assert count == n and mb < 150
+
+
 def test_cut_streams_are_errors():
     stream = gzip.compress(b"".join(whole(5)))
     with pytest.raises(ValueError):
@@ -76,7 +106,8 @@ def test_cut_streams_are_errors():
 
 
 def test_small_files(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 5_000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    monkeypatch.setattr(warc, "PART_BYTES", 200)
     df = spark.createDataFrame([(k, "u", f"{k} " * 600) for k in range(60)], "page_id long, url string, html string")
     got = warc.archive_pages(df)
     assert got.select("file").distinct().count() > 5 and got.count() == 60
