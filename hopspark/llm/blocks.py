@@ -14,6 +14,11 @@ row for every word of every text:
 
 A word occurs once per block, however common it is, so no bucket is hot; a block is
 bounded in characters and in words (a single longer text makes a block by itself).
+
+A task of step 2 holds the distinct words of its bucket, up to KEPT_WORDS (some 150 MB);
+beyond that it starts anew, and words that come again are encoded again.  To encode each
+word once, choose ``spark.sql.shuffle.partitions`` at no less than the number of distinct
+words divided by KEPT_WORDS.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from hopspark.llm.common import bucketed_table, give_back
 #: Bounds of a block: characters of text, and words in its dictionary.
 BLOCK_CHARS = 32_000_000
 BLOCK_WORDS = 400_000
+#: Most words whose values a task holds.
+KEPT_WORDS = 1_000_000
 
 _BLOCKS = "block_id long, n_docs int, docs binary, n_words int, packs array<struct<bucket: int, at: binary, words: binary>>"
 _VALUES = "block_id long, at binary, sizes binary, flat binary"
@@ -161,6 +168,8 @@ def resolve(blocks: DataFrame, encode: Callable[[], Callable[[str], list[int]]])
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                if len(known) > KEPT_WORDS:
+                    known.clear()
                 values = []
                 for word in _unpack_words(row["words"]):
                     v = known.get(word)

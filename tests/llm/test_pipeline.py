@@ -67,6 +67,42 @@ def test_one_row_of_each_component_with_shared_and_missing_ids(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_no_document_is_lost_for_its_identifier(spark, tmp_path):
+    """Null ids and ids that several texts share, through all five stages, against plain Python over sets of rows."""
+    import random
+
+    from hopspark.llm.simhash import RADIUS, fingerprint
+
+    rng = random.Random(3)
+    vocab = [f"v{k}" for k in range(500)]
+    prose = lambda n=60: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [prose(30) for _ in range(3)]
+    plain = [prose() for _ in range(12)]
+    leaks = [f"{prose(20)} {x} {prose(20)}" for x in items]
+    secret = [f"{prose()} password = hunter2hunter2 {prose(5)}" for _ in range(3)]
+    junk = [" ".join(["same words again and again"] * 20), "too short"]
+    rows = [(None, t) for t in plain[:5]] + [(1, t) for t in plain[5:9]] + [(2, plain[0]), (3, plain[5]), (None, plain[9]), (9, plain[9]), (9, plain[10]), (10, plain[11]), (10, plain[11])]
+    rows += [(None, leaks[0]), (1, leaks[1]), (20, leaks[2]), (None, secret[0]), (1, secret[1]), (21, secret[2]), (None, junk[0]), (1, junk[1]), (None, None)]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], ddl).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    good = {r for r in rows if brute(r[1] or "")[6]}
+    groups = []
+    for row in good:
+        near = [x for x in groups if any((fingerprint(row[1].encode()) ^ fingerprint(t.encode())).bit_count() <= RADIUS for _, t in x)]
+        groups = [x for x in groups if x not in near] + [[row, *(r for x in near for r in x)]]
+    one = [min(x, key=lambda r: (r[0] is None, r[0] or 0)) for x in groups]
+    clean = [(k, secret_links.cover(t, "[REDACTED]")) for k, t in one if not any(best_window(t, x) >= 0.8 for x in items)]
+    want = []
+    for k, t in clean:
+        ids = MULTI.encode_ordinary(t)
+        want.append((k, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(got) == 15 and sum(r[0] is None for r in got) == 5 and sum(r[0] == 1 for r in got) == 5
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 

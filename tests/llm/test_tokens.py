@@ -68,6 +68,18 @@ def test_many_small_blocks_give_the_same(documents, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == expected_ids(texts(documents))
 
 
+def test_a_full_dictionary_starts_anew(documents, monkeypatch):
+    monkeypatch.setattr(blocks, "KEPT_WORDS", 20)
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", 500)
+    got = bpe.bpe_round_trip(documents, MULTI_RANKS, P.PATTERN).collect()
+    assert sorted(map(tuple, got), key=repr) == expected_ids(texts(documents))
+
+
+def test_no_table_stays_in_the_catalog(spark, documents):
+    token_counts.token_counts(documents, BYTE_BPE).collect()
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("hopspark")] == []
+
+
 def test_empty_tables(none):
     assert token_counts.token_counts(none, BYTE_BPE).collect() == []
     assert bpe.bpe_round_trip(none, MULTI_RANKS, P.PATTERN).collect() == []
