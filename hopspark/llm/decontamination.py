@@ -183,3 +183,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     hits = scratch_table(found.select(F.col("doc_id").alias(f"{at}_id"), F.col("text_hash").alias(f"{at}_hash")).distinct(), "contaminated")
     same = docs[doc_id].cast("long").eqNullSafe(hits[f"{at}_id"]) & (F.xxhash64(docs[text]) == hits[f"{at}_hash"])
     return docs.join(_small(hits, hits.count() * ROW_BYTES), same, "left_anti")
+
+
+#: The result without distances, in DuckDB: every window that begins at a shared shingle, or
+#: ends with the text, compared in full.
+DECONTAMINATION_SQL = f"""
+    WITH texts AS (SELECT row_number() OVER () AS t, * FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+    parted AS (SELECT t, doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM texts),
+    asked AS (SELECT row_number() OVER () AS item, * FROM (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark) WHERE len(w) >= {SHINGLE}),
+    wanted AS (SELECT item, len(w) - {SHINGLE - 1} AS m, unnest(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' '))) AS s FROM asked),
+    counted AS (SELECT item, m, s, count(*) AS n FROM wanted GROUP BY ALL),
+    words AS (SELECT t, len(w) - {SHINGLE - 1} AS size, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS spot FROM parted WHERE len(w) >= {SHINGLE}),
+    ahead AS (SELECT t, size, spot, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER w" for k in range(1, SHINGLE))}) AS s FROM words WINDOW w AS (PARTITION BY t ORDER BY spot)),
+    hits AS (SELECT t, size, spot, s FROM ahead WHERE spot < size AND s IN (SELECT s FROM counted)),
+    met AS (SELECT t, size, spot, s, item, m, n FROM hits JOIN counted USING (s)),
+    starts AS (SELECT DISTINCT t, item, m, size, greatest(0, least(spot, size - m)) AS first_word FROM met),
+    shared AS (SELECT t, item, m, size, first_word, s, least(count(*), any_value(n)) AS n FROM starts JOIN met USING (t, item, m, size) WHERE spot >= first_word AND spot < first_word + m GROUP BY t, item, m, size, first_word, s),
+    scored AS (SELECT t, item, m, size, first_word, sum(n) / (least(m, size) + m - sum(n))::DOUBLE AS similarity FROM shared GROUP BY t, item, m, size, first_word),
+    best AS (SELECT *, row_number() OVER (PARTITION BY t, item ORDER BY similarity DESC, first_word) AS nth FROM scored WHERE similarity >= {THRESHOLD})
+    SELECT doc_id, item_id, CAST(first_word AS INTEGER) AS first_word, CAST(least(m, size) + {SHINGLE - 1} AS INTEGER) AS n_words, round(similarity, 6) AS similarity
+    FROM best JOIN parted USING (t) JOIN asked USING (item) WHERE nth = 1
+"""

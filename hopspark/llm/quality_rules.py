@@ -151,3 +151,32 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
             yield batch.filter(pa.array([verdict(measure((x.as_py() or "").encode()))[1] for x in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+#: The same in DuckDB, n-grams as texts instead of hashes; shares as stated above.
+QUALITY_SQL = f"""
+    WITH texts AS (SELECT row_number() OVER () AS t, doc_id, coalesce(text, '') AS text FROM documents),
+    cut AS (SELECT t, regexp_extract_all(text, '{_WORDS}') AS w FROM texts),
+    words AS (SELECT t, unnest(w) AS word, generate_subscripts(w, 1) AS spot FROM cut),
+    per_text AS (SELECT t, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY t),
+    ahead AS (SELECT t, spot, word, {", ".join(f"lead(word, {k}) OVER w AS w{k}" for k in range(1, 10))} FROM words WINDOW w AS (PARTITION BY t ORDER BY spot)),
+    spelt AS ({" UNION ALL ".join(f"SELECT t, {n} AS n, spot, concat_ws(' ', word, {', '.join(f'w{k}' for k in range(1, n))}) AS gram FROM ahead WHERE w{n - 1} IS NOT NULL" for n in range(5, 11))}),
+    repeated AS (SELECT t, n, gram FROM spelt GROUP BY t, n, gram HAVING count(*) > 1),
+    inside AS (SELECT DISTINCT t, n, unnest(range(spot, spot + n)) AS spot FROM spelt JOIN repeated USING (t, n, gram)),
+    covered AS (SELECT t, n, count(*) AS words, sum(length(word)) AS chars FROM inside JOIN words USING (t, spot) GROUP BY t, n),
+    lines AS (SELECT t, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM texts),
+    again AS (SELECT t, line, row_number() OVER (PARTITION BY t, line ORDER BY nth) AS copy FROM lines WHERE regexp_matches(line, '{_WORDS}')),
+    dup AS (SELECT t, count(*) AS n, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g'))) AS chars FROM again WHERE copy > 1 GROUP BY t),
+    counted AS (
+        SELECT t, doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+               coalesce(dup.n, 0) AS n_dup_lines, CAST(coalesce(dup.chars, 0) AS BIGINT) AS dup_line_chars,
+               coalesce((SELECT c.words FROM covered c WHERE c.t = texts.t AND c.n = 8), 0) AS n_repeat_words,
+               coalesce((SELECT max(c.chars) FROM covered c WHERE c.t = texts.t), 0) AS most_chars
+        FROM texts LEFT JOIN per_text USING (t) LEFT JOIN dup USING (t)
+    ),
+    judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, dup_line_chars,
+           NOT base_failed AND dup_line_chars <= 0.40 * word_chars AND most_chars <= 0.40 * word_chars AS kept
+    FROM judged
+"""

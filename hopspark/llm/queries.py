@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from hopspark.llm.bpe import bpe_round_trip
 from hopspark.llm.common import table
 from hopspark.llm.cotraining import score_documents
-from hopspark.llm.decontamination import contaminations
+from hopspark.llm.decontamination import DECONTAMINATION_SQL, contaminations
 from hopspark.llm.licences import LICENCE_SQL, licence_matches
-from hopspark.llm.quality_rules import quality_rules
+from hopspark.llm.quality_rules import QUALITY_SQL, quality_rules
 from hopspark.llm.secret_links import secret_scan
 from hopspark.llm.simhash import near_duplicates
 from hopspark.llm.sstable import token_shards
@@ -27,7 +27,7 @@ def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "hamming")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("dup_ngram_chars")
 
 
 def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +88,7 @@ ORACLE_SQL = {
                CASE WHEN g.first_id <> d.page_id THEN g.first_id END AS refers_to
         FROM d LEFT JOIN g ON d.payload = g.payload
     """,
+    "op2_benchmark_decontamination": DECONTAMINATION_SQL,
     "op7_licence_rules": LICENCE_SQL,
+    "op9_quality_rules": QUALITY_SQL,
 }

@@ -8,7 +8,8 @@ import pytest
 
 import corpus_pipeline
 from hopspark.llm import secret_links
-from hopspark.llm.queries import QUERIES
+from hopspark.llm.queries import ORACLE_SQL, QUERIES
+from oracle import assert_same
 from test_decontamination import best_window
 from test_rules_and_secrets import brute
 from test_simhash import expected
@@ -122,6 +123,11 @@ def test_entry_works_without_the_optional_parts(tmp_path):
     assert run.returncode == 0, run.stderr
 
 
-@pytest.mark.parametrize("query", sorted(QUERIES))
+@pytest.mark.parametrize("query", sorted(ORACLE_SQL))
+def test_queries_equal_their_sql(spark, query):
+    assert_same(spark, QUERIES[query], ORACLE_SQL[query])
+
+
+@pytest.mark.parametrize("query", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_queries_run(spark, query):
     assert QUERIES[query](spark, SF).count() > 0
