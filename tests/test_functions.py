@@ -94,7 +94,7 @@ def vectors(spark, n, d=8, name="item_id"):
 def test_blocked_search_equals_broadcast_search(spark, monkeypatch):
     corpus, asked = vectors(spark, 300), vectors(spark, 30, name="query_id")
     whole = V.nearest(asked, corpus, 7).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(V, "MAX_BROADCAST", 8)
+    monkeypatch.setattr(V, "MAX_BROADCAST_BYTES", 1000)
     assert V.nearest(asked, corpus, 7).orderBy("query_id", "rank").collect() == whole
 
 
