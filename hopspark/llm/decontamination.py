@@ -41,6 +41,8 @@ THRESHOLD = 0.8
 #: Most bytes that are broadcast at once, as counted beforehand: a row of the index of
 #: item shingles or of texts' keys counts as ROW_BYTES.
 BROADCAST_BYTES, ROW_BYTES = 48_000_000, 96
+#: Most bits of the bitmap that words' places are sifted by before they become rows.
+BITMAP_BITS = 1 << 20
 KEY = ["no_id", "id", "text_hash"]
 
 
@@ -101,6 +103,24 @@ def _items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return scratch_table(rows.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
+def sifted(hashes: str, known: DataFrame, n_known: int) -> Column:
+    """(at, hash) for the places of an array whose hash may be one of ``known.hash``: a bitmap tells, a few others pass.
+
+    The bitmap, of BITMAP_BITS at most, is a constant of the plan.
+    """
+    bits = min(BITMAP_BITS, max(1 << 12, 1 << (64 * n_known).bit_length()))
+    place = lambda h: f"cast(shiftrightunsigned({h}, 6) & {bits // 64 - 1} AS int)"
+    held = known.groupBy(F.expr(place("hash")).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("word"))
+    words = [0] * (bits // 64)
+    for row in held.collect():  # no more rows than the bitmap has words
+        words[row.place] = row.word
+    bitmap = f"cast(split('{','.join(map(str, words))}', ',') AS array<bigint>)"
+    here = f"get({hashes}, i)"
+    may = f"shiftrightunsigned(get({bitmap}, {place(here)}), cast({here} & 63 AS int)) & 1L = 1L"
+    at = f"filter(if(size({hashes}) = 0, array(), sequence(0, size({hashes}) - 1)), i -> {may})"
+    return F.expr(f"transform({at}, i -> struct(i AS at, {here} AS hash))")
+
+
 def seeded_windows(keyed: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(no_id, id, text_hash, item, m, start): the windows of each text that may be similar to an item.
 
@@ -111,10 +131,15 @@ def seeded_windows(keyed: DataFrame, items: DataFrame, threshold: float = THRESH
     known = index.select("hash").distinct()
     n_index, n_known = index.count(), known.count()
     hashed = keyed.withColumn("words", words_of("text")).select(*KEY, shingle_hashes("words").alias("hashes"))
-    # The length is taken below the generator, so that the array isn't copied to every row above it.
-    places = hashed.withColumn("len", F.size("hashes")).select(*KEY, "len", F.posexplode("hashes").alias("at", "hash"))
     parts = max(1, -(-n_known * ROW_BYTES // BROADCAST_BYTES))
-    found = [places.join(F.broadcast(known.where(F.pmod("hash", F.lit(parts)) == k)), "hash") for k in range(parts)]
+
+    def hits_in(part: DataFrame) -> DataFrame:
+        # Only places that pass the bitmap become rows; the array of all hashes isn't copied to them.
+        places = hashed.select(*KEY, F.size("hashes").alias("len"), sifted("hashes", part, -(-n_known // parts)).alias("p"))
+        # The outer form, as Spark would ask of the other, below it, whether there is a place at all, and work out everything twice.
+        return places.select(*KEY, "len", F.explode_outer("p").alias("p")).where("p IS NOT NULL").select(*KEY, "len", "p.at", "p.hash").join(F.broadcast(part), "hash")
+
+    found = [hits_in(known.where(F.pmod("hash", F.lit(parts)) == k)) for k in range(parts)]
     hits = scratch_table(reduce(DataFrame.unionAll, found).select(*KEY, "len", "at", "hash"), "hits")
 
     seen = hits.groupBy("hash").agg(F.count("*").alias("n"))
