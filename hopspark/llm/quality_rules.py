@@ -25,10 +25,9 @@ SCHEMA = (
 #: Lengths of the n-grams whose coverage the verdict looks at.
 LENGTHS = (5, 6, 7, 8, 9, 10)
 #: A text fails when more than this share of its word characters lies in repeated n-grams
-#: of any of LENGTHS, or in repeated lines.  Above the base rule's 30 % of words, so that a
-#: short text isn't rejected for a closing line that appears twice.
-MAX_NGRAM_SHARE = 0.40
-MAX_LINE_SHARE = 0.40
+#: of any of LENGTHS, or in repeated lines: the share of words that the base rule allows.
+MAX_NGRAM_SHARE = 0.30
+MAX_LINE_SHARE = 0.30
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOLS = b"#*$%&|<>"
@@ -177,6 +176,6 @@ QUALITY_SQL = f"""
     ),
     judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, dup_line_chars,
-           NOT base_failed AND dup_line_chars <= 0.40 * word_chars AND most_chars <= 0.40 * word_chars AS kept
+           NOT base_failed AND dup_line_chars <= 0.30 * word_chars AND most_chars <= 0.30 * word_chars AS kept
     FROM judged
 """

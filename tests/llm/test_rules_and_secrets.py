@@ -27,7 +27,7 @@ def brute(text):
     grams = [sum(len(words[p]) for p in brute_coverage(words, n)) for n in Q.LENGTHS]
     failed = len(words) < 20 or 100 * rep > 30 * len(words)
     chars = sum(map(len, words))
-    kept = not failed and dup_chars <= 0.40 * chars and max(grams) <= 0.40 * chars
+    kept = not failed and dup_chars <= 0.30 * chars and max(grams) <= 0.30 * chars
     return len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), dup, rep, failed, kept, dup_chars, grams
 
 
