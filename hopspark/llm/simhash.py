@@ -28,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
 from hopspark.llm.common import give_back, scratch_table, slices, text_bytes
 from hopspark.operators.components import connected
@@ -280,14 +279,16 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", t
     """
     names = docs.columns
     flat = docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(names)))  # no clash with names of our own
-    at, kept = names.index(text), StructType([*flat.schema.fields]).add("fp", LongType())
+    at = names.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = np.fromiter((fingerprint((x.as_py() or "").encode()) for x in batch.column(at)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "fp"])
+    @F.arrow_udf("long")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            yield pa.array(np.fromiter((fingerprint((x.as_py() or "").encode()) for x in part), np.uint64, len(part)).view(np.int64))
+        give_back()
 
-    rows = scratch_table(flat.mapInArrow(run, kept).withColumn("row", F.monotonically_increasing_id()), "rows")
+    # only texts go to the worker and only fingerprints come back; whole rows stay in the JVM
+    rows = scratch_table(flat.select("*", of(f"c{at}").alias("fp"), F.monotonically_increasing_id().alias("row")), "rows")
     number = F.col(f"c{names.index(doc_id)}").cast("long")
     key = F.struct(number.isNull().alias("no_id"), number.alias("id"), F.xxhash64(f"c{at}").alias("text_hash"), "row")
     rooted = _rooted(rows.select("fp", key.alias("key")), F.min("key"), radius)
