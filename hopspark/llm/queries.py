@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from hopspark.llm.alignment import align_tokenizers
 from hopspark.llm.bpe import bpe_round_trip
 from hopspark.llm.common import table
 from hopspark.llm.cotraining import score_documents
@@ -19,6 +20,7 @@ from hopspark.llm.warc import archive_pages
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -62,6 +64,10 @@ def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +81,7 @@ QUERIES = {
         op8_bpe_round_trip,
         op9_quality_rules,
         op10_simhash_vptree,
+        op11_tokenizer_alignment,
     )
 }
 
