@@ -11,6 +11,7 @@ from hopspark.llm.common import table
 from hopspark.llm.cotraining import score_documents
 from hopspark.llm.decontamination import DECONTAMINATION_SQL, contaminations
 from hopspark.llm.licences import LICENCE_SQL, licence_matches
+from hopspark.llm.mixing import mix_sources
 from hopspark.llm.quality_rules import QUALITY_SQL, quality_rules
 from hopspark.llm.secret_links import secret_scan
 from hopspark.llm.simhash import near_duplicates
@@ -68,6 +69,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES = {
         op9_quality_rules,
         op10_simhash_vptree,
         op11_tokenizer_alignment,
+        op12_source_mixing,
     )
 }
 
