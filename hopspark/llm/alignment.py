@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 
 from hopspark.llm.blocks import pack, pack_ids, unpack, unpack_ids
 from hopspark.llm.common import bucketed_table, give_back
-from hopspark.llm.token_counts import _BEYOND, PATTERN
+from hopspark.llm.token_counts import _BEYOND
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+#: The same pre-tokens as those of ``token_counts.PATTERN``, without going back over a run (fixed value).
+QUICK_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Bounds of a block: characters of text, and texts.
 BLOCK_CHARS, BLOCK_DOCS = 16_000_000, 50_000
 #: Characters that are aligned in one go; a longer text is aligned by itself.
@@ -52,151 +56,152 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """Positions of words in growing arrays of their ids; a new word is encoded when it is first asked for."""
+class _ByteSide:
+    """A byte-level tokenizer: its ids of space and text, which always spell it."""
 
-    def __init__(self, encode: Callable[[str], list[int]], token_bytes: list[bytes]):
-        self.encode, self.token_bytes = encode, token_bytes
-        self.fresh: list[list[int]] = []
-        self.whole = bytearray()
-        self.size = 0
-        self._arrays = (np.zeros(0, np.int64),) * 3
-
-    def __missing__(self, word: str) -> int:
-        ids, data = self.encode(word), word.encode()
-        self[word] = code = len(self.whole)
-        self.fresh.append(ids)
-        self.whole.append(b"".join(map(self.token_bytes.__getitem__, ids)) == data)
-        self.size += len(data) + 100
-        return code
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and length of each word's ids, and all ids."""
-        start, length, flat = self._arrays
-        if self.fresh:
-            more = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
-            start = np.concatenate([start, len(flat) + np.cumsum(more) - more])
-            flat = np.concatenate([flat, np.fromiter((i for x in self.fresh for i in x), np.int64, int(more.sum()))])
-            self._arrays = start, length, flat = start, np.concatenate([length, more]), flat
-            self.fresh = []
-        return self._arrays
-
-
-class _Side:
-    """One tokenizer: how it cuts space and text into words that it encodes independently, and its tokens' bytes."""
-
-    def __init__(self, cut: Callable[[str], list[str]], encode: Callable[[str], list[int]], token_bytes: list[bytes]):
-        self.cut, self.encode, self.token_bytes = cut, encode, token_bytes
-        self.size_of = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
-        self.words = _Words(encode, token_bytes)
-        decimals = [str(k) for k in range(len(token_bytes))]
-        self.inner, self.last = [x + "," for x in decimals], decimals
-
-    def renew(self) -> None:
-        if self.words.size > KEPT_BYTES:
-            self.words = _Words(self.encode, self.token_bytes)
-
-    def codes(self, text: str) -> np.ndarray | None:
-        """Positions of the words of space and text, or None if their tokens don't spell it."""
-        codes = np.fromiter(map(self.words.__getitem__, self.cut(" " + text)), np.int64)
-        return codes if np.frombuffer(self.words.whole, np.uint8)[codes].all() else None
-
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        start, length, flat = self.words.arrays()
-        n = length[codes]
-        ends = np.cumsum(n)
-        return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[codes] - (ends - n), n)]
+    def __init__(self, path: str):
+        import json
 
+        import tiktoken
+        from tokenizers import Tokenizer
 
-@cache
-def byte_level_side(path: str) -> _Side:
-    """A byte-level ``tokenizers`` file that pre-tokenises with :data:`PATTERN` and has no normaliser."""
-    import json
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        own = json.loads(tok.to_str())
+        if own["normalizer"] is not None or own["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            raise ValueError("not a byte-level tokenizer without normaliser")
+        letters, added = _byte_of_letter(), {x["id"] for x in own["added_tokens"]}
+        names = [tok.id_to_token(k) for k in range(tok.get_vocab_size())]
+        self.token_bytes = [x.encode() if k in added else bytes(map(letters.__getitem__, x)) for k, x in enumerate(names)]
+        # its merges in order make tokens in order of their ids, so ids are ranks
+        made = [own["model"]["vocab"]["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in own["model"]["merges"]]
+        if made != sorted(made) or set(made) & added or not all(bytes([b]) in self.token_bytes[: made[0]] for b in range(256)):
+            raise ValueError("ids aren't in order of merges")
+        self.whole = tok.encode
+        self.quick = tiktoken.Encoding("side", pat_str=QUICK_PATTERN, mergeable_ranks={x: k for k, x in enumerate(self.token_bytes) if k not in added}, special_tokens={}).encode_to_numpy
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts within the code points on which both libraries agree are encoded by the quicker one."""
+        return [self.quick(" " + t, disallowed_special=()) if _BEYOND.search(t) is None else np.array(self.whole(" " + t, add_special_tokens=False).ids, np.uint32) for t in texts]
+
+
+class _PieceSide:
+    """A ``sentencepiece`` model that puts a space before each text: ids of texts, None where they don't spell space and text.
+
+    No piece has a blank behind another character, so merges never cross a place where a
+    blank follows something else: blanks and what follows them up to the next blank are
+    encoded by themselves, each distinct run once in a worker.  A model with other pieces
+    gets its texts whole.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.token_bytes = [bytes([int(sp.id_to_piece(k)[3:5], 16)]) if sp.is_byte(k) else sp.id_to_piece(k).replace("▁", " ").encode() for k in range(sp.get_piece_size())]
+        self.blank = sp.piece_to_id("▁")
+        apart = not any(re.search(rb"[^ ] ", x) for x in self.token_bytes) and not sp.is_unknown(self.blank)
+        self.cut = re.compile(" +[^ ]*").findall if apart else lambda text: [text]
+        self.encode = lambda words: sp.encode(words, num_threads=1)
+        self._renew()
+
+    def _renew(self) -> None:
+        self.codes: defaultdict[str, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__
+        self.start = self.length = self.flat = np.zeros(0, np.int64)
+        self.spelt = np.zeros(0, bool)
+        self.size = 0
 
-    import regex
-    from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
+    def _encode_new(self) -> None:
+        """Encode the words that were met for the first time, in one go."""
+        new = list(islice(self.codes, len(self.start), None))
+        lists = self.encode([w[1:] for w in new])
+        lists = [[self.blank] if w == " " else x for w, x in zip(new, lists, strict=True)]
+        data = [w.encode() for w in new]
+        more = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(more) - more])
+        self.length = np.concatenate([self.length, more])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.int64, int(more.sum()))])
+        spelt = [b"".join(map(self.token_bytes.__getitem__, x)) == d for x, d in zip(lists, data, strict=True)]
+        self.spelt = np.concatenate([self.spelt, np.array(spelt, bool)])
+        self.size += sum(map(len, data)) + 150 * len(new)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray | None]:
+        if self.size > KEPT_BYTES:
+            self._renew()
+        found = [np.fromiter(map(self.codes.__getitem__, self.cut(" " + t)), np.int64) for t in texts]
+        if len(self.codes) > len(self.start):
+            self._encode_new()
+        out: list[np.ndarray | None] = []
+        for codes in found:
+            if not self.spelt[codes].all():
+                out.append(None)
+                continue
+            n = self.length[codes]
+            ends = np.cumsum(n)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.start[codes] - (ends - n), n)])
+        return out
 
-    tok = Tokenizer.from_file(path)
-    own = json.loads(tok.to_str())
-    if own["normalizer"] is not None or own["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-        raise ValueError("not a byte-level tokenizer without normaliser")
-    letters = _byte_of_letter()
-    names = [tok.id_to_token(k) for k in range(tok.get_vocab_size())]
-    table = [bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x in names]
-    spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-    split, find, model = tok.pre_tokenizer.pre_tokenize_str, regex.compile(PATTERN).findall, tok.model
 
-    def cut(text: str) -> list[str]:
-        return find(text) if _BEYOND.search(text) is None else [text[a:b] for _, (a, b) in split(text)]
+class _Sides:
+    """Both tokenizers, and what is looked up by their ids."""
 
-    return _Side(cut, lambda word: [t.id for t in model.tokenize(spell(word)[0][0])], table)
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = _ByteSide(path_a), _PieceSide(path_b)
+        self.size_of = [np.fromiter(map(len, x.token_bytes), np.int64, len(x.token_bytes)) for x in (self.a, self.b)]
+        # decimals of each id with what follows it, in rows of equal width filled up with zero bytes: "7," and "7|" of a, "7," and "7;" of b
+        spelt = [f"{k}{end}" for side, last in ((self.a, "|"), (self.b, ";")) for k in range(len(side.token_bytes)) for end in (",", last)]
+        width = max(map(len, spelt))
+        self.decimals = np.frombuffer("".join(x.ljust(width, "\0") for x in spelt).encode(), np.uint8).reshape(-1, width)
+        self.spelt_size = np.fromiter(map(len, spelt), np.int64, len(spelt))
 
 
 @cache
-def piece_side(path: str) -> _Side:
-    """A ``sentencepiece`` model that puts a space before each text.
+def _sides(path_a: str, path_b: str) -> _Sides:
+    return _Sides(path_a, path_b)
 
-    No piece has a blank behind another character, so merges never cross a place where a
-    blank follows something else: blanks and what follows them up to the next blank are
-    encoded by themselves.  A model with other pieces gets its texts whole.
+
+def _aligned(texts: list[str], sides: _Sides) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Per-text counts and digests, and the links as (text, id of a, id of b).
+
+    All texts are laid end to end: each that both sides spell has the same bytes on both,
+    so its end is a common one.
     """
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = sp.get_piece_size()
-    table = [bytes([int(sp.id_to_piece(k)[3:5], 16)]) if sp.is_byte(k) else sp.id_to_piece(k).replace("▁", " ").encode() for k in range(n)]
-    blank = sp.piece_to_id("▁")
-    apart = not any(re.search(rb"[^ ] ", x) for x in table) and not sp.is_unknown(blank)
-    # the model joins what its normaliser changes or drops; texts it changes are told by their bytes
-    cut = re.compile(" +[^ ]*").findall if apart else lambda text: [text]
-    return _Side(cut, lambda word: sp.encode(word[1:]) if word != " " else [blank], table)
-
-
-def _aligned(texts: list[str], a: _Side, b: _Side) -> tuple[dict[str, np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Per-text counts and digests, and the links as (text, id of a, id of b)."""
-    a.renew()
-    b.renew()
-    codes = [(a.codes(text), b.codes(text)) if text else (None, None) for text in texts]
-    codes = [pair if pair[0] is not None and pair[1] is not None else None for pair in codes]
+    given = [t for t in texts if t]
+    both = iter(zip(sides.a.ids(given), sides.b.ids(given), strict=True))
     empty = np.zeros(0, np.int64)
-    tokens, owner, ends, counts = [], [], [], []
-    for k, side in enumerate((a, b)):
-        own = [c[k] if c else empty for c in codes]
-        length = side.words.arrays()[1]
-        n = np.fromiter((int(length[c].sum()) for c in own), np.int64, len(own))
-        ids = side.ids(np.concatenate([*own, empty]))
-        tokens.append(ids)
-        counts.append(n)
-        owner.append(np.repeat(np.arange(len(own)), n))
-        ends.append(np.cumsum(side.size_of[ids]))
-    common = np.intersect1d(*ends, assume_unique=True)
-    at = [np.searchsorted(e, common) for e in ends]
-    doc = owner[0][at[0]]
+    pairs = [next(both) if t else (empty, empty) for t in texts]
+    pairs = [(empty, empty) if y is None else (x, y) for x, y in pairs]
+    counts = [np.fromiter((len(p[k]) for p in pairs), np.int64, len(pairs)) for k in (0, 1)]
+    ids = [np.concatenate([empty, *(p[k] for p in pairs)]).astype(np.int64) for k in (0, 1)]
+    ends = [np.cumsum(size[x]) for size, x in zip(sides.size_of, ids, strict=True)]
+    total = int(ends[0][-1]) if len(ends[0]) else 0
+    closes = []
+    for k in (0, 1):
+        other = np.zeros(total + 1, bool)
+        other[ends[1 - k]] = True
+        closes.append(other[ends[k]])  # tokens that end where one of the other side does
+    last = [np.flatnonzero(c) for c in closes]
+    doc = np.repeat(np.arange(len(texts)), counts[0])[last[0]]
     groups = np.bincount(doc, minlength=len(texts))
-    # a1,a2|b1;a3|b2,b3: each token's decimals with what follows them, in order of (group, side)
-    place = [2 * np.searchsorted(common, e) + k for k, e in enumerate(ends)]
-    order = np.argsort(np.concatenate(place), kind="stable")
-    closes = [np.zeros(len(e), bool) for e in ends]
-    for c, x in zip(closes, at, strict=True):
-        c[x] = True
-    spelt = []
-    for side, ids, c, mark in zip((a, b), tokens, closes, "|;", strict=True):
-        spelt += [inner if not last else plain + mark for inner, plain, last in zip(map(side.inner.__getitem__, ids.tolist()), map(side.last.__getitem__, ids.tolist()), c.tolist(), strict=True)]
-    bounds = np.concatenate([[0], np.cumsum(counts[0] + counts[1])]).tolist()
-    order = order.tolist()
-    digests = []
-    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-        line = "".join(map(spelt.__getitem__, order[x:y]))
-        digests.append(hashlib.sha256(line[:-1].encode()).hexdigest() if line else "")
-    return {"n_a": counts[0], "n_b": counts[1], "n_groups": groups}, digests, doc, tokens[0][at[0]], tokens[1][at[1]]
+    # a1,a2|b1;a3|b2,b3: a group's tokens of a come before those of b
+    group = [np.cumsum(c) - c for c in closes]
+    begin_b = np.concatenate([[0], last[1] + 1])
+    line = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    line[np.arange(len(ids[0])) + begin_b[group[0]]] = 2 * ids[0] + closes[0]
+    line[np.arange(len(ids[1])) + last[0][group[1]] + 1] = 2 * (ids[1] + len(sides.a.token_bytes)) + closes[1]
+    rows = sides.decimals[line].ravel()
+    data = memoryview(rows[rows != 0].tobytes())
+    bounds = np.concatenate([[0], np.cumsum(sides.spelt_size[line])])[np.concatenate([[0], np.cumsum(counts[0] + counts[1])])].tolist()
+    digests = [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return {"n_a": counts[0], "n_b": counts[1], "n_groups": groups}, digests, doc, ids[0][last[0]], ids[1][last[1]]
 
 
 class _Block:
     """Texts and postings of a block under construction."""
 
-    def __init__(self, a: _Side, b: _Side, limits: tuple[int, int, int]):
-        self.a, self.b, self.wide = a, b, len(a.token_bytes)
+    def __init__(self, sides: _Sides, limits: tuple[int, int, int]):
+        self.sides, self.wide = sides, len(sides.a.token_bytes)
         self.most_chars, self.most_docs, self.go_chars = limits
         self.ids: list = []
         self.waiting: list[str] = []
@@ -217,7 +222,7 @@ class _Block:
     def go(self) -> None:
         if not self.waiting:
             return
-        counts, digests, doc, x, y = _aligned(self.waiting, self.a, self.b)
+        counts, digests, doc, x, y = _aligned(self.waiting, self.sides)
         # (id of b, id of a, text) as one number: b ascends first, so a bucket's pairs are runs
         key = (y * self.wide + x) * self.most_docs + (doc + len(self.digests))
         key, times = np.unique(key, return_counts=True)
@@ -263,20 +268,20 @@ def _take(data: bytes) -> list[np.ndarray]:
     return [unpack(data[x:y]).astype(np.int64) for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _aligned_blocks(docs: DataFrame, sides: Callable[[], tuple[_Side, _Side]], buckets: int) -> DataFrame:
+def _aligned_blocks(docs: DataFrame, path_a: str, path_b: str, buckets: int) -> DataFrame:
     schema = pa.schema([("block_id", pa.int64()), ("n_docs", pa.int32()), ("docs", pa.binary()), ("packs", pa.list_(pa.struct([("bucket", pa.int32()), ("pairs", pa.binary()), ("postings", pa.binary())])))])
 
     limits = BLOCK_CHARS, BLOCK_DOCS, GO_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides()
-        part, made, block = TaskContext.get().partitionId(), 0, _Block(a, b, limits)
+        sides = _sides(path_a, path_b)
+        part, made, block = TaskContext.get().partitionId(), 0, _Block(sides, limits)
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 block.add(key.as_py(), value.as_py() or "")
                 if block.full():
                     yield pa.RecordBatch.from_pylist([block.row(part << 32 | made, buckets)], schema)
-                    made, block = made + 1, _Block(a, b, limits)
+                    made, block = made + 1, _Block(sides, limits)
         if block.ids:
             yield pa.RecordBatch.from_pylist([block.row(part << 32 | made, buckets)], schema)
         del block
@@ -381,7 +386,7 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "d
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    blocks = _aligned_blocks(rows, lambda: (byte_level_side(path_a), piece_side(path_b)), buckets)
+    blocks = _aligned_blocks(rows, path_a, path_b, buckets)
     packs = blocks.select("block_id", F.explode("packs").alias("p")).select("block_id", "p.*")
     given = _contributions(_pair_counts(packs), packs, buckets)
 

@@ -1,7 +1,6 @@
 import hashlib
 from collections import Counter, defaultdict
 
-import public_tokenizers as P
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -90,10 +89,10 @@ def test_small_blocks_salts_and_dictionaries_give_the_same(spark, odd_texts, mon
 
 def test_a_dictionary_starts_anew(monkeypatch):
     monkeypatch.setattr(alignment, "KEPT_BYTES", 300)
-    sides = alignment.byte_level_side(BYTE_BPE), alignment.piece_side(PIECE_BPE)
+    sides = alignment._sides(BYTE_BPE, PIECE_BPE)
     for k in range(20):
         text = f"some words{k} and more {k * 'x'}"
-        counts, digests, *_ = alignment._aligned([text], *sides)
+        counts, digests, *_ = alignment._aligned([text], sides)
         assert (int(counts["n_a"][0]), digests[0]) == (expected([(0, text)])[0][1], expected([(0, text)])[0][7])
 
 
@@ -107,7 +106,13 @@ def test_an_empty_table_gives_an_empty_one(none):
     assert got(none) == []
 
 
-def test_a_model_with_pieces_across_blanks_gets_whole_texts():
-    side = alignment.piece_side(PIECE_BPE)
-    assert side.cut(" a  b ") == [" a", "  b", " "]
-    assert P.path("piece_bpe_32k.model") == PIECE_BPE
+def test_texts_are_cut_only_where_a_blank_follows_something():
+    assert alignment._sides(BYTE_BPE, PIECE_BPE).b.cut(" a  b ") == [" a", "  b", " "]
+
+
+def test_both_libraries_agree_on_every_code_point_that_the_quicker_one_gets():
+    side = alignment._sides(BYTE_BPE, PIECE_BPE).a
+    for k in range(0x558):
+        c = chr(k)
+        for text in (f"a{c}b {c}{c} 1{c}2", f"{c} {c}.{c}", f"x  {c}  y{c}"):
+            assert side.quick(" " + text, disallowed_special=()).tolist() == A.encode(" " + text, add_special_tokens=False).ids, (k, text)
