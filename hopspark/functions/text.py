@@ -96,6 +96,28 @@ def unfenced(reply: Column) -> Column:
     return strip(strip_code_fence(strip(reply)))
 
 
+#: What Spark would let pass in JSON, and strict readers don't.
+STRICT_JSON = {"allowSingleQuotes": "false"}
+
+
+def json_value(reply: Column, schema: str) -> Column:
+    """The first JSON value of a model's reply; null where it isn't of the schema's kind, or isn't strict JSON.
+
+    A code fence is removed and what follows the value ignored.  Of a field that occurs
+    twice the last counts, except inside a variant, where it makes the value unreadable.
+    """
+    return F.from_json(unfenced(reply), schema, STRICT_JSON)
+
+
+def json_objects(text: Column) -> Column:
+    """The objects of a JSON list, as JSON texts; other items are null, and so is what isn't a list."""
+    written = F.from_json(text, "array<string>", STRICT_JSON)
+    kinds = F.transform(F.from_json(text, "array<variant>", STRICT_JSON), F.schema_of_variant)
+    # no variant can be read where a field is repeated: then only what looks like an object is known
+    told = F.zip_with(written, kinds, lambda item, kind: F.when(F.startswith(kind, F.lit("OBJECT")), item))
+    return F.coalesce(told, F.transform(written, lambda item: F.when(F.startswith(item, F.lit("{")), item)))
+
+
 def alnum_tokens(c: Column) -> Column:
     """Distinct lower-case runs of ASCII letters and digits."""
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopspark.functions.text import judge_tokens, paper_of, unfenced
+from hopspark.functions.text import json_value, judge_tokens, paper_of
 
 
 def _papers(ids: Column) -> Column:
@@ -36,11 +36,12 @@ def lexical_judge(gold: Column, predicted: Column, threshold: float = 0.5) -> Co
 def parse_verdict(reply: Column) -> Column:
     """(correct, reasoning) of a model's JSON verdict.
 
-    A code fence is removed and text after the first JSON value ignored.  ``correct``
+    A code fence is removed and text after the first JSON value ignored; the JSON is read
+    strictly, and of a repeated field the last counts.  ``correct``
     counts as in Python where it isn't a boolean: zero, null and what is empty are false.
     A reply that can't be read, or has no verdict, is false and says so.
     """
-    read = F.from_json(unfenced(reply), "correct variant, reasoning variant")
+    read = json_value(reply, "correct variant, reasoning variant")
     held = F.to_json(read["correct"])
     number = held.rlike("^-?[0-9]")
     truth = F.when(number, held.cast("double") != 0).otherwise(~held.isin("false", "null", '""', "[]", "{}"))
@@ -65,10 +66,16 @@ def score(questions: DataFrame, predictions: DataFrame, k: int = 5, judge: Colum
     return rows.select("system", "question_id", precision_at_k(*at, k).alias("precision_at_k"), recall_at_k(*at, k).alias("recall_at_k"), F.col("_verdict.correct").alias("correct"), F.col("_verdict.reasoning").alias("judge_reasoning"), "latency_ms")
 
 
-def report(systems: DataFrame, scores: DataFrame) -> DataFrame:
+#: What a report keeps of each question.
+QUESTION_SCORE = ("question_id", "precision_at_k", "recall_at_k", "correct", "judge_reasoning", "latency_ms")
+
+
+def report(systems: DataFrame, scores: DataFrame, per_question: bool = False) -> DataFrame:
     """A row per system in order of ``pos``: number of questions and four means, 0.0 without questions.
 
-    ``systems``: system, pos.
+    ``systems``: system, pos.  With ``per_question`` the scores themselves come along as a
+    list in order of question_id; it has a row's size per question, so large sets of
+    questions had better be read from ``scores``.
     """
     mean = lambda c, name: F.coalesce(F.avg(c), F.lit(0.0)).alias(name)
     rows = systems.join(scores, "system", "left").groupBy("pos", "system").agg(
@@ -77,11 +84,20 @@ def report(systems: DataFrame, scores: DataFrame) -> DataFrame:
         mean("precision_at_k", "mean_precision"),
         mean("recall_at_k", "mean_recall"),
         mean("latency_ms", "mean_latency_ms"),
+        *([F.filter(F.array_sort(F.collect_list(F.struct(*QUESTION_SCORE))), lambda q: q["question_id"].isNotNull()).alias("per_question")] if per_question else []),
     )
     return rows.orderBy("pos")
 
 
 def comparison_lines(reports: DataFrame) -> DataFrame:
-    """One fixed-width line per report."""
-    percent = lambda c: F.round(F.col(c) * 100, 2)
-    return reports.orderBy("pos").select(F.format_string("%-20s%5d%11.2f%%%13.2f%%%11.2f%%%14.1f", "system", "n_questions", percent("mean_accuracy"), percent("mean_precision"), percent("mean_recall"), "mean_latency_ms").alias("line"))
+    """(pos, line): a header, a rule, and one fixed-width line per report.
+
+    Numbers are rounded by their exact binary value, ties to the even digit.
+    """
+    number = lambda c, digits: F.expr(f"format_number({c}, '0.{'0' * digits}')")
+    percent = lambda c: F.concat(number(f"{c} * 100", 2), F.lit("%"))
+    body = F.format_string("%-20s%5d%12s%14s%12s%14s", "system", "n_questions", percent("mean_accuracy"), percent("mean_precision"), percent("mean_recall"), number("mean_latency_ms", 1))
+    # fixed value: the header's names and widths
+    header = f"{'system':<20}{'n':>5}{'accuracy':>12}{'precision@k':>14}{'recall@k':>12}{'latency(ms)':>14}"
+    head = reports.sparkSession.createDataFrame([(-2, header), (-1, "-" * len(header))], "pos long, line string")
+    return head.unionByName(reports.select(F.col("pos").cast("long").alias("pos"), body.alias("line"))).orderBy("pos")

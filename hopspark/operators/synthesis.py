@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopspark.functions.text import alnum_tokens, content_tokens, coverage, first_sentence, unfenced
+from hopspark.functions.text import STRICT_JSON, alnum_tokens, content_tokens, coverage, first_sentence, json_objects, json_value
 
 # Fixed value: what is said when nothing supports an answer.
 NO_EVIDENCE = "I don't have enough grounded evidence in the retrieved sources to answer this confidently."
@@ -14,14 +14,15 @@ _CITATIONS = "array<struct<pos:int,claim:string,chunk_ids:array<string>>>"
 
 
 def claims_of(reply: Column) -> Column:
-    """``claims`` of a model's reply ``{"claims": [{"text", "source_numbers"}]}`` as an array of variants.
+    """``claims`` of a model's reply ``{"claims": [{"text", "source_numbers"}]}`` as an array of JSON texts, null for what isn't an object.
 
-    A code fence is removed and text after the first JSON value ignored.  Null where the
-    reply is null, doesn't parse, isn't an object or has no claims; empty where its claims
-    aren't a list.
+    A code fence is removed and text after the first JSON value ignored; of a repeated
+    field the last counts.  Null where the reply is null, isn't strict JSON, isn't an object
+    or has no claims; empty where its claims aren't a list.
     """
-    held = F.from_json(unfenced(reply), "claims variant")["claims"]
-    return F.when(held.isNotNull(), F.coalesce(F.try_variant_get(held, "$", "array<variant>"), F.array().cast("array<variant>")))
+    written, kind = json_value(reply, "claims string")["claims"], F.schema_of_variant(json_value(reply, "claims variant")["claims"])
+    listed = F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(True))  # no kind is known where a field is repeated inside
+    return F.when(written.isNotNull(), F.coalesce(F.when(listed, json_objects(written)), F.array().cast("array<string>")))
 
 
 def parse_claims(replies: DataFrame) -> DataFrame:
@@ -30,8 +31,9 @@ def parse_claims(replies: DataFrame) -> DataFrame:
     Items without text or a list of numbers are dropped one by one; numbers that aren't
     whole are dropped from their list.
     """
-    rows = replies.select("question_id", F.posexplode(claims_of(F.col("reply"))).alias("pos", "v"))
-    text, numbers = F.try_variant_get("v", "$.text", "string"), F.try_variant_get("v", "$.source_numbers", "array<variant>")
+    rows = replies.select("question_id", F.posexplode(claims_of(F.col("reply"))).alias("pos", "item"))
+    rows = rows.select("question_id", "pos", F.from_json("item", "text string, source_numbers array<variant>", STRICT_JSON).alias("v"))
+    text, numbers = F.col("v.text"), F.col("v.source_numbers")
     whole = F.filter(F.transform(numbers, lambda n: F.when(F.schema_of_variant(n) == "BIGINT", F.try_variant_get(n, "$", "int"))), lambda n: n.isNotNull())
     return rows.select("question_id", "pos", text.alias("claim"), whole.alias("source_numbers")).where("claim IS NOT NULL AND source_numbers IS NOT NULL")
 
