@@ -69,17 +69,19 @@ class Best:
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def meet(self, corpus: np.ndarray, ids: np.ndarray, groups: np.ndarray | None = None) -> None:
-        """``groups``: numbers that mustn't equal the query's."""
-        for a in range(0, len(self.queries), 256):
-            sims = np.round(self.queries[a : a + 256] @ corpus.T, DIGITS)
+    def meet(self, corpus: np.ndarray, ids: np.ndarray, groups: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+        """``groups``: numbers that mustn't equal the query's; ``of``: places of the queries that meet these rows."""
+        of = np.arange(len(self.queries)) if of is None else of
+        for a in range(0, len(of), 256):
+            at = of[a : a + 256]
+            sims = np.round(self.queries[at] @ corpus.T, DIGITS)
             if groups is not None:
-                sims[self.groups[a : a + 256, None] == groups[None, :]] = -np.inf
-            least = self.floor[a : a + 256].copy()
+                sims[self.groups[at, None] == groups[None, :]] = -np.inf
+            least = self.floor[at]
             if self.k < len(ids):
                 least = np.maximum(least, np.partition(sims, -self.k, axis=1)[:, -self.k])
             i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
-            self.found.append((i + a, ids[j], sims[i, j]))
+            self.found.append((at[i], ids[j], sims[i, j]))
             self.held += len(i)
         if self.held > max(100_000, 4 * self.k * len(self.queries)):
             self.tidy()
@@ -168,38 +170,168 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, exclude_group: bool =
     return found_by_task(queries, corpus, k, exclude_group).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) with a < b and cosine similarity of ``threshold`` or more, each pair once.
+#: Sampled vectors among which pivots are chosen, and on which the number of pivots is weighed up.
+PIVOT_SAMPLE = 4_000
+#: Numbers of pivots that are weighed up.
+PIVOTS = (1, 4, 16, 64, 256, 1024)
+#: What it costs to copy a vector to one more pivot, in comparisons of two vectors.
+COPY_COST = 2_000
+
+
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1.0, 1.0))
+
+
+def _farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
+    """Places of ``n`` vectors, each the farthest from those before it; fewer where the rest repeat them."""
+    chosen, near = [0], _angles(sample, sample[:1])[:, 0]
+    while len(chosen) < min(n, len(sample)) and near.max() > 1e-6:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, _angles(sample, sample[chosen[-1:]])[:, 0])
+    return np.array(chosen)
 
-    Exact, and so quadratic in the number of vectors: blocks of at most MAX_BROADCAST_BYTES
-    meet pairwise in a grid whose side follows from their number, and only pairs that
-    pass leave a task.
+
+class _Pivots:
+    """Cells around pivots: where a vector is at home, and in which cells before its own it may have a neighbour.
+
+    Within an angle t of x, at home at p, lies no y that is farther from p than the cell's
+    radius and t, or more than 2 t farther than from its own pivot.  A pair with homes p
+    and q is met in the first of both cells.
     """
-    kind = dict(vectors.dtypes)["item_id"]
-    id_type = to_arrow_type(vectors.schema["item_id"].dataType)
+
+    def __init__(self, pivots: np.ndarray, angle: float, radius: np.ndarray | None = None):
+        self.pivots, self.angle = pivots, angle
+        self.radius = np.full(len(pivots), np.pi) if radius is None else radius
+
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = _angles(x, self.pivots)
+        return d.argmin(1), d.min(1)
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, distance to its pivot, whether it is at home there)."""
+        d = _angles(x, self.pivots)
+        home, own = d.argmin(1), d.min(1)
+        reach = np.minimum(self.radius[None, :] + self.angle, own[:, None] + 2 * self.angle)
+        inside = (d <= reach) & (np.arange(len(self.pivots))[None, :] < home[:, None])
+        inside[np.arange(len(x)), home] = True
+        row, cell = np.nonzero(inside)
+        return row, cell, d[row, cell], cell == home[row]
+
+    def cost(self, sample: np.ndarray, n: int) -> float:
+        """Comparisons and copies of ``n`` vectors like the sample's."""
+        home, own = self.homes(sample)
+        radius = np.zeros(len(self.pivots))
+        np.maximum.at(radius, home, own)
+        _, cell, _, at_home = _Pivots(self.pivots, self.angle, radius).cells(sample)
+        inner, outer = (np.bincount(cell[at_home == k], minlength=len(self.pivots)) * (n / len(sample)) for k in (True, False))
+        return float((inner * (inner / 2 + outer)).sum() + COPY_COST * (inner + outer).sum())
+
+
+def _meetings(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, float] | None:
+    """Both sides of what has to be compared, dealt into tasks (p, r, c), and the angle; None without vectors."""
     rows = vectors.where("embedding IS NOT NULL").select("item_id", "embedding")
     n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    side = max(1, min(8, n // 1000), -(-n * dims * 8 // MAX_BROADCAST_BYTES))
-    block, others = F.pmod(F.xxhash64("item_id"), F.lit(side)).cast("int"), F.sequence(F.lit(0), F.lit(side - 1))
-    rows = rows.withColumn("mine", block)
-    left = rows.select(F.col("item_id").alias("i"), F.col("embedding").alias("x"), F.col("mine").alias("r"), F.explode(others).alias("c")).where("r <= c")
-    right = rows.select(F.col("item_id").alias("j"), F.col("embedding").alias("y"), F.explode(others).alias("r"), F.col("mine").alias("c")).where("r <= c")
+    if not n:
+        return None
+    # what rounding may hide: similarities have DIGITS decimals, and small angles few digits
+    angle = float(np.arccos(np.clip(threshold - 10.0**-DIGITS, -1.0, 1.0))) + 1e-6
+    pivots = _Pivots(np.zeros((1, dims)), np.pi)
+    if threshold > 0:
+        # a zero vector is similar to nothing, and has no angle
+        rows = rows.where(F.exists("embedding", lambda v: v != 0))
+        taken = rows.orderBy(F.xxhash64("item_id", F.lit(11)), "item_id").limit(PIVOT_SAMPLE).toArrow()
+        if not len(taken):
+            return None
+        sample = _unit(taken["embedding"].combine_chunks())
+        order = _farthest_first(sample, PIVOTS[-1])
+        pivots = min((_Pivots(sample[order[:k]], angle) for k in PIVOTS), key=lambda p: p.cost(sample, n))
+    kind = dict(rows.dtypes)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _BLOCK):
+                cell, d = pivots.homes(_unit(batch["embedding"].slice(a, _BLOCK)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d)], ["cell", "d"])
+
+    if len(pivots.pivots) > 1:
+        radius = np.zeros(len(pivots.pivots))
+        for r in rows.select("item_id", "embedding").mapInArrow(home, "cell int, d double").groupBy("cell").agg(F.max("d").alias("d")).collect():
+            radius[r.cell] = r.d + 1e-6
+        pivots = _Pivots(pivots.pivots, angle, radius)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, _BLOCK):
+                batch = whole.slice(a, _BLOCK)
+                row, cell, d, at_home = pivots.cells(_unit(batch["embedding"]))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch["item_id"].take(at), batch["embedding"].take(at), pa.array(cell.astype(np.int32)), pa.array(d), pa.array(at_home)], ["item_id", "embedding", "cell", "d", "at_home"])
+
+    dealt = rows.mapInArrow(deal, f"item_id {kind['item_id']}, embedding {kind['embedding']}, cell int, d double, at_home boolean")
+    block = min(max(1, MAX_BROADCAST_BYTES // (max(1, dims) * 8)), max(1000, -(-n // 8)))
+    blocks = lambda c: F.ceil(F.count_if(c) / F.lit(block)).cast("int")
+    # a row for each pivot
+    sizes = dealt.groupBy("cell").agg(blocks(F.col("at_home")).alias("inner"), blocks(~F.col("at_home")).alias("outer")).where("inner > 0")
+    rows = dealt.join(F.broadcast(sizes), "cell")
+    own = F.pmod(F.xxhash64("item_id"), F.when(F.col("at_home"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = rows.withColumn("mine", F.when(F.col("at_home"), own).otherwise(own + F.col("inner")))
+    left = rows.where("at_home").select(F.col("cell").alias("p"), F.col("item_id").alias("i"), F.col("embedding").alias("x"), F.col("d").alias("dx"), F.col("mine").alias("r"), F.explode(F.expr("sequence(mine, inner + outer - 1)")).alias("c"))
+    right = rows.select(F.col("cell").alias("p"), F.col("item_id").alias("j"), F.col("embedding").alias("y"), F.col("d").alias("dy"), F.explode(F.expr("sequence(0, IF(at_home, mine, inner - 1))")).alias("r"), F.col("mine").alias("c"))
+    return left, right, angle if len(pivots.pivots) > 1 else np.pi
+
+
+def _compared(vectors: DataFrame, threshold: float, count: bool) -> DataFrame:
+    kind = dict(vectors.dtypes)["item_id"]
+    id_type = to_arrow_type(vectors.schema["item_id"].dataType)
+    sides = _meetings(vectors, threshold)
+    if sides is None:
+        return vectors.sparkSession.createDataFrame([], "compared long" if count else f"a {kind}, b {kind}, similarity double")
+    left, right, angle = sides
 
     def compare(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
+        compared = 0
         if len(a) and len(b):
+            a, b = a.sort_by("dx"), b.sort_by("dy")
             x, y = _unit(a["x"].combine_chunks()), _unit(b["y"].combine_chunks())
+            dx, dy = a["dx"].to_numpy(), b["dy"].to_numpy()
             i_ids, j_ids = np.array(a["i"].to_pylist()), np.array(b["j"].to_pylist())
-            same = key[0].as_py() == key[1].as_py()
+            same = key[1].as_py() == key[2].as_py()
             for at in range(0, len(i_ids), 512):
-                sims = np.round(x[at : at + 512] @ y.T, DIGITS)
+                # vectors whose distances to the pivot differ by more than the angle are farther apart
+                near = dx[at : at + 512]
+                lo, hi = np.searchsorted(dy, near[0] - angle), np.searchsorted(dy, near[-1] + angle, "right")
+                compared += len(near) * int(hi - lo)
+                sims = np.round(x[at : at + 512] @ y[lo:hi].T, DIGITS)
                 i, j = np.nonzero(sims >= threshold)
-                p, q, s = i_ids[at + i], j_ids[j], sims[i, j]
+                p, q, s = i_ids[at + i], j_ids[lo + j], sims[i, j]
                 ok = p < q if same else p != q
                 out[0].append(np.where(p < q, p, q)[ok])
                 out[1].append(np.where(p < q, q, p)[ok])
                 out[2].append(s[ok])
+        if count:
+            return pa.table([pa.array([compared], pa.int64())], ["compared"])
         cols = [np.concatenate(c).tolist() if c else [] for c in out]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (id_type, id_type, pa.float64()), strict=True)], ["a", "b", "similarity"])
 
-    return left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    met = left.groupBy("p", "r", "c").cogroup(right.groupBy("p", "r", "c"))
+    return met.applyInArrow(compare, "compared long" if count else f"a {kind}, b {kind}, similarity double")
+
+
+def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) with a < b and cosine similarity of ``threshold`` or more, each pair once.
+
+    Exact.  Vectors are at home in the cell of their nearest pivot and copied to those
+    other cells in which a neighbour may be at home by the triangle inequality of angles;
+    inside a cell only vectors whose distances to the pivot differ by at most the angle are
+    compared.  The number of pivots is the one that costs least on a bounded sample: many
+    for vectors in clusters, one for vectors that are all far apart, where every pair has
+    to be compared.  Cells are compared in blocks of at most MAX_BROADCAST_BYTES, and only
+    pairs that pass leave a task.
+    """
+    return _compared(vectors, threshold, False)
+
+
+def comparisons(vectors: DataFrame, threshold: float) -> int:
+    """How many pairs :func:`pairs_above` compares."""
+    return _compared(vectors, threshold, True).agg(F.coalesce(F.sum("compared"), F.lit(0))).first()[0]

@@ -27,28 +27,54 @@ def resolve_greedy(items: DataFrame, threshold: float = 0.87, founders: DataFram
     beforehand, must sort before all items, and stay founders.  Items without a vector
     found clusters of their own.  Ties go to the earlier founder.
 
-    An item follows if any earlier neighbour (a pair that reaches the threshold) is a
-    founder.  That is settled in waves over all items at once: in each, those without an
+    Items with one and the same vector follow the first of them, or whom it follows, so
+    only first ones can be founders; they alone are paired, however often a vector occurs.
+    A first one follows if any earlier neighbour (a pair that reaches the threshold) is a
+    founder.  That is settled in waves over all of them at once: in each, those without an
     undecided earlier neighbour are founders, and their later neighbours follow.  No task
     holds more than joins do; the number of waves is the length of the longest chain of
     neighbours in arrival order in which each waits for the one before.
     """
     every = items if founders is None else founders.unionByName(items)
-    pairs = pairs_above(every, threshold)
-    if founders is not None:
-        pairs = pairs.join(founders.select(F.col("item_id").alias("b")), "b", "left_anti")
-    pairs = scratch_table(pairs.select("a", "b", "similarity"), "pairs")
-    open_, followers = pairs.select("a", "b"), pairs.select(F.col("b").alias("item_id")).limit(0)
+    every = scratch_table(every.withColumn("zero", ~F.exists(F.coalesce("embedding", F.array().cast(dict(every.dtypes)["embedding"])), lambda v: v != 0)), "resolved-items")
+    old = None if founders is None else founders.select("item_id")
+    alike = every.where("NOT zero")
+    # founders of old stay founders, whatever their vectors; of new items the first of each vector may be one
+    firsts = (alike if old is None else alike.join(old, "item_id", "left_anti")).groupBy("embedding").agg(F.min("item_id").alias("item_id"))
+    if old is not None:
+        firsts = firsts.unionByName(alike.join(old, "item_id", "left_semi").select("embedding", "item_id"))
+    firsts = scratch_table(firsts, "first-of-vector")
+    pairs = scratch_table(pairs_above(firsts.select("item_id", "embedding"), threshold), "pairs")
+    waiting = pairs if old is None else pairs.join(old.select(F.col("item_id").alias("b")), "b", "left_anti")
+    open_, followers, done = waiting.select("a", "b"), [], 0
     while not open_.isEmpty():
         first = open_.select("a").join(open_.select(F.col("b").alias("a")), "a", "left_anti").distinct()
         now = scratch_table(open_.join(first, "a", "left_semi").select(F.col("b").alias("item_id")).distinct(), "followers")
-        followers = followers.unionAll(now)
+        followers.append(now)
+        if len(followers) > 8:  # the plan of the last join stays short however many waves there are
+            followers = [scratch_table(_union(followers), "followers")]
         settled = now.unionAll(first.select(F.col("a").alias("item_id")))
         left = open_.join(settled.select(F.col("item_id").alias("a")), "a", "left_anti").join(now.select(F.col("item_id").alias("b")), "b", "left_anti")
         open_ = scratch_table(left.select("a", "b"), "open-pairs")
-    led = pairs.join(followers.select(F.col("item_id").alias("a")), "a", "left_anti")
-    best = led.groupBy(F.col("b").alias("item_id")).agg(F.min_by("a", F.struct(-F.col("similarity"), "a")).alias("founder_id"))
-    return every.select("item_id").join(best, "item_id", "left").select("item_id", F.coalesce("founder_id", "item_id").alias("founder_id"))
+    founding = firsts if not followers else firsts.join(_union(followers), "item_id", "left_anti")
+    # whoever isn't a founder takes the most similar founder before it: a neighbour of its vector, or the first of it
+    leads = founding.select(F.col("item_id").alias("lead"))
+    near = pairs.select(F.col("a").alias("of"), F.col("b").alias("lead"), "similarity").unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("lead"), "similarity")).join(leads, "lead")
+    own = founding.select(F.col("item_id").alias("of"), F.col("item_id").alias("lead"), F.lit(1.0).alias("similarity"))
+    around = firsts.select(F.col("item_id").alias("of"), "embedding").join(near.unionByName(own), "of").groupBy("embedding").agg(F.collect_list(F.struct("lead", "similarity")).alias("leads"))
+    # a vector's founders are few: any two of them are less similar than the threshold, but for those of old
+    rest = alike.join(founding.select("item_id"), "item_id", "left_anti").join(around, "embedding")
+    before = F.filter("leads", lambda x: x["lead"] < F.col("item_id"))
+    best = F.array_min(F.transform(before, lambda x: F.struct((-x["similarity"]).alias("s"), x["lead"].alias("lead"))))["lead"]
+    found = rest.select("item_id", best.alias("founder_id"))
+    return every.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("founder_id", "item_id").alias("founder_id"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionAll(more)
+    return out
 
 
 def first_seen(names: DataFrame, name: str, order: str) -> DataFrame:

@@ -322,15 +322,28 @@ def _greedy(items: str, seeded: str) -> str:
 
 
 _TRIPLES = r"""
-    named AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_-]+'), lambda n: length(n) BETWEEN 2 AND 30 AND regexp_matches(n, '^\p{Lu}')) AS n FROM chunks),
+    named AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_-]+'), lambda n: length(n) >= 2 AND regexp_matches(n, '^\p{Lu}')) AS n FROM chunks),
     triples AS (
         SELECT DISTINCT n[i] AS source, 'related_to' AS relation, n[i + 1] AS target, chunk_id AS source_chunk_id
         FROM (SELECT *, unnest(range(1, len(n))) AS i FROM named) WHERE n[i] <> n[i + 1]
     )"""
 
+#: Entities and edges of all documents, in one table of parts.
+OFFLINE_GRAPH = (
+    _with(_PAPERS, _CHUNKS, _TRIPLES)
+    + f"""
+        SELECT 'edge' AS part, {_entity_id("source")} AS source_entity_id, relation, {_entity_id("target")} AS target_entity_id, source_chunk_id, NULL::VARCHAR AS canonical_name FROM triples
+        UNION ALL
+        SELECT 'entity', entity_id, NULL, NULL, NULL, min(name) FROM (
+            SELECT {_entity_id("source")} AS entity_id, source AS name FROM triples UNION ALL SELECT {_entity_id("target")}, target FROM triples
+        ) GROUP BY entity_id
+    """
+)
+
 ORACLE = {
     "vector_topk": _with(_VEC, _ASKED, _hits(20)) + "SELECT chunk_id, round(similarity, 6) AS similarity, rank FROM hits WHERE question_id = 0",
     "vector_topk_batch": _with(_VEC, _ASKED, _hits(20)) + "SELECT question_id, chunk_id, round(similarity, 6) AS similarity, rank FROM hits",
+    "vector_index_sizes": "SELECT source, count(*) AS n, greatest(1, least(100, count(*) // 100))::BIGINT AS lists FROM documents GROUP BY ROLLUP (source)",
     "vector_normalize": """
         WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS e FROM embeddings),
         s AS (SELECT *, sqrt(list_dot_product(e, e)) AS size FROM n)
@@ -354,8 +367,11 @@ ORACLE = {
     """,
     "entity_ids": f"SELECT name, {_entity('name')} AS normalized, {_entity_id('name')} AS entity_id FROM (SELECT c_name AS name FROM customer UNION SELECT p_name FROM part)",
     "parse_triples_json": """
-        SELECT 'o' || o_orderkey AS paper_id, 0::BIGINT AS pos, 'c' || o_custkey AS source, 'placed' AS relation, 'o' || o_orderkey AS target, 'o' || o_orderkey || '#abstract' AS source_chunk_id
-        FROM orders WHERE o_orderkey % 3 <> 0
+        WITH r AS (
+            SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 2 THEN 'late' ELSE 'c' || o_custkey END AS source, '[{"source": "c' || o_custkey || '", "relation": "placed"}]' AS written FROM orders
+        )
+        SELECT 'o' || k AS paper_id, 0::BIGINT AS pos, source, 'placed' AS relation, 'o' || k AS target, 'o' || k || '#abstract' AS source_chunk_id
+        FROM r WHERE json_valid(CASE WHEN k % 3 = 0 THEN substr(written, 1, 22) WHEN k % 5 = 1 THEN replace(written, '"', chr(39)) ELSE written END)
     """,
     "entity_resolution_exact": f"""
         SELECT {_entity_id("normalized")} AS entity_id, normalized, min(name) AS canonical_name, count(*) AS mentions
@@ -420,8 +436,18 @@ ORACLE = {
         WITH r AS (
             SELECT doc_id, 0 AS k FROM documents WHERE source = 'src3' UNION ALL SELECT doc_id, 1 FROM documents WHERE lang = 'fr'
             UNION ALL SELECT doc_id, 2 FROM documents WHERE lang IN ('fr', 'de') OR source = 'src3'
+        ),
+        f AS (SELECT *, row_number() OVER (ORDER BY k, doc_id) AS n FROM (SELECT doc_id, min(k) AS k FROM r GROUP BY doc_id)),
+        t AS (SELECT * FROM (VALUES (300), (5)) AS v(target)),
+        -- until when each target looks: to the end of the pinned, or to the paper that fills it
+        e AS (
+            SELECT target, CASE WHEN (SELECT count(*) FROM f WHERE k = 0) >= target THEN 0 ELSE coalesce((SELECT k FROM f WHERE n = target), 9) END AS last_k,
+                   CASE WHEN (SELECT count(*) FROM f WHERE k = 0) >= target THEN 1000000000 ELSE coalesce((SELECT doc_id FROM f WHERE n = target), 1000000000) END AS last_id
+            FROM t
         )
-        SELECT 'd' || doc_id AS paper_id, 's' || max(k) AS seen_in, CAST(min(k) AS BIGINT) AS source_rank, doc_id AS pos FROM r GROUP BY doc_id ORDER BY min(k), doc_id LIMIT 300
+        SELECT 'd' || f.doc_id AS paper_id, 's' || max(r.k) AS seen_in, f.k::BIGINT AS source_rank, f.doc_id AS pos, e.target::BIGINT AS target
+        FROM e JOIN f ON f.k = 0 OR f.n <= e.target JOIN r ON r.doc_id = f.doc_id AND (r.k < e.last_k OR r.k = e.last_k AND r.doc_id <= e.last_id)
+        GROUP BY f.doc_id, f.k, e.target
     """,
     "grounded_answers": _with(*_RETRIEVAL, _VPAPERS, _SCORED_HYBRID, _said("capped", False)) + "SELECT question_id, answer, n_citations FROM said",
     "end_to_end_answers": _with(*_ORCHESTRATED, _said("passed")) + "SELECT question_id, answer, n_citations FROM said",
@@ -441,14 +467,15 @@ ORACLE = {
         FROM conversations
     """,
     "parse_verdicts": """
-        SELECT conv_id, turn, turn % 11 IN (0, 4, 5, 7) AS correct,
-               CASE turn % 11 WHEN 0 THEN 'x' WHEN 2 THEN 'no verdict in the reply: {"reasoning": "x"}' WHEN 3 THEN 'no verdict in the reply: no JSON' WHEN 4 THEN 'y'
-               WHEN 6 THEN 'z' WHEN 7 THEN 'w' WHEN 8 THEN 'no verdict in the reply: {"correct": true, "reas' ELSE '' END AS reasoning
+        SELECT conv_id, turn, turn % 14 IN (0, 4, 5, 7, 13) AS correct,
+               CASE turn % 14 WHEN 0 THEN 'x' WHEN 2 THEN 'no verdict in the reply: {"reasoning": "x"}' WHEN 3 THEN 'no verdict in the reply: no JSON' WHEN 4 THEN 'y'
+               WHEN 6 THEN 'z' WHEN 7 THEN 'w' WHEN 8 THEN 'no verdict in the reply: {"correct": true, "reas'
+               WHEN 11 THEN 'no verdict in the reply: {' || chr(39) || 'correct' || chr(39) || ': true}' WHEN 13 THEN 'v' ELSE '' END AS reasoning
         FROM conversations
     """,
     "plan_replies": """
-        SELECT conv_id || '-' || turn AS question_id, p.part::BIGINT AS part, CASE p.part WHEN 1 THEN role ELSE text END AS question
-        FROM conversations, (VALUES (1), (2)) AS p(part) WHERE turn % 5 < 2
+        SELECT conv_id || '-' || turn AS question_id, p.part::BIGINT AS part, CASE WHEN turn % 7 < 2 THEN CASE p.part WHEN 1 THEN role ELSE text END WHEN p.part = 1 THEN 'x' ELSE '{"k":1,"k":2}' END AS question
+        FROM conversations, (VALUES (1), (2)) AS p(part) WHERE turn % 7 < 2 OR turn % 7 = 6 OR turn % 7 = 5 AND json_valid('[' || chr(39) || 'a' || chr(39) || ']')
     """,
     "synthesized_answers": _with(
         _TURNS,
@@ -461,8 +488,8 @@ ORACLE = {
         )""",
     )
     + f"""
-        SELECT t.question_id, CASE WHEN t.question_id % 7 IN (0, 1) THEN coalesce(k.answer, '') WHEN t.question_id % 7 = 5 THEN '' ELSE {_first("t.text")} END AS answer,
-               CASE WHEN t.question_id % 7 IN (0, 1) THEN coalesce(k.n, 0) ELSE 0 END AS n_citations
+        SELECT t.question_id, CASE WHEN t.question_id % 9 IN (0, 1, 7) THEN coalesce(k.answer, '') WHEN t.question_id % 9 = 5 THEN '' ELSE {_first("t.text")} END AS answer,
+               CASE WHEN t.question_id % 9 IN (0, 1, 7) THEN coalesce(k.n, 0) ELSE 0 END AS n_citations
         FROM top t LEFT JOIN kept k USING (question_id) WHERE t.rank = 1
     """,
     "vector_topk_all_cells": _with(_VEC, _ASKED, _hits(20)) + "SELECT question_id, chunk_id, round(similarity, 6) AS similarity, rank FROM hits",
@@ -484,7 +511,11 @@ ORACLE = {
         _graded("SELECT p.*, [a.gold] AS gold, a.question AS gold_answer, 0.0 AS ms FROM predicted p JOIN asked a USING (question_id)"),
     )
     + _report(["flat"]),
-    "comparison_lines": "SELECT printf('%-20s%5d%11.2f%%%13.2f%%%11.2f%%%14.1f', system, n_questions, round(mean_accuracy * 100, 2), round(mean_precision * 100, 2), round(mean_recall * 100, 2), mean_latency_ms) AS line FROM ("
+    "comparison_lines": """
+        SELECT -2::BIGINT AS pos, 'system                  n    accuracy   precision@k    recall@k   latency(ms)' AS line
+        UNION ALL SELECT -1, repeat('-', 77) UNION ALL
+        SELECT pos, printf('%-20s%5d%11.2f%%%13.2f%%%11.2f%%%14.1f', system, n_questions, mean_accuracy * 100, mean_precision * 100, mean_recall * 100, mean_latency_ms) FROM (
+    """
     + _with(*_GRADED)
     + _report(["forward", "backward", "idle"])
     + ")",

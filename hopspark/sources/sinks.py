@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,8 +56,13 @@ def append_edges(stored: DataFrame, new: DataFrame, distinct: bool = False) -> D
     return out.distinct() if distinct else out
 
 
+def index_lists(n_chunks: Column) -> Column:
+    """Number of cells for an inverted index over so many vectors, as the restated service sets it: a hundredth, from 1 to 100."""
+    return F.greatest(F.lit(1), F.least(F.lit(100), F.floor(n_chunks / 100))).cast("long")
+
+
 def vector_index_lists(n_chunks: int) -> int:
-    """Number of cells for an inverted index over so many vectors, as the restated service sets it."""
+    """:func:`index_lists` of a number."""
     return max(1, min(100, n_chunks // 100))
 
 

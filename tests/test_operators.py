@@ -268,18 +268,63 @@ def test_index_recall(spark):
     assert len(found & exact) / len(exact) >= 0.9
 
 
-def test_index_recall_at_a_quarter_of_the_cells(spark):
+def test_index_recall_at_its_defaults(spark, tmp_path):
     """On the largest test table, as the README says."""
     from hopspark.functions.vector import nearest
     from hopspark.operators import ann
 
     vecs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
     asked = vecs.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "embedding")
-    index, centroids = ann.build(vecs)
-    assert len(centroids) == 44 and ann.PROBED <= 0.25
+    index = ann.build(vecs, str(tmp_path / "index"))
     exact = {(r.query_id, r.item_id) for r in nearest(asked, vecs, 20).collect()}
-    found = {(r.query_id, r.item_id) for r in ann.search(asked, index, centroids, 20).collect()}
+    found = {(r.query_id, r.item_id) for r in ann.search(asked, index, 20).collect()}
     assert len(found & exact) / len(exact) >= 0.9
+    # held queries and queries that meet the rows by cell find the same
+    exactly = {tuple(r) for r in ann.search(asked, index, 20).collect()}
+    ann.vector.MAX_BROADCAST_BYTES, before = 1000, ann.vector.MAX_BROADCAST_BYTES
+    try:
+        assert {tuple(r) for r in ann.search(asked, index, 20).collect()} == exactly
+    finally:
+        ann.vector.MAX_BROADCAST_BYTES = before
+
+
+def test_a_search_reads_the_partitions_it_looks_into(spark, tmp_path):
+    """And shuffles no stored row: what is exchanged are the rows that were found."""
+    import re
+
+    from hopspark.operators import ann
+
+    rng = random.Random(8)
+    middles = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(25)]
+    rows = [(k, [x + rng.gauss(0, 0.05) for x in middles[k % 25]]) for k in range(2000)]
+    vecs = spark.createDataFrame(rows, "item_id long, embedding array<float>")
+    index = ann.build(vecs, str(tmp_path / "index"), 25)
+    asked = vecs.where("item_id = 7").select(F.col("item_id").alias("query_id"), "embedding")
+    found = ann.search(asked, index, 5, 0.2, 0.2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", plan)[1]
+    read = re.findall(r"\d+", re.search(r"cell#\d+ (?:IN|=) (.*)", filters)[1])
+    assert 1 <= len(read) <= 2 and index.rows().select("cell").distinct().count() >= 20
+    scanned = plan.partition("MapInArrow")[2]
+    assert scanned and "Exchange" not in scanned
+    assert [r.item_id % 25 for r in found.collect()] == [7] * 5
+
+
+def test_an_index_takes_more_rows_and_is_opened_again(spark, tmp_path):
+    from hopspark.operators import ann
+
+    rng = random.Random(9)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(400)]
+    make = lambda part: spark.createDataFrame(part, "item_id long, embedding array<float>")
+    index = ann.build(make(rows[:300]), str(tmp_path / "index"), 9)
+    files = set(index.rows().inputFiles())
+    ann.append(index, make(rows[300:]))
+    again = ann.open_index(spark, index.path)
+    assert files < set(again.rows().inputFiles())
+    assert again.rows().select("item_id").distinct().count() == 400
+    assert again.stats().agg(F.sum("n_rows")).first()[0] == again.rows().count()
+    asked = make(rows[350:360]).withColumnRenamed("item_id", "query_id")
+    assert [r.item_id for r in ann.search(asked, again, 1, 1, 1).orderBy("query_id").collect()] == list(range(350, 360))
 
 
 def test_tasks_send_k_rows_per_query(spark):
@@ -318,15 +363,81 @@ def test_many_queries_meet_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, vector.pairs_above(corpus, 0.9).collect())) == pairs
 
 
-def test_index_holds_every_row(spark):
+def test_index_holds_every_row(spark, tmp_path):
     from hopspark.operators import ann
 
     rng = random.Random(2)
     rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(300)] + [(900, None)]
-    index, centroids = ann.build(spark.createDataFrame(rows, "item_id long, embedding array<float>"), 7, 1)
-    assert index.count() == 300 and len(centroids) == 7
+    index = ann.build(spark.createDataFrame(rows, "item_id long, embedding array<float>"), str(tmp_path / "index"), 7)
+    assert index.rows().select("item_id").distinct().count() == 300 and index.cells().count() >= 7
     asked = spark.createDataFrame([(k, v) for k, v in rows[:20]], "query_id long, embedding array<float>")
-    assert [r.item_id for r in ann.search(asked, index, centroids, 1, 1).orderBy("query_id").collect()] == list(range(20))
+    assert [r.item_id for r in ann.search(asked, index, 1).orderBy("query_id").collect()] == list(range(20))
+
+
+def test_pivots_spare_comparisons_of_clustered_vectors(spark):
+    import numpy as np
+
+    from hopspark.functions import vector
+
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(40, 16))
+    m = np.repeat(middles, 100, axis=0) + rng.normal(size=(4000, 16)) * 0.05
+    m[7] = 0
+    vecs = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "item_id long, embedding array<double>")
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+    sims = np.round(unit @ unit.T, vector.DIGITS)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sims, 1) >= 0.9), strict=True)}
+    assert {(r.a, r.b) for r in vector.pairs_above(vecs, 0.9).select("a", "b").collect()} == want
+    assert vector.comparisons(vecs, 0.9) < 4000 * 4000 / 10
+
+
+@pytest.mark.parametrize("threshold", [-0.5, 0.0, 0.2, 0.7, 0.95, 1.0])
+def test_pairs_equal_all_pairs_at_any_number_of_pivots(spark, monkeypatch, threshold):
+    import numpy as np
+
+    from hopspark.functions import vector
+
+    monkeypatch.setattr(vector, "COPY_COST", 0)
+    rng = np.random.default_rng(6)
+    m = np.concatenate([rng.normal(size=(150, 3)), np.repeat(rng.normal(size=(10, 3)), 6, axis=0), np.zeros((3, 3))])
+    vecs = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "item_id long, embedding array<double>")
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+    sims = np.round(unit @ unit.T, vector.DIGITS)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(np.ones(sims.shape, bool), 1) & (sims >= threshold)), strict=True)}
+    for pivots in ((1,), (7,), (60,)):
+        monkeypatch.setattr(vector, "PIVOTS", pivots)
+        got = [(r.a, r.b) for r in vector.pairs_above(vecs, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def greedy(rows, threshold, old=()):
+    """Resolution one by one."""
+    import numpy as np
+
+    unit = lambda v: np.zeros(len(v)) if not np.linalg.norm(v) else np.array(v) / np.linalg.norm(v)
+    founders, out = [(k, unit(v)) for k, v in old], {k: k for k, _ in old}
+    for k, v in sorted(rows):
+        sims = [(-round(float(unit(v) @ u), 9), f) for f, u in founders]
+        best = min(sims, default=(0, None))
+        if best[1] is not None and -best[0] >= threshold:
+            out[k] = best[1]
+        else:
+            out[k] = k
+            founders.append((k, unit(v)))
+    return out
+
+
+def test_resolution_of_repeated_vectors_equals_one_by_one(spark):
+    rng = random.Random(12)
+    some = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(60)] + [[0.0] * 3]
+    rows = [(k, rng.choice(some)) for k in range(100, 500)]
+    old = [(k, rng.choice(some[:20])) for k in range(12)]
+    make = lambda part: spark.createDataFrame(part, "item_id long, embedding array<double>")
+    for threshold, before in ((0.8, []), (0.8, old), (0.5, old)):
+        got = resolve.resolve_greedy(make(rows), threshold, make(before) if before else None).collect()
+        assert {r.item_id: r.founder_id for r in got} == greedy(rows, threshold, before)
 
 
 def test_founders_from_an_earlier_batch(spark):
