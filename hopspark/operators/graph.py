@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopspark.functions.vector import nearest
+from hopspark.sources.scratch import scratch_table
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -39,18 +40,55 @@ def neighbors(edges: DataFrame, seeds: DataFrame | None = None, max_degree: int
     step, whatever the size of the graph.  ``seeds`` (chunk_id) restricts the seeds.
     """
     both = undirected(edges)
-    small = degrees(edges).where(F.col("degree") <= max_degree).select("entity")
+    return _neighbors(both, degrees(edges), both.select("chunk_id", "entity"), seeds, max_degree)
+
+
+def stored_neighbors(stored, seeds: DataFrame | None = None, max_degree: int = 8) -> DataFrame:
+    """:func:`neighbors` of a :class:`hopspark.sources.stored.StoredGraph`: its tables stay where they lie, seeds and what they reach are dealt to them."""
+    return _neighbors(stored.adjacency(), stored.degrees(), stored.ends(), seeds, max_degree)
+
+
+def _neighbors(both: DataFrame, counted: DataFrame, ends: DataFrame, seeds: DataFrame | None, max_degree: int) -> DataFrame:
+    small = counted.where(F.col("degree") <= max_degree).select("entity")
     walk = both.join(small, "entity", "left_semi")
-    own = walk.select(F.col("chunk_id").alias("seed"), "entity")
-    if seeds is not None:
-        own = own.join(seeds.select(F.col("chunk_id").alias("seed")).distinct(), "seed", "left_semi")
-    own = own.distinct()
+    if seeds is None:
+        own = walk.select(F.col("chunk_id").alias("seed"), "entity").distinct()
+    else:
+        asked = seeds.select("chunk_id").distinct()
+        # hubs among these fall away where they meet the walk
+        own = ends.join(asked, "chunk_id", "left_semi").select(F.col("chunk_id").alias("seed"), "entity").distinct()
     onward = own.join(walk.select("entity", "other").distinct(), "entity").select("seed", F.col("other").alias("entity"))
-    reached = own.unionByName(onward.join(small, "entity", "left_semi")).distinct()
+    # an inner join with these distinct names: a semi join would be moved below and deal the whole walk out by its other end
+    reached = own.unionByName(onward.join(small, "entity")).distinct()
     found = reached.join(walk.select("entity", "chunk_id").distinct(), "entity")
     return found.where("chunk_id <> seed").select("seed", "chunk_id").distinct()
 
 
+def reach(edges, seeds: DataFrame, hops: int, max_degree: int = 8) -> DataFrame:
+    """(seed, chunk_id, hop): chunks within ``hops`` steps of :func:`neighbors` from each seed, with the least number of steps.
+
+    ``edges``: a table of edges or a stored graph; ``seeds``: chunk_id.  Each step goes on
+    from what the last one found for the first time, and from nothing else; a seed is
+    never reached from itself.
+    """
+    if hops < 1:
+        raise ValueError("hops must be 1 or more")
+    found, visited = None, seeds.select(F.col("chunk_id").alias("seed"), "chunk_id").distinct()
+    visited = frontier = scratch_table(visited, "frontier")
+    for hop in range(1, hops + 1):
+        here = frontier.select("chunk_id").distinct()
+        step = neighbors(edges, here, max_degree) if isinstance(edges, DataFrame) else stored_neighbors(edges, here, max_degree)
+        nexts = step.select(F.col("seed").alias("chunk_id"), F.col("chunk_id").alias("next"))
+        fresh = frontier.join(nexts, "chunk_id").select("seed", F.col("next").alias("chunk_id")).distinct()
+        frontier = scratch_table(fresh.join(visited, ["seed", "chunk_id"], "left_anti"), "frontier")
+        told = frontier.withColumn("hop", F.lit(hop))
+        found = told if found is None else found.unionAll(told)
+        if frontier.isEmpty():
+            break
+        visited = visited.unionAll(frontier)
+    return found
+
+
 def neighbors_within(edges: DataFrame, hops: int, max_degree: int = 8) -> DataFrame:
     """:func:`neighbors` taken ``hops`` times: chunks reached through chunks."""
     if hops < 1:

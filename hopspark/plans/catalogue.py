@@ -11,7 +11,7 @@ from hopspark.functions import vector as V
 from hopspark.operators import ann, evaluate, extract, graph, resolve, retrieve, synthesis
 from hopspark.plans import systems
 from hopspark.plans.ingest import body_excerpt, build_graph, clean_metadata
-from hopspark.sources import files, sinks, testdata
+from hopspark.sources import files, sinks, stored, testdata
 from hopspark.sources.scratch import scratch_path, scratch_table
 
 #: The synthetic vectors are further apart than those of a sentence encoder.
@@ -246,6 +246,23 @@ def neighbor_chunks(spark, sf_dir):
     return graph.neighbors(testdata.order_edges(spark, sf_dir), None, SETTINGS.max_entity_degree)
 
 
+@query
+def stored_neighbor_chunks(spark, sf_dir):
+    """The same over a stored graph, a part of whose edges was added later."""
+    edges = testdata.order_edges(spark, sf_dir)
+    kept = stored.store_graph(edges.where("target_entity_id < 'p5'"), scratch_path(spark, "graph"))
+    kept.append(edges.where("target_entity_id >= 'p5'"))
+    return graph.stored_neighbors(kept, None, SETTINGS.max_entity_degree)
+
+
+@query
+def reach_from_seeds(spark, sf_dir):
+    """Chunks within three hops of the papers of the questions, and after how many."""
+    edges = testdata.vec_edges(spark, sf_dir)
+    seeds = testdata.vec_questions(spark, sf_dir).select(F.concat(F.lit("v"), F.expr("question_id div 5"), F.lit("#abstract")).alias("chunk_id"))
+    return _long(graph.reach(edges, seeds, 3, SETTINGS.max_entity_degree), "hop")
+
+
 @query
 def two_hop_neighbors(spark, sf_dir):
     return graph.neighbors_within(testdata.vec_edges(spark, sf_dir), 2, SETTINGS.max_entity_degree)
@@ -314,6 +331,14 @@ def title_lookup(spark, sf_dir):
     return _long(found.select("question_id", "rank", "chunk_id", "title"), "rank")
 
 
+@query
+def stored_title_lookup(spark, sf_dir):
+    """The same over stored chunks and papers."""
+    kept = stored.store_texts(testdata.vec_chunks(spark, sf_dir).select("chunk_id", "paper_id", "text"), testdata.vec_papers(spark, sf_dir), scratch_path(spark, "texts"))
+    hits = retrieve.vector_topk(testdata.vec_questions(spark, sf_dir), testdata.vec_chunks(spark, sf_dir), SETTINGS.synthesis_top_n)
+    return _long(retrieve.lookup(hits, kept.chunks(), kept.papers()).select("question_id", "rank", "chunk_id", "title"), "rank")
+
+
 # Synthesis
 
 

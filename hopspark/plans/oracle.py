@@ -537,6 +537,21 @@ ORACLE = {
         _graded("SELECT p.*, [a.gold] AS gold, a.question AS gold_answer, 0.0 AS ms FROM predicted p JOIN asked a USING (question_id)"),
     )
     + _report(["flat", "hybrid", "reranked", "grounded", "orchestrated"]),
+    "reach_from_seeds": _with(
+        _VEDGES,
+        _DEGREES,
+        _NEIGHBORS,
+        "seeds AS (SELECT DISTINCT 'v' || (vec_id // 5) || '#abstract' AS seed FROM embeddings WHERE vec_id % 20 = 0)",
+        "h1 AS (SELECT DISTINCT seed, chunk_id FROM near JOIN seeds USING (seed))",
+        "h2 AS (SELECT DISTINCT a.seed, b.chunk_id FROM h1 a JOIN near b ON b.seed = a.chunk_id)",
+        "h3 AS (SELECT DISTINCT a.seed, b.chunk_id FROM h2 a JOIN near b ON b.seed = a.chunk_id)",
+    )
+    + """
+        SELECT seed, chunk_id, min(hop)::BIGINT AS hop FROM (SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3)
+        WHERE chunk_id <> seed GROUP BY seed, chunk_id
+    """,
     "entity_resolution_greedy": _greedy("SELECT vec_id, embedding FROM embeddings", "false"),
     "entity_resolution_seeded": _greedy("SELECT CASE WHEN label = 0 THEN vec_id - 1000000000 ELSE vec_id END AS vec_id, embedding FROM embeddings", "vec_id < 0"),
 }
+ORACLE["stored_neighbor_chunks"] = ORACLE["neighbor_chunks"]
+ORACLE["stored_title_lookup"] = ORACLE["title_lookup"]
