@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from hopspark.config import Settings
 from hopspark.functions import text as T
 from hopspark.functions import vector as V
-from hopspark.operators import ann, evaluate, extract, graph, resolve, retrieve, synthesis
+from hopspark.operators import ann, evaluate, extract, graph, models, resolve, retrieve, synthesis
 from hopspark.plans import systems
 from hopspark.plans.ingest import body_excerpt, build_graph, clean_metadata
-from hopspark.sources import files, sinks, stored, testdata
+from hopspark.sources import files, keys, parted, sinks, stored, testdata
 from hopspark.sources.scratch import scratch_path, scratch_table
 
 #: The synthetic vectors are further apart than those of a sentence encoder.
@@ -490,6 +490,69 @@ def upsert_chunks(spark, sf_dir):
     return sinks.upsert_chunks(rows, new, "version").select("chunk_id", "paper_id", "chunk_index", "text", F.size("embedding").cast("long").alias("width"))
 
 
+@query
+def stored_upsert_chunks(spark, sf_dir):
+    """The same into a stored table in partitions by key."""
+    rows = testdata.vec_chunks(spark, sf_dir).withColumn("chunk_index", F.expr("vec_id % 5")).select("chunk_id", "paper_id", "chunk_index", "text", "embedding")
+    named = lambda word: F.concat(F.lit(word), F.col("version").cast("string"))
+    new = _versions(rows.where("text <> ''"), "chunk_id").withColumns({"paper_id": named("other "), "chunk_index": F.col("chunk_index") + 100 * F.col("version"), "text": named("new ")})
+    table = parted.store_parted(rows, scratch_path(spark, "chunks"), "chunk_id", 8)
+    table.upsert(new, lambda stored_rows, more: sinks.upsert_chunks(stored_rows, more, "version"))
+    return table.rows().select("chunk_id", "paper_id", "chunk_index", "text", F.size("embedding").cast("long").alias("width"))
+
+
+def _keyed(spark, sf_dir):
+    """Orders as papers with a chunk each, customers and parts as entities, what was bought as edges; some papers are missing, some come twice, some entities are missing, some titles are null."""
+    orders = testdata.table(spark, sf_dir, "orders")
+    paper = F.concat(F.lit("o"), "o_orderkey")
+    title = F.when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderpriority"))
+    papers = orders.where("o_orderpriority <> '1-URGENT'").select(paper.alias("paper_id"), title.alias("title"), F.col("o_orderstatus").alias("abstract"))
+    twice = papers.unionByName(papers.where("abstract = 'P'"))
+    chunks = orders.select(F.concat(paper, F.lit("#abstract")).alias("chunk_id"), paper.alias("paper_id"), F.lit(0).alias("chunk_index"), F.col("o_orderstatus").alias("text"), F.array(F.lit(0.0)).alias("embedding"))
+    name = lambda table, column, letter, where: testdata.table(spark, sf_dir, table).where(where).select(F.concat(F.lit(letter), column).alias("entity_id"), F.lit(letter).alias("canonical_name"))
+    entities = name("customer", "c_custkey", "c", "true").unionByName(name("part", "p_partkey", "p", "p_size <= 25"))
+    return {"papers": twice, "chunks": chunks, "entities": entities, "edges": testdata.order_edges(spark, sf_dir)}
+
+
+@query
+def key_violations(spark, sf_dir):
+    return keys.violations(_keyed(spark, sf_dir))
+
+
+@query
+def cascading_delete(spark, sf_dir):
+    """What is left once the papers of finished orders are deleted: rows by table and paper."""
+    tables = _keyed(spark, sf_dir)
+    left = keys.delete(tables, "papers", tables["papers"].where("abstract = 'F'").select("paper_id"))
+    paper = {"papers": F.col("paper_id"), "chunks": F.col("paper_id"), "edges": T.paper_of(F.col("source_chunk_id"))}
+    rows = None
+    for name, of in paper.items():
+        one = left[name].groupBy(of.alias("paper_id")).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "paper_id", "n_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _echo():
+    """A client that says a prompt backwards, and fails on those of assistants."""
+
+    def say(prompt: str) -> str:
+        if prompt.startswith("assistant"):
+            raise ConnectionError("busy")
+        return prompt[::-1]
+
+    return say
+
+
+@query
+def model_replies(spark, sf_dir):
+    """Replies of a stand-in for a model to all turns, by a runner that is asked twice."""
+    talk = testdata.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role", "text")
+    runner = models.Runner(_echo, scratch_path(spark, "replies"), attempts=2, first_wait=0.0)
+    prompt = F.concat("role", F.lit(": "), F.substring("text", 1, 40))
+    runner.ask(talk.where("role = 'user'"), "id", prompt)
+    return runner.ask(talk, "id", prompt)
+
+
 @query
 def insert_entities_if_absent(spark, sf_dir):
     """Parts up to a size are stored; all parts come again, the first by number names a new entity."""

@@ -555,3 +555,30 @@ ORACLE = {
 }
 ORACLE["stored_neighbor_chunks"] = ORACLE["neighbor_chunks"]
 ORACLE["stored_title_lookup"] = ORACLE["title_lookup"]
+ORACLE["stored_upsert_chunks"] = ORACLE["upsert_chunks"]
+_KEYED = (
+    """papers AS (
+        SELECT 'o' || o_orderkey AS paper_id, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_orderpriority END AS title, o_orderstatus AS abstract
+        FROM orders, range(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END) WHERE o_orderpriority <> '1-URGENT'
+    )""",
+    "entities AS (SELECT 'c' || c_custkey AS entity_id FROM customer UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size <= 25)",
+)
+ORACLE["key_violations"] = (
+    _with(_OEDGES, *_KEYED)
+    + """
+        SELECT 'papers' AS table_name, 'not null' AS rule, 'title' AS column_name, NULL AS key, count(*) AS n_rows FROM papers WHERE title IS NULL HAVING count(*) > 0
+        UNION ALL SELECT 'papers', 'primary key', 'paper_id', paper_id, count(*) FROM papers GROUP BY paper_id HAVING count(*) > 1
+        UNION ALL SELECT 'chunks', 'foreign key', 'paper_id', 'o' || o_orderkey, count(*) FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT paper_id FROM papers) GROUP BY o_orderkey
+        UNION ALL SELECT 'edges', 'foreign key', 'source_entity_id', source_entity_id, count(*) FROM edges WHERE source_entity_id NOT IN (SELECT entity_id FROM entities) GROUP BY source_entity_id
+        UNION ALL SELECT 'edges', 'foreign key', 'target_entity_id', target_entity_id, count(*) FROM edges WHERE target_entity_id NOT IN (SELECT entity_id FROM entities) GROUP BY target_entity_id
+    """
+)
+ORACLE["cascading_delete"] = (
+    _with(_OEDGES, *_KEYED, "gone AS (SELECT paper_id FROM papers WHERE abstract = 'F')")
+    + """
+        SELECT 'papers' AS table_name, paper_id, count(*) AS n_rows FROM papers WHERE paper_id NOT IN (FROM gone) GROUP BY paper_id
+        UNION ALL SELECT 'chunks', 'o' || o_orderkey, 1 FROM orders WHERE 'o' || o_orderkey NOT IN (FROM gone)
+        UNION ALL SELECT 'edges', split_part(source_chunk_id, '#', 1), count(*) FROM edges WHERE split_part(source_chunk_id, '#', 1) NOT IN (FROM gone) GROUP BY ALL
+    """
+)
+ORACLE["model_replies"] = "SELECT conv_id || '-' || turn AS id, CASE WHEN role <> 'assistant' THEN reverse(role || ': ' || substr(text, 1, 40)) END AS reply FROM conversations"
