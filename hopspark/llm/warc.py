@@ -14,9 +14,10 @@ empty gzip member, which readers of gzip pass over.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from urllib.parse import quote
 
@@ -37,7 +38,9 @@ MIN_REVISIT_BYTES = 1000
 #: Shared payloads (some 200 bytes each: digest, length, hash, identifier) up to which they
 #: are broadcast; beyond, each is dealt to SALTS tasks, so that none meets all its copies.
 BROADCAST_SHARED, SALTS = 200_000, 16
-#: Bytes of sidecar indexes up to which they are broadcast; beyond, archives and indexes meet by a shuffle.
+#: Bytes of members that are read at once, and most tasks that read archives.
+READ_BYTES, MOST_READERS = 4_000_000, 20_000
+#: Where Spark hands files over whole: bytes of sidecar indexes up to which they are broadcast; beyond, archives and indexes meet by a shuffle.
 BROADCAST_INDEX = 16_000_000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -206,40 +209,78 @@ def normalise(spark: SparkSession, source: str, place: str, level: int = 6) -> N
     write_files(files.mapInArrow(run, _FILES), place, ["kind", "file"], "content", END)
 
 
+def _fetched(lines: list[tuple[str, int, int]], fetch: Callable[[int, int], bytes]) -> Iterator[tuple[str, int, int, bytes]]:
+    """Each record of an index, ``fetch(offset, length)`` being asked for members that lie side by side up to READ_BYTES at once."""
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and lines[end][1] == lines[at][1] + size and (end == at or size + lines[end][2] <= READ_BYTES):
+            size += lines[end][2]
+            end += 1
+        data, begin = fetch(lines[at][1], size), lines[at][1]
+        for urn, a, n in lines[at:end]:
+            yield urn, a, n, gzip.decompress(data[a - begin : a - begin + n])
+        at = end
+
+
+def _page_rows(file: str, lines: list[tuple[str, int, int]], fetch: Callable[[int, int], bytes]) -> pa.RecordBatch:
+    """The rows of an archive, by its index."""
+    rows = []
+    for urn, a, n, data in _fetched(lines, fetch):
+        warc, body = headers(data)
+        http, payload = headers(data, body)
+        if warc["warc-record-id"] != urn:
+            raise ValueError(f"index of {file} points at another record")
+        size, digest, revisit = int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"] == "revisit"
+        if not revisit:
+            content = data[payload : body + int(warc["content-length"])]
+            if (len(content), hashlib.sha1(content).hexdigest()) != (size, digest):
+                raise ValueError(f"payload of {urn} is damaged")
+        rows.append((_page_of(urn), size, digest, warc["warc-type"], _page_of(warc["warc-refers-to"]) if revisit else None, file, a, n))
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [x.split()[0] for x in _PAGES.split(", ")])
+
+
+def _lines(sidecar: bytes) -> list[tuple[str, int, int]]:
+    parts = (line.split(" ") for line in gzip.decompress(sidecar).decode().splitlines())
+    return [(urn, int(a), int(n)) for urn, a, n in parts]
+
+
 def read_pages(spark: SparkSession, place: str) -> DataFrame:
     """One row per record, taken out of its archive by the offset in the sidecar index.
 
-    The payload of a response is digested anew and must match its header.
+    The payload of a response is digested anew and must match its header.  Tasks are given
+    the paths of an archive and its index, open both, and read members by range; where
+    pyarrow doesn't know the file system, Spark hands both over whole.
     """
-    import hashlib
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    files = read_files(spark, place).select("kind", F.col("file").cast("string").alias("file"), "length", "path", "content")
+    archives, indexes = files.where("kind = 'warc'"), files.where("kind = 'index'")
+    if opens(place):
+
+        def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file, archive, sidecar in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    with open_file(sidecar) as f:
+                        lines = _lines(f.read())
+                    with open_file(archive) as f:
+                        yield _page_rows(file, lines, lambda a, n, f=f: f.read_at(n, a))
+            give_back()
+
+        # only paths meet; a pair of files is then dealt to any task
+        pairs = archives.select("file", F.col("path").alias("archive")).join(indexes.select("file", F.col("path").alias("sidecar")), "file")
+        tasks = max(1, archives.select("path").count())
+        return pairs.repartition(min(tasks, MOST_READERS), "file").select("file", "archive", "sidecar").mapInArrow(by_range, _PAGES)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, archive, sidecar in zip(*(c for c in batch.columns), strict=True):
-                rows, archive = [], archive.as_py()
-                for line in gzip.decompress(sidecar.as_py()).decode().splitlines():
-                    urn, a, n = line.split(" ")
-                    a, n = int(a), int(n)
-                    data = gzip.decompress(archive[a : a + n])
-                    warc, body = headers(data)
-                    http, payload = headers(data, body)
-                    if warc["warc-record-id"] != urn:
-                        raise ValueError(f"index of {file} points at another record")
-                    size, digest, revisit = int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"] == "revisit"
-                    if not revisit:
-                        content = data[payload : body + int(warc["content-length"])]
-                        if (len(content), hashlib.sha1(content).hexdigest()) != (size, digest):
-                            raise ValueError(f"payload of {urn} is damaged")
-                    rows.append((_page_of(urn), size, digest, warc["warc-type"], _page_of(warc["warc-refers-to"]) if revisit else None, file.as_py(), a, n))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], [x.split()[0] for x in _PAGES.split(", ")])
-
-    files = read_files(spark, place).select("kind", F.col("file").cast("string").alias("file"), "length", "content")
-    archives = files.where("kind = 'warc'").select("file", F.col("content").alias("archive"))
-    indexes = files.where("kind = 'index'")
+                held = archive.as_py()
+                yield _page_rows(file.as_py(), _lines(sidecar.as_py()), lambda a, n, held=held: held[a : a + n])
+        give_back()
+
     few = (indexes.agg(F.sum("length")).first()[0] or 0) <= BROADCAST_INDEX  # lengths come from the listing
     sidecars = indexes.select("file", F.col("content").alias("sidecar"))
-    return archives.join(F.broadcast(sidecars) if few else sidecars, "file").select("file", "archive", "sidecar").mapInArrow(run, _PAGES)
+    return archives.select("file", F.col("content").alias("archive")).join(F.broadcast(sidecars) if few else sidecars, "file").select("file", "archive", "sidecar").mapInArrow(whole, _PAGES)
 
 
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", place: str | None = None) -> DataFrame:

@@ -36,6 +36,35 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     assert {k: v[3] for k, v in got.items()} == {k: None if k > 26 else 27 + k % 3 for k in range(30)}
 
 
+@pytest.mark.parametrize("index_bytes", [0, 1 << 30])
+def test_files_that_spark_hands_over_whole_give_the_same(spark, monkeypatch, index_bytes):
+    monkeypatch.setattr(warc, "opens", lambda place: False)
+    monkeypatch.setattr(warc, "BROADCAST_INDEX", index_bytes)
+    df = spark.createDataFrame([(k, "u", "x" * 1000 * (k % 3 + 1)) for k in range(30)], "page_id long, url string, html string")
+    assert {k: v[3] for k, v in archived(df).items()} == {k: None if k > 26 else 27 + k % 3 for k in range(30)}
+
+
+def test_only_paths_of_archives_are_dealt_to_readers(spark, tmp_path):
+    df = spark.createDataFrame([(k, "u", f"{k}" * 500) for k in range(50)], "page_id long, url string, html string")
+    got = warc.archive_pages(df, place=str(tmp_path / "w"))
+    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 50
+
+
+def test_neighbouring_members_are_read_together(monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 100)
+    members = [gzip.compress(bytes([k]) * 3, mtime=0) for k in range(9)]
+    at, lines = 0, []
+    for k, m in enumerate(members):
+        lines.append((f"u{k}", at, len(m)))
+        at += len(m) + (50 if k == 4 else 0)
+    held = b"".join(m + (b"?" * 50 if k == 4 else b"") for k, m in enumerate(members))
+    asked = []
+    got = list(warc._fetched(lines, lambda a, n: asked.append((a, n)) or held[a : a + n]))
+    assert [d for *_, d in got] == [bytes([k]) * 3 for k in range(9)]
+    assert len(asked) < 9 and sum(n for _, n in asked) == sum(map(len, members)) and all(n <= 100 for _, n in asked)
+
+
 def test_repeated_and_null_ids(spark):
     big = "x" * 2000
     df = spark.createDataFrame([(1, "u", big), (7, "u", big), (7, "u", big), (None, "u", big)], "page_id long, url string, html string")
