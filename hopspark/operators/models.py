@@ -22,6 +22,20 @@ Client = Callable[[str], str]
 _REPLIES = "prompt_sha256 string, reply string"
 
 
+def retried(call: Callable, argument, attempts: int, first_wait: float, longest_wait: float):
+    """What ``call`` returns, tried up to ``attempts`` times with waits that double; None where all fail."""
+    wait = first_wait
+    for attempt in range(attempts):
+        if attempt:
+            time.sleep(wait)
+            wait = min(2 * wait, longest_wait)
+        try:
+            return call(argument)
+        except Exception:  # noqa: BLE001 - whatever a client raises is a failed call
+            continue
+    return None
+
+
 @dataclass(frozen=True)
 class Runner:
     """How a model is asked.
@@ -53,16 +67,7 @@ class Runner:
         return rows.groupBy("prompt_sha256").agg(F.min("reply").alias("reply"))
 
     def _call(self, client: Client, prompt: str) -> str | None:
-        wait = self.first_wait
-        for attempt in range(self.attempts):
-            if attempt:
-                time.sleep(wait)
-                wait = min(2 * wait, self.longest_wait)
-            try:
-                return client(prompt)
-            except Exception:  # noqa: BLE001 - whatever a client raises is a failed call
-                continue
-        return None
+        return retried(client, prompt, self.attempts, self.first_wait, self.longest_wait)
 
     def ask(self, rows: DataFrame, key: str, prompt: Column) -> DataFrame:
         """(``key``, reply) for each of ``rows``: the reply to its ``prompt``, null where there is none.

@@ -11,7 +11,7 @@ from hopspark.functions import vector as V
 from hopspark.operators import ann, evaluate, extract, graph, models, resolve, retrieve, synthesis
 from hopspark.plans import systems
 from hopspark.plans.ingest import body_excerpt, build_graph, clean_metadata
-from hopspark.sources import files, keys, parted, sinks, stored, testdata
+from hopspark.sources import acquire, files, keys, parted, sinks, stored, testdata
 from hopspark.sources.scratch import scratch_path, scratch_table
 
 #: The synthetic vectors are further apart than those of a sentence encoder.
@@ -553,6 +553,23 @@ def model_replies(spark, sf_dir):
     return runner.ask(talk, "id", prompt)
 
 
+def _serve(url: str) -> bytes:
+    """A stand-in for a server, which fails on some addresses."""
+    if url.endswith("7"):
+        raise ConnectionError(url)
+    return b"page at " + url.encode()
+
+
+@query
+def download_pages(spark, sf_dir):
+    """All pages by their addresses, from a stand-in for a server; some fail, and a part is there from an earlier call."""
+    pages = testdata.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    path = scratch_path(spark, "pages")
+    acquire.download(pages.where("id % 2 = 0"), path, _serve, pause=0.0, attempts=2, first_wait=0.0)
+    found = acquire.download(pages, path, _serve, pause=0.0, attempts=2, first_wait=0.0)
+    return found.select(F.col("id").cast("long").alias("page_id"), F.decode("content", "UTF-8").alias("content"))
+
+
 @query
 def insert_entities_if_absent(spark, sf_dir):
     """Parts up to a size are stored; all parts come again, the first by number names a new entity."""

@@ -582,3 +582,4 @@ ORACLE["cascading_delete"] = (
     """
 )
 ORACLE["model_replies"] = "SELECT conv_id || '-' || turn AS id, CASE WHEN role <> 'assistant' THEN reverse(role || ': ' || substr(text, 1, 40)) END AS reply FROM conversations"
+ORACLE["download_pages"] = "SELECT page_id, 'page at ' || url AS content FROM pages WHERE url NOT LIKE '%7'"
