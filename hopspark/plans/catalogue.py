@@ -10,7 +10,7 @@ from hopspark.functions import text as T
 from hopspark.functions import vector as V
 from hopspark.operators import ann, evaluate, extract, graph, models, resolve, retrieve, synthesis
 from hopspark.plans import systems
-from hopspark.plans.ingest import body_excerpt, build_graph, clean_metadata
+from hopspark.plans.ingest import body_excerpt, build_graph, clean_metadata, offline_graph
 from hopspark.sources import acquire, files, keys, parted, sinks, stored, testdata
 from hopspark.sources.scratch import scratch_path, scratch_table
 
@@ -193,6 +193,14 @@ def incremental_graph(spark, sf_dir):
     return build_graph(rows, done)[1]
 
 
+@query
+def resolved_graph(spark, sf_dir):
+    """Entities and edges of all documents, names resolved by the offline embedder."""
+    entities, edges = offline_graph(testdata.chunks(spark, sf_dir))
+    rows = edges.select(F.lit("edge").alias("part"), "source_entity_id", "target_entity_id", "source_chunk_id", F.lit(None).cast("string").alias("canonical_name"))
+    return rows.unionByName(entities.select(F.lit("entity").alias("part"), F.col("entity_id").alias("source_entity_id"), "canonical_name"), allowMissingColumns=True)
+
+
 @query
 def metadata_clean(spark, sf_dir):
     """Orders as papers with blanks and newlines in their metadata."""

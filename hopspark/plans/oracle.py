@@ -583,3 +583,54 @@ ORACLE["cascading_delete"] = (
 )
 ORACLE["model_replies"] = "SELECT conv_id || '-' || turn AS id, CASE WHEN role <> 'assistant' THEN reverse(role || ': ' || substr(text, 1, 40)) END AS reply FROM conversations"
 ORACLE["download_pages"] = "SELECT page_id, 'page at ' || url AS content FROM pages WHERE url NOT LIKE '%7'"
+# Names arrive by chunk, place in it, source before target; those with one vector are held
+# against founders as the first of them, which alone can be one.
+ORACLE["resolved_graph"] = (
+    _with(
+        _PAPERS,
+        _CHUNKS,
+        r"""
+        named AS (SELECT chunk_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_-]+'), lambda n: length(n) >= 2 AND regexp_matches(n, '^\p{Lu}')) AS n FROM chunks),
+        paired AS (SELECT chunk_id, [struct_pack(s := n[i], t := n[i + 1]) FOR i IN range(1, len(n))] AS p FROM named),
+        firsts AS (SELECT chunk_id, p, [i FOR i IN range(1, len(p) + 1) IF list_position(p, p[i]) = i] AS places FROM paired),
+        triples AS (SELECT chunk_id, k - 1 AS pos, p[places[k]].s AS source, p[places[k]].t AS target FROM (SELECT *, unnest(range(1, len(places) + 1)) AS k FROM firsts)),
+        kept AS (SELECT * FROM triples WHERE source <> target)""",
+        f"""
+        ends AS (SELECT chunk_id, pos, 0 AS side, source AS name FROM kept UNION ALL SELECT chunk_id, pos, 1, target FROM kept),
+        arrived AS (SELECT {_entity_id("name")} AS id, coalesce(nullif({_entity("name")}, ''), 'unknown') AS plain, row(chunk_id, pos, side) AS came, name FROM ends),
+        names AS (SELECT id, min(plain) AS plain, min(came) AS came, arg_min(name, came) AS name FROM arrived GROUP BY id),
+        measured AS (
+            SELECT *, list_transform(range(64), lambda k: len(list_filter(list_transform(regexp_extract_all(plain, '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64), lambda b: b = k))::DOUBLE) AS v,
+                   row_number() OVER (ORDER BY came, id) AS vec_id
+            FROM names
+        ),
+        items AS (SELECT min(vec_id) AS vec_id, v AS embedding FROM measured WHERE list_sum(v) > 0 GROUP BY v)""",
+        f"pairs AS (SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, {_cos('x.embedding', 'y.embedding')} AS s FROM items x JOIN items y ON x.vec_id < y.vec_id) WHERE s >= 0.87)",
+        "arrivals AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS nth FROM items)",
+        """
+        steps AS (
+            SELECT nth, vec_id AS item, true AS founds, [vec_id] AS founders FROM arrivals WHERE nth = 1
+            UNION ALL
+            SELECT nth, item, best IS NULL, CASE WHEN best IS NULL THEN list_append(founders, item) ELSE founders END
+            FROM (
+                SELECT n.nth, n.vec_id AS item, g.founders, min(p.a) AS best
+                FROM steps g JOIN arrivals n ON n.nth = g.nth + 1 LEFT JOIN pairs p ON p.b = n.vec_id AND list_contains(g.founders, p.a) GROUP BY n.nth, n.vec_id, g.founders
+            )
+        ),
+        founding AS (SELECT item FROM steps WHERE founds),
+        near AS (
+            SELECT p.b AS of, p.a AS lead, s FROM pairs p JOIN founding ON item = p.a UNION ALL SELECT p.a, p.b, s FROM pairs p JOIN founding ON item = p.b
+            UNION ALL SELECT item, item, 1.0 FROM founding
+        ),
+        led AS (
+            SELECT c.vec_id, arg_min(n.lead, row(-n.s, n.lead)) AS lead FROM measured c JOIN items i ON i.embedding = c.v JOIN near n ON n.of = i.vec_id
+            WHERE c.vec_id NOT IN (FROM founding) AND n.lead < c.vec_id GROUP BY c.vec_id
+        ),
+        whose AS (SELECT c.id, c.name, coalesce(f.id, c.id) AS founder FROM measured c LEFT JOIN led USING (vec_id) LEFT JOIN measured f ON f.vec_id = led.lead)""",
+    )
+    + f"""
+        SELECT 'edge' AS part, a.founder AS source_entity_id, b.founder AS target_entity_id, chunk_id AS source_chunk_id, NULL::VARCHAR AS canonical_name
+        FROM kept JOIN whose a ON a.id = {_entity_id("source")} JOIN whose b ON b.id = {_entity_id("target")}
+        UNION ALL SELECT 'entity', id, NULL, NULL, name FROM whose WHERE id = founder
+    """
+)

@@ -8,7 +8,7 @@ remembers, and of these the papers that the ledger doesn't have yet.  ``out`` ge
 tables, each partitioned by ``batch``:
 
     chunks    chunk_id, paper_id, chunk_index, text
-    entities  entity_id, canonical_name: the names that no earlier batch brought
+    entities  entity_id, canonical_name, embedding: the names that no earlier batch brought
     edges     source_entity_id, relation, target_entity_id, source_chunk_id
     ledger    paper_id of the papers that are done; written last
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from hopspark.functions.text import words
+from hopspark.functions.vector import hashed_embedding
 from hopspark.operators.extract import cooccurrence_triples
 from hopspark.plans.ingest import build_graph, ingest
 from hopspark.sources.scratch import scratch_table
@@ -37,7 +38,7 @@ log = logging.getLogger("jobs.graph_build")
 CONFIG = Path(__file__).with_suffix(".json")
 SCHEMAS = {
     "chunks": "chunk_id string, paper_id string, chunk_index int, text string, batch long",
-    "entities": "entity_id string, canonical_name string, batch long",
+    "entities": "entity_id string, canonical_name string, embedding array<double>, batch long",
     "edges": "source_entity_id string, relation string, target_entity_id string, source_chunk_id string, batch long",
     "ledger": "paper_id string, batch long",
 }
@@ -59,8 +60,7 @@ def stored(spark: SparkSession, out: str, name: str) -> DataFrame:
 
 def _write(rows: DataFrame, out: str, name: str, batch: int) -> int:
     """Replace the table's partition of this batch; how many rows it has now."""
-    columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-    rows.withColumn("batch", F.lit(batch).cast("long")).select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/{name}")
+    rows.withColumn("batch", F.lit(batch).cast("long")).select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/{name}")
     return stored(rows.sparkSession, out, name).where(F.col("batch") == batch).count()
 
 
@@ -70,7 +70,9 @@ def build(spark: SparkSession, source: str, out: str, checkpoint: str, config: d
     ``config``: ``id`` and ``text`` name the columns of identifier and text, ``prefix``
     makes an identifier a paper's, ``abstract_words`` of the text are its abstract,
     ``chunk_words`` and ``chunk_overlap`` cut the rest, ``longest_name`` bounds names (null:
-    none), ``files_per_batch`` bounds a batch (null: all files that are new).
+    none), ``files_per_batch`` bounds a batch (null: all files that are new).  With
+    ``resolve_threshold`` a name joins the most similar entity that was there before it, if
+    that is so similar, be it this batch's or an earlier one's; null: names are entities.
     Texts without an identifier, or with one seen before, aren't taken; of several new
     ones with one identifier the smallest by text is.  A null text is an empty one.
     """
@@ -85,7 +87,13 @@ def build(spark: SparkSession, source: str, out: str, checkpoint: str, config: d
         # one fixed set of papers, however often what follows reads it
         fresh = scratch_table(fresh.withColumn("abstract", F.array_join(F.slice(words(F.col("body")), 1, config["abstract_words"]), " ")), "papers")
         chunks = scratch_table(ingest(fresh, config["chunk_words"], config["chunk_overlap"]), "chunks")
-        entities, edges = build_graph(chunks, extract=lambda c: cooccurrence_triples(c, config["longest_name"]))
+        extract = lambda c: cooccurrence_triples(c, config["longest_name"])
+        if config["resolve_threshold"] is None:
+            entities, edges = build_graph(chunks, extract=extract)
+            entities = entities.withColumn("embedding", F.lit(None).cast("array<double>"))
+        else:
+            before = others["entities"].select("entity_id", "canonical_name", "embedding")
+            entities, edges = build_graph(chunks, extract=extract, embed=hashed_embedding, stored=before, threshold=config["resolve_threshold"])
         wrote = {"read": batch.count()}
         wrote["chunks"] = _write(chunks, out, "chunks", number)
         wrote["edges"] = _write(edges, out, "edges", number)

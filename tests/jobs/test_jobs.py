@@ -1,4 +1,6 @@
+import hashlib
 import json
+import re
 import sys
 from pathlib import Path
 
@@ -26,7 +28,7 @@ SECOND = [(1, "Changed Text", "en"), (5, "Beta Epsilon BETA", "fr"), (6, "word "
 
 
 def tables(spark, out):
-    return {name: sorted(map(tuple, graph_build.stored(spark, out, name).drop("batch").collect())) for name in ("ledger", "chunks", "edges", "entities")}
+    return {name: sorted(map(tuple, graph_build.stored(spark, out, name).drop("batch", "embedding").collect())) for name in ("ledger", "chunks", "edges", "entities")}
 
 
 @pytest.fixture
@@ -79,6 +81,51 @@ def test_a_batch_that_was_cut_off_is_repeated_whole(spark, place, tmp_path, monk
     assert tables(spark, place["out"]) == tables(spark, whole["out"])
 
 
+def vector(name):
+    counts = [0.0] * 64
+    for word in re.findall("[a-z0-9]+", name.lower()):
+        counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+    size = sum(x * x for x in counts) ** 0.5
+    return [x / size if size else 0.0 for x in counts]
+
+
+def test_names_join_entities_of_earlier_batches(spark, place):
+    """Names of two batches against one after another: arrival by chunk, then place in it, source before target."""
+    first = [(1, "Graph-Net uses Net-Graph and Alpha"), (2, "Beta Graph-net Delta-Delta-Alpha")]
+    second = [(3, "Net-Graph Alpha Gamma"), (4, "Delta-Alpha-Delta Beta Alpha-Delta")]
+    config = graph_build.load_config() | {"resolve_threshold": 0.87}
+    founders, want_edges = [], []
+    for batch in (first, second):
+        add(spark, place["source"], [(k, t, "en") for k, t in batch])
+        graph_build.build(spark, **place, config=config)
+        old, names, triples = list(founders), {}, []
+        for k, text in batch:
+            found = re.findall(r"[A-Z][\w-]+", text)
+            pairs = list(dict.fromkeys(p for p in zip(found[:-1], found[1:], strict=True)))
+            for chunk in (f"d{k}#abstract", f"d{k}#chunk0"):
+                for a, b in pairs:
+                    if a != b:
+                        triples.append((a, b, chunk))
+                        names.setdefault(a.lower(), a)
+                        names.setdefault(b.lower(), b)
+        lead = {n: n for n, _ in old}
+        for name in names:
+            if name in lead:
+                continue
+            sims = [(-round(sum(x * y for x, y in zip(vector(name), vector(other), strict=True)), 9), j) for j, (other, _) in enumerate(founders)]
+            best = min(sims, default=(0, 0))
+            if -best[0] >= 0.87:
+                lead[name] = founders[best[1]][0]
+            else:
+                lead[name] = name
+                founders.append((name, names[name]))
+        want_edges += [(lead[a.lower()], lead[b.lower()], c) for a, b, c in triples]
+    key = lambda n: "e_" + hashlib.sha1(n.encode()).hexdigest()[:12]
+    got = tables(spark, place["out"])
+    assert got["entities"] == sorted((key(n), name) for n, name in founders) and 3 <= len(founders) < 8
+    assert sorted((a, b, c) for a, _, b, c in got["edges"]) == sorted((key(a), key(b), c) for a, b, c in want_edges)
+
+
 def test_files_can_be_taken_a_few_at_a_time(spark, place):
     for row in FIRST[:3]:
         add(spark, place["source"], [row])
