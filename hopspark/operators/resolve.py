@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,10 @@ from hopspark.functions.vector import pairs_above
 from hopspark.sources.scratch import scratch_table
 
 
+#: Undecided pairs that one task goes through.
+ONE_TASK = 200_000
+
+
 def resolve_exact(names: DataFrame, name: str = "name") -> DataFrame:
     """(entity_id, normalized, canonical_name, mentions): one entity per normalised name.
 
@@ -31,9 +38,11 @@ def resolve_greedy(items: DataFrame, threshold: float = 0.87, founders: DataFram
     only first ones can be founders; they alone are paired, however often a vector occurs.
     A first one follows if any earlier neighbour (a pair that reaches the threshold) is a
     founder.  That is settled in waves over all of them at once: in each, those without an
-    undecided earlier neighbour are founders, and their later neighbours follow.  No task
-    holds more than joins do; the number of waves is the length of the longest chain of
-    neighbours in arrival order in which each waits for the one before.
+    undecided earlier neighbour are founders, and their later neighbours follow.  Once no
+    more than ONE_TASK pairs are undecided, one task goes through them in order, which
+    gives the same; up to there no task holds more than joins do, and the number of waves
+    is at most the length of the longest chain of neighbours in arrival order in which
+    each waits for the one before.
     """
     every = items if founders is None else founders.unionByName(items)
     every = scratch_table(every.withColumn("zero", ~F.exists(F.coalesce("embedding", F.array().cast(dict(every.dtypes)["embedding"])), lambda v: v != 0)), "resolved-items")
@@ -46,8 +55,11 @@ def resolve_greedy(items: DataFrame, threshold: float = 0.87, founders: DataFram
     firsts = scratch_table(firsts, "first-of-vector")
     pairs = scratch_table(pairs_above(firsts.select("item_id", "embedding"), threshold), "pairs")
     waiting = pairs if old is None else pairs.join(old.select(F.col("item_id").alias("b")), "b", "left_anti")
-    open_, followers, done = waiting.select("a", "b"), [], 0
-    while not open_.isEmpty():
+    open_, followers = waiting.select("a", "b"), []
+    while n := open_.count():
+        if n <= ONE_TASK:
+            followers.append(scratch_table(_in_order(open_), "followers"))
+            break
         first = open_.select("a").join(open_.select(F.col("b").alias("a")), "a", "left_anti").distinct()
         now = scratch_table(open_.join(first, "a", "left_semi").select(F.col("b").alias("item_id")).distinct(), "followers")
         followers.append(now)
@@ -70,6 +82,23 @@ def resolve_greedy(items: DataFrame, threshold: float = 0.87, founders: DataFram
     return every.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("founder_id", "item_id").alias("founder_id"))
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """(item_id): those that follow, of a bounded number of pairs (a, b), gone through by b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        followers: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("b").type
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                if a not in followers:  # settled: every pair that ends in a came before
+                    followers[b] = None
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(list(followers), kind)], ["item_id"])
+
+    return pairs.select("a", "b").repartition(1).sortWithinPartitions("b").mapInArrow(run, f"item_id {dict(pairs.dtypes)['b']}")
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for more in tables[1:]:

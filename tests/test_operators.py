@@ -429,7 +429,9 @@ def greedy(rows, threshold, old=()):
     return out
 
 
-def test_resolution_of_repeated_vectors_equals_one_by_one(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_resolution_of_repeated_vectors_equals_one_by_one(spark, monkeypatch, one_task):
+    monkeypatch.setattr(resolve, "ONE_TASK", one_task)
     rng = random.Random(12)
     some = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(60)] + [[0.0] * 3]
     rows = [(k, rng.choice(some)) for k in range(100, 500)]
