@@ -242,6 +242,10 @@ def links_of(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards_of(classes, radius).groupBy("shard").applyInPandas(search, "a long, b long")
 
 
+#: Bytes of a bitmap of chosen rows, as Spark makes them, and of all that are broadcast.
+BITMAP_BYTES, BROADCAST_BITMAPS = 4096, 64_000_000
+
+
 def _rooted(prints: DataFrame, first: Column, radius: int) -> DataFrame:
     """(fp, first, root): each distinct fingerprint, ``first`` over its rows, and its component's root."""
     classes = scratch_table(prints.groupBy("fp").agg(first.alias("first")), "classes")
@@ -274,8 +278,10 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", t
 
     Rows are written once, with their fingerprint and a number of their own.  All that
     follows reads fingerprints and numbers; whole rows come in again at the end, where
-    they meet the chosen numbers in a join that neither sorts nor aggregates texts, and
-    in which no key has more than one row.
+    each looks its number up in a bitmap of the chosen ones, and texts aren't shuffled.
+    Beyond BROADCAST_BITMAPS bytes of bitmaps, which hold some hundred million rows, rows
+    meet the chosen numbers in a join that neither sorts nor aggregates texts, and in
+    which no key has more than one row.
     """
     names = docs.columns
     flat = docs.select(*(docs[c].alias(f"c{k}") for k, c in enumerate(names)))  # no clash with names of our own
@@ -293,4 +299,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", t
     key = F.struct(number.isNull().alias("no_id"), number.alias("id"), F.xxhash64(f"c{at}").alias("text_hash"), "row")
     rooted = _rooted(rows.select("fp", key.alias("key")), F.min("key"), radius)
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
-    return rows.join(chosen.hint("shuffle_hash"), "row", "left_semi").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    own = [F.col(f"c{k}").alias(c) for k, c in enumerate(names)]
+    slot, bit = F.bitmap_bucket_number("row").alias("slot"), F.bitmap_bit_position("row")
+    bitmaps = scratch_table(chosen.groupBy(slot).agg(F.bitmap_construct_agg(bit).alias("bitmap")), "chosen")
+    if bitmaps.count() * BITMAP_BYTES > BROADCAST_BITMAPS:
+        return rows.join(chosen.hint("shuffle_hash"), "row", "left_semi").select(*own)
+    byte = F.conv(F.hex(F.expr("substring(bitmap, CAST(bitmap_bit_position(row) div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    kept = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return rows.withColumn("slot", slot).join(F.broadcast(bitmaps), "slot").where(kept).select(*own)

@@ -68,6 +68,18 @@ def test_one_row_of_each_component_with_shared_and_missing_ids(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_rows_meet_chosen_numbers_without_a_shuffle_and_by_one_alike(spark, monkeypatch):
+    from hopspark.llm import simhash
+
+    rows = [(k, " ".join(f"w{(k // 3) * 50 + j}" for j in range(40))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = simhash.one_of_each(docs)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_BITMAPS", 0)
+    assert got == sorted(map(tuple, simhash.one_of_each(docs).collect())) and 100 <= len(got) < 400
+
+
 def test_no_document_is_lost_for_its_identifier(spark, tmp_path):
     """Null ids and ids that several texts share, through all five stages, against plain Python over sets of rows."""
     import random
@@ -108,7 +120,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 13)}
     assert set(QUERIES) | {"pipeline"} <= names
     assert P.PATTERN
 
