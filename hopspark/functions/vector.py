@@ -37,8 +37,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """The vector at unit length; a zero vector as it is."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    # the length is an element of its own, so that it is worked out once and not for every place
+    by = lambda size: F.transform(a, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    return F.get(F.transform(F.array(norm(a)), by), F.lit(0))
 
 
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
