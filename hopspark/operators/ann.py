@@ -240,7 +240,7 @@ def search(queries: DataFrame, index: Index, k: int, tops: float = PROBED_TOPS,
     else:
         stored = index.rows().join(asked, "cell", "left_semi")
     n, dims = aimed.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    met = _held_search if n * dims * 8 <= vector.MAX_BROADCAST_BYTES else _dealt_search
+    met = _held_search if vector.held_bytes(n, dims, k) <= vector.MAX_BROADCAST_BYTES else _dealt_search
     found = met(aimed, stored, index, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     found = found.groupBy("query_id", "item_id").agg(F.max("similarity").alias("similarity"))  # a row comes from each of its cells
@@ -263,11 +263,11 @@ def _held_search(aimed: DataFrame, stored: DataFrame, index: Index, k: int) -> D
             at = batch["cell"].to_numpy()
             order = np.argsort(at, kind="stable")
             names, first = np.unique(at[order], return_index=True)
-            ids, vectors = np.array(batch["item_id"].to_pylist()), _unit(batch["embedding"])
+            places, vectors = best.learn(batch["item_id"]), _unit(batch["embedding"])
             for cell, mine in zip(names.tolist(), np.split(order, first[1:]), strict=True):
                 if cell in asking:
-                    best.meet(vectors[mine], ids[mine], of=asking[cell])
-        yield best.rows(held["query_id"].combine_chunks(), id_type)
+                    best.meet(vectors[mine], places[mine], of=asking[cell])
+        yield from best.rows(held["query_id"].combine_chunks(), id_type)
 
     return stored.select("item_id", "embedding", "cell").mapInArrow(run, f"query_id {kind}, item_id {index.id_type}, similarity double")
 
@@ -284,8 +284,8 @@ def _dealt_search(aimed: DataFrame, stored: DataFrame, index: Index, k: int) ->
         if not len(mine) or not len(theirs):
             return empty
         best = Best(_unit(mine["q"].combine_chunks()), k)
-        best.meet(_unit(theirs["embedding"].combine_chunks()), np.array(theirs["item_id"].to_pylist()))
-        return pa.Table.from_batches([best.rows(mine["query_id"].combine_chunks(), types[1])]).cast(empty.schema)
+        best.meet(_unit(theirs["embedding"].combine_chunks()), best.learn(theirs["item_id"].combine_chunks()))
+        return pa.Table.from_batches([*empty.to_batches(), *best.rows(mine["query_id"].combine_chunks(), types[1])], empty.schema)
 
     schema = f"query_id {dict(aimed.dtypes)['query_id']}, item_id {index.id_type}, similarity double"
     return left.groupBy("at", "part").cogroup(right.groupBy("cell", "part")).applyInArrow(meet, schema)

@@ -557,3 +557,38 @@ def test_waves_equal_the_sequence_on_a_chain(spark):
     df = spark.createDataFrame(items, "item_id long, embedding array<double>")
     t = math.cos(0.15)
     assert {r.item_id: r.founder_id for r in resolve.resolve_greedy(df, t).collect()} == greedy(items, t)
+
+
+def test_a_search_holds_k_rows_per_query(spark):
+    """Whatever the ids and however many rows are equally near: k similarities and places a query, ids only of rows that are held."""
+    import numpy as np
+    import pyarrow as pa
+
+    from hopspark.functions import vector
+
+    rng = np.random.default_rng(5)
+    queries, rows = rng.normal(size=(300, 4)).round(1), rng.normal(size=(30_000, 4)).round(0)
+    names = np.array([f"chunk {k * 7919 % 30_000:05d}" for k in range(30_000)])
+    best = vector.Best(queries, 5)
+    for a in range(0, 30_000, 10_000):
+        best.meet(rows[a : a + 10_000], best.learn(pa.array(names[a : a + 10_000].tolist())))
+        assert best.sims.nbytes + best.at.nbytes == 300 * 5 * 12
+        assert len(best.ids) <= 10_000 + 300 * 5
+    sims = np.round(queries @ rows.T, vector.DIGITS)
+    got = pa.Table.from_batches(best.rows(pa.array(range(300)), pa.string())).to_pydict()
+    want = [(q, names[k], sims[q, k]) for q in range(300) for k in np.lexsort((names, -sims[q]))[:5]]
+    assert list(zip(got["query_id"], got["item_id"], got["similarity"])) == want
+
+
+def test_queries_are_dealt_by_what_is_found_for_them(spark, monkeypatch):
+    """Not by their vectors alone: 60 rows found for a query outweigh its four numbers."""
+    from hopspark.functions import vector
+
+    rng = random.Random(8)
+    corpus = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(100)], "item_id long, embedding array<float>").coalesce(1)
+    asked = corpus.select(F.col("item_id").alias("query_id"), "embedding")
+    want = sorted(map(tuple, vector.found_by_task(asked, corpus, 60).collect()))
+    monkeypatch.setattr(vector, "MAX_BROADCAST_BYTES", 100 * 4 * 8)
+    dealt = vector.found_by_task(asked, corpus, 60)
+    assert "FlatMapCoGroupsInArrow" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, vector.nearest(asked, corpus, 60).select("query_id", "item_id", "similarity").collect())) == want
