@@ -592,3 +592,26 @@ def test_queries_are_dealt_by_what_is_found_for_them(spark, monkeypatch):
     dealt = vector.found_by_task(asked, corpus, 60)
     assert "FlatMapCoGroupsInArrow" in dealt._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, vector.nearest(asked, corpus, 60).select("query_id", "item_id", "similarity").collect())) == want
+
+
+def test_pairs_leave_a_task_as_they_are_found(spark, monkeypatch):
+    """A task holds one block and a tile of the other: no pair of blocks comes whole, and blocks may be cut anywhere."""
+    import numpy as np
+
+    from hopspark.functions import vector
+
+    rng = np.random.default_rng(9)
+    m = np.concatenate([rng.normal(size=(90, 3)), np.repeat(rng.normal(size=(2, 3)), 20, axis=0)])
+    vecs = spark.createDataFrame([(f"v{k:03d}", x.tolist()) for k, x in enumerate(m)], "item_id string, embedding array<double>")
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(f"v{i:03d}", f"v{j:03d}", s) for i, j in zip(*np.triu_indices(len(m), 1), strict=True) if (s := np.round(unit[i] @ unit[j], vector.DIGITS)) >= 0.4}
+    for name, value in (("_TILE", 5), ("_PAIRS", 3), ("MAX_BROADCAST_BYTES", 40 * 3 * 8)):
+        monkeypatch.setattr(vector, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = vector.pairs_above(vecs, 0.4)
+        assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == want
