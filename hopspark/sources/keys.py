@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopspark.schema import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS
+from hopspark.sources.scratch import dealt
 
 _VIOLATIONS = ("table_name", "rule", "column_name", "key", "n_rows")
 
 
-def violations(tables: dict[str, DataFrame]) -> DataFrame:
+def violations(tables: dict[str, DataFrame], sizes: dict[str, int] | None = None) -> DataFrame:
     """(table_name, rule, column_name, key, n_rows): null values where none may be, primary keys that come twice, foreign keys that lead nowhere.
 
     ``tables``: any of papers, chunks, entities and edges; a foreign key into a table that
-    isn't given isn't checked.  Null counts are one row with a null key.
+    isn't given isn't checked.  Null counts are one row with a null key.  ``sizes``:
+    how many rows tables have, about; those that aren't given are counted.  Keys are
+    dealt by them, so that what a task holds doesn't grow with the tables.
     """
     found = []
+    sizes = {name: rows.count() for name, rows in tables.items() if name not in (sizes or {})} | (sizes or {})
 
     def add(rows: DataFrame, table: str, rule: str, column: str) -> None:
         found.append(rows.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.lit(column).alias("column_name"), F.col("key").cast("string").alias("key"), F.col("n").alias("n_rows")))
@@ -27,12 +31,14 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
             add(nulls.withColumn("key", F.lit(None).cast("string")), name, "not null", column)
         key = PRIMARY_KEYS.get(name)
         if key:
-            add(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1"), name, "primary key", key)
+            add(dealt(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key")), sizes[name], "key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), name, "primary key", key)
         for column, target in FOREIGN_KEYS.get(name, {}).items():
             if target in tables:
                 # counted first: a key that many rows have meets the other table once
-                used = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
-                add(used.join(tables[target].select(F.col(PRIMARY_KEYS[target]).alias("key")), "key", "left_anti"), name, "foreign key", column)
+                n = max(sizes[name], sizes[target])
+                used = dealt(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("key")), n, "key").groupBy("key").agg(F.count("*").alias("n"))
+                there = dealt(tables[target].select(F.col(PRIMARY_KEYS[target]).alias("key")), n, "key")
+                add(used.join(there, "key", "left_anti"), name, "foreign key", column)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
