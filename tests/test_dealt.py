@@ -10,7 +10,7 @@ from hopspark.sources import scratch
 from oracle import SF, assert_same
 
 
-@pytest.mark.parametrize("name", ["key_violations"])
+@pytest.mark.parametrize("name", ["key_violations", "append_edges"])
 def test_partitions_follow_the_rows(spark, monkeypatch, name):
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     monkeypatch.setattr(scratch, "TASK_ROWS", n // 10)
