@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from hopspark.operators.graph import undirected
 
-#: Rows of a bucket, where the number of buckets isn't given.
-BUCKET_ROWS = 1_000_000
+#: Rows of a bucket, and bytes of texts, where the number of buckets isn't given.
+BUCKET_ROWS, BUCKET_BYTES = 1_000_000, 64_000_000
 
 
 def _name() -> str:
@@ -116,8 +116,10 @@ class StoredTexts:
 
 
 def store_texts(chunks: DataFrame, papers: DataFrame, path: str, buckets: int | None = None) -> StoredTexts:
-    """Store chunks (chunk_id, paper_id, text and more) and papers (paper_id and more)."""
-    buckets = buckets or max(1, -(-chunks.count() // BUCKET_ROWS))
+    """Store chunks (chunk_id, paper_id, text and more) and papers (paper_id and more); by default in a bucket for each BUCKET_ROWS chunks, or BUCKET_BYTES of their texts."""
+    if not buckets:
+        n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        buckets = max(1, -(-n // BUCKET_ROWS), -(-size // BUCKET_BYTES))
     write_buckets(chunks, f"{path}/chunks", "chunk_id", buckets)
     write_buckets(papers, f"{path}/papers", "paper_id", buckets)
     _write_meta(chunks.sparkSession, path, buckets)

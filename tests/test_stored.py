@@ -87,3 +87,15 @@ def test_reach_counts_the_fewest_hops(spark, tmp_path, as_stored):
     given = stored.store_graph(edges, str(tmp_path / "g"), 3) if as_stored else edges
     seeds = spark.createDataFrame([("p1#abstract",), ("p2#abstract",)], "chunk_id string")
     assert sorted(map(tuple, graph.reach(given, seeds, 3, 6).collect())) == sorted(want)
+
+
+def test_buckets_follow_the_bytes_of_texts(spark, tmp_path, monkeypatch):
+    """A few long texts aren't one bucket, which one task would read."""
+    from hopspark.sources import stored
+
+    monkeypatch.setattr(stored, "BUCKET_BYTES", 1000, raising=False)
+    chunks = spark.createDataFrame([(f"p{k}#chunk0", f"p{k}", "é" * 100) for k in range(40)], "chunk_id string, paper_id string, text string")
+    papers = chunks.select("paper_id", F.lit("t").alias("title"))
+    kept = stored.store_texts(chunks, papers, str(tmp_path / "texts"))
+    assert kept.buckets == 8 and stored.open_texts(spark, kept.path).buckets == 8
+    assert sorted(map(tuple, kept.chunks().select(*chunks.columns).collect())) == sorted(map(tuple, chunks.collect()))
