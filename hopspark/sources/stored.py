@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopspark.operators.graph import undirected
+from hopspark.sources.scratch import scratch_table
 
 #: Rows of a bucket, and bytes of texts, where the number of buckets isn't given.
 BUCKET_ROWS, BUCKET_BYTES = 1_000_000, 64_000_000
@@ -21,10 +22,12 @@ def _name() -> str:
     return f"hopspark_{uuid.uuid4().hex}"
 
 
-def write_buckets(df: DataFrame, path: str, key: str, buckets: int, mode: str = "error") -> None:
-    """``df`` in ``buckets`` by ``key``, sorted inside; ``mode`` append adds a file to each bucket."""
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int, mode: str = "error", distinct: bool = False) -> None:
+    """``df`` in ``buckets`` by ``key``, sorted inside; ``mode`` append adds a file to each bucket, ``distinct`` leaves repeats out."""
     spark, name = df.sparkSession, _name()
-    writer = df.repartition(buckets, key).sortWithinPartitions(key).write.option("path", path).bucketBy(buckets, key).sortBy(key)
+    rows = df.repartition(buckets, key)
+    # repeats lie in one bucket: they aren't shuffled once more
+    writer = (rows.distinct() if distinct else rows).sortWithinPartitions(key).write.option("path", path).bucketBy(buckets, key).sortBy(key)
     if mode == "append":
         _declare(spark, name, path, df, key, buckets)
         writer = writer.mode("append")
@@ -81,17 +84,21 @@ class StoredGraph:
 
     def append(self, edges: DataFrame, mode: str = "append") -> None:
         """Add edges; repeated ones count again for degrees, as rows of an edge table do."""
+        self._add(scratch_table(edges.select("source_entity_id", "target_entity_id", "source_chunk_id"), "added-edges"), mode)
+
+    def _add(self, edges: DataFrame, mode: str) -> None:
         both = undirected(edges)
-        write_buckets(both.distinct(), f"{self.path}/adjacency", "entity", self.buckets, mode)
+        write_buckets(both, f"{self.path}/adjacency", "entity", self.buckets, mode, distinct=True)
         write_buckets(both.groupBy("entity").agg(F.count("*").alias("degree")), f"{self.path}/degrees", "entity", self.buckets, mode)
-        write_buckets(both.select("chunk_id", "entity").distinct(), f"{self.path}/ends", "chunk_id", self.buckets, mode)
+        write_buckets(both.select("chunk_id", "entity"), f"{self.path}/ends", "chunk_id", self.buckets, mode, distinct=True)
 
 
 def store_graph(edges: DataFrame, path: str, buckets: int | None = None) -> StoredGraph:
     """Store edges; by default in a bucket for each BUCKET_ROWS ends."""
+    edges = scratch_table(edges.select("source_entity_id", "target_entity_id", "source_chunk_id"), "added-edges")
     buckets = buckets or max(1, -(-2 * edges.count() // BUCKET_ROWS))
     graph = StoredGraph(edges.sparkSession, path, buckets)
-    graph.append(edges, "error")
+    graph._add(edges, "error")
     _write_meta(edges.sparkSession, path, buckets)
     return graph
 

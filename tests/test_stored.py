@@ -99,3 +99,23 @@ def test_buckets_follow_the_bytes_of_texts(spark, tmp_path, monkeypatch):
     kept = stored.store_texts(chunks, papers, str(tmp_path / "texts"))
     assert kept.buckets == 8 and stored.open_texts(spark, kept.path).buckets == 8
     assert sorted(map(tuple, kept.chunks().select(*chunks.columns).collect())) == sorted(map(tuple, chunks.collect()))
+
+
+def test_edges_are_worked_out_once(spark, tmp_path):
+    """Three tables and a count of them come from one pass, and repeats leave without a shuffle of their own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = some_edges(spark, 60)
+    edges = edges.unionAll(edges).mapInArrow(look, edges.schema)
+    n = edges.count()
+    seen.value = 0
+    kept = stored.store_graph(edges, str(tmp_path / "graph"), None)
+    assert seen.value == n
+    kept.append(edges)
+    assert seen.value == 2 * n
+    assert kept.ends().count() == 2 * kept.ends().distinct().count()
