@@ -580,6 +580,52 @@ def test_a_search_holds_k_rows_per_query(spark):
     assert list(zip(got["query_id"], got["item_id"], got["similarity"])) == want
 
 
+def test_a_search_makes_no_copy_of_its_queries(spark):
+    """Vectors of queries stay as Arrow holds them, and few at once are brought to unit length."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from hopspark.functions import vector
+
+    rng = np.random.default_rng(6)
+    table = lambda n, name: pa.table({name: pa.array(range(n)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=n * 64).astype(np.float32)), 64).cast(pa.list_(pa.float32())), "group_id": pa.array([k // 5 for k in range(n)])})
+    asked, rows = table(60_000, "query_id"), table(400, "item_id")
+    tracemalloc.start()
+    try:
+        found = list(vector._search(asked, iter(rows.to_batches()), 3, pa.int64()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 180_000
+    assert peak < 60_000 * 64 * 8
+
+
+def test_rows_that_single_precision_cannot_tell_apart(spark):
+    """Ten thousand rows within 1e-8 of each other, exact copies, zero vectors and rows of a query's own group: the k best by all nine decimals."""
+    import numpy as np
+    import pyarrow as pa
+
+    from hopspark.functions import vector
+
+    rng = np.random.default_rng(7)
+    queries = rng.normal(size=(40, 8))
+    rows = rng.normal(size=(30_000, 8))
+    rows[5_000:15_000] = rows[5_000] + rng.normal(size=(10_000, 8)) * 1e-8
+    rows[20_000:20_050] = queries[0]
+    rows[25_000:25_100] = 0
+    own, groups = np.arange(40) % 7, np.arange(30_000) % 50
+    table = lambda name, m, g: pa.table({name: pa.array(range(len(m))), "embedding": pa.array(m.tolist()), "group_id": pa.array(g)})
+    asked = table("query_id", queries, own)
+    got = pa.Table.from_batches(vector._search(asked, iter(table("item_id", rows, groups).to_batches(max_chunksize=7_000)), 6, pa.int64())).to_pydict()
+    sims = np.round(vector._unit(asked["embedding"].combine_chunks()) @ vector._unit(pa.array(rows.tolist())).T, vector.DIGITS)
+    sims[own[:, None] == groups[None, :]] = -np.inf
+    order = [np.lexsort((np.arange(30_000), -sims[q]))[:6] for q in range(40)]
+    assert got["item_id"] == np.concatenate(order).tolist()
+    assert got["similarity"] == [sims[q, k] for q in range(40) for k in order[q]]
+
+
 def test_queries_are_dealt_by_what_is_found_for_them(spark, monkeypatch):
     """Not by their vectors alone: 60 rows found for a query outweigh its four numbers."""
     from hopspark.functions import vector
