@@ -661,3 +661,28 @@ def test_pairs_leave_a_task_as_they_are_found(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rows_below_the_floor_are_not_sent(spark, monkeypatch):
+    from hopspark.functions import vector
+
+    rng = random.Random(9)
+    corpus = spark.createDataFrame([(k, k % 7, [rng.gauss(0, 1) for _ in range(4)]) for k in range(300)], "item_id long, group_id long, embedding array<float>")
+    asked = corpus.select(F.col("item_id").alias("query_id"), "group_id", "embedding")
+    want = sorted(map(tuple, vector.nearest(asked, corpus, 3, True).where("similarity >= 0.97").collect()))
+    assert 0 < len(want) < 900
+    for most in (vector.MAX_BROADCAST_BYTES, 12_000):
+        monkeypatch.setattr(vector, "MAX_BROADCAST_BYTES", most)
+        assert sorted(map(tuple, vector.nearest(asked, corpus, 3, True, 0.97).collect())) == want
+        assert vector.found_by_task(asked, corpus, 3, True, 0.97).where("similarity < 0.97").isEmpty()
+
+
+def test_hybrid_searches_seeds_once(spark):
+    """What the vector search found is read from a table; only the search for bridges is left in the plan."""
+    from hopspark.plans import systems
+    from hopspark.plans.catalogue import _corpus
+    from hopspark.sources import testdata
+
+    sf = "/root/testdata/sf0.001"
+    found = systems.hybrid_list(testdata.vec_questions(spark, sf), _corpus(spark, sf))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
