@@ -686,3 +686,11 @@ def test_hybrid_searches_seeds_once(spark):
     sf = "/root/testdata/sf0.001"
     found = systems.hybrid_list(testdata.vec_questions(spark, sf), _corpus(spark, sf))
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name", ["system_report", "grounded_answers", "end_to_end_answers", "reranked_hybrid"])
+def test_systems_join_texts_once(spark, name):
+    from hopspark.plans.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and "documents.parquet" not in plan
