@@ -1,5 +1,6 @@
 import random
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -541,6 +542,54 @@ def test_orchestrated_asks_the_planner(spark):
     assert {r.chunk_id for r in systems.orchestrated(asked(spark), small_corpus(spark, plan=bad, embed=hashed_embedding))[0].collect()} == alone
 
 
+def test_orchestrated_scores_what_sub_questions_find(spark):
+    """The question's own list fills ``rerank_top_n``; what its sub-question finds is scored with it, and may come first."""
+    plan = lambda questions: questions.select("question_id", F.lit('["Vectors are dense"]').alias("reply"))
+    score = lambda: F.when(F.col("text").startswith("Vectors"), 9.0).otherwise(1.0)
+    corpus = small_corpus(spark, plan=plan, embed=hashed_embedding, score=score)
+    corpus = replace(corpus, settings=replace(corpus.settings, rerank_top_n=2))
+    alone = systems.orchestrated(asked(spark), replace(corpus, models=systems.Models(score=score)))[0]
+    own = {r.chunk_id for r in alone.collect()}
+    assert len(own) == 2 and "p1#chunk0" not in own
+    ranked, said = systems.orchestrated(asked(spark), corpus)
+    got = [r.chunk_id for r in ranked.orderBy("rank").collect()]
+    assert got[0] == "p1#chunk0" and own < set(got) and len(got) == len(set(got))
+    assert said.first().answer.startswith("Vectors are dense.")
+
+
+def test_rerank_top_n_holds_for_each_list(spark):
+    parts = asked(spark).select("question_id", F.lit(1).alias("part"), hashed_embedding(F.lit("Vectors are dense")).alias("embedding"))
+    for n, most in ((1, 2), (2, 4)):
+        corpus = small_corpus(spark)
+        corpus = replace(corpus, settings=replace(corpus.settings, rerank_top_n=n))
+        got = [r.chunk_id for r in systems.orchestrated(asked(spark), corpus, parts)[0].collect()]
+        assert n < len(got) <= most and "p1#chunk0" in got
+
+
+def test_planner_is_asked_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def reply(question):
+        calls.add(1)
+        return '["Vectors are dense"]'
+
+    corpus = small_corpus(spark, plan=lambda questions: questions.select("question_id", reply("question").alias("reply")), embed=hashed_embedding)
+    ranked, said = systems.orchestrated(asked(spark), corpus)
+    assert ranked.count() and said.count() == 1
+    assert calls.value == 1
+
+
+def test_end_to_end_answers_follow_the_planner(spark, monkeypatch):
+    from hopspark.plans.catalogue import QUERIES
+
+    answers = lambda: {r.question_id: (r.answer, r.n_citations) for r in QUERIES["end_to_end_answers"](spark, "/root/testdata/sf0.001").collect()}
+    planned = answers()
+    monkeypatch.setattr(systems, "planned", lambda questions, corpus: None)
+    alone = answers()
+    assert planned.keys() == alone.keys() and planned != alone
+
+
 def test_judge_is_plugged_in(spark):
     gold = spark.createDataFrame([(1, "x", ["a#0"])], "question_id long, gold_answer string, gold_chunk_ids array<string>")
     said = spark.createDataFrame([("s", 1, '```\n{"correct": 1, "reasoning": "because"}\n```', ["a#1"], 1.0)], "system string, question_id long, predicted_answer string, retrieved_chunk_ids array<string>, latency_ms double")
